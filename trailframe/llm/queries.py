@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailframe.llm import decontaminate, jaccard, mixing, toxicity
+from trailframe.llm import decontaminate, jaccard, mixing, tokens, toxicity
 from trailframe.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_files(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
+    "op9_token_ids": op9_token_ids,
     "op10_toxicity": op10_toxicity,
 }
 
