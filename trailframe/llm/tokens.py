@@ -5,11 +5,11 @@ ids take one byte. A rank is stored in 1 to 4 little-endian bytes; two bits a nu
 their own, say how many (four numbers a control byte, first number in the lowest bits). A block is one row of a
 Parquet table: `part` and `first` give its place (a part is a run of documents in order, `first` the number of ids
 before the block within its part), `doc_ids` and `counts` its documents, `control` and `data` the two streams.
-Documents lie in ascending doc_id order (nulls first, ties by text). A block is closed once it has BLOCK ids; a document
-is never cut. The table of ranks is written beside the blocks. Parquet carries the byte streams so that Spark's committer makes each file appear once
-and whole, on any store, whatever executors are lost.
+Documents lie in ascending doc_id order (nulls first, ties by text). A block is closed once it has BLOCK ids; a text
+is never cut. The table of ranks is written beside the blocks. Parquet carries the byte streams so that Spark's committer makes each file appear once and
+whole, on any store, whatever executors are lost.
 
-Decoding looks each control byte up in tables (four lengths, their sum) and gathers the bytes with numpy.
+Decoding looks each control byte up in a table (four lengths) and gathers the bytes with numpy.
 
 The tokenizers file must split at white space and drop it, as word_bpe_49k.json does: words between ASCII white space
 are encoded once and remembered, and a text's ids are its words' ids in turn. A text that holds one of the file's special
@@ -33,7 +33,7 @@ from trailframe.llm.common import written
 #: The id appended to each document.
 END = 1
 #: Ids of a block, and words that a Python worker remembers before it starts over.
-BLOCK, REMEMBERED = 1 << 18, 400_000
+BLOCK, REMEMBERED = 1 << 18, 1_200_000
 VOCABULARY = 1 << 17
 
 
@@ -47,7 +47,6 @@ def default_path() -> str:
 # -- variable-length coding ----------------------------------------------------------------------------------------
 
 _LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
-_SUMS = _LENGTHS.sum(1)
 
 
 def encode(numbers: np.ndarray) -> tuple[bytes, bytes]:
@@ -89,7 +88,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values() if t.content]
+        # a special string stands between the words of one long text, which is faster than a text for each word
+        self.mark, self.between = next(((i, t.content) for i, t in added.items() if t.content and not (t.lstrip or t.rstrip or t.single_word)), (None, None))
         self.known: dict[bytes, bytes] = {}
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
@@ -101,13 +103,21 @@ class Encoder:
             self.known.clear()
             new = list(set().union(*split))
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
+            self.known.update(zip(new[at : at + 20_000], self._words([w.decode() for w in new[at : at + 20_000]]), strict=True))
         get = self.known.__getitem__
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, words)) for t, w, words in zip(texts, whole, split, strict=True)]
 
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the words, none of which holds a special string."""
+        if self.between is None:
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = np.array(self.tokenizer.encode(self.between.join(words), add_special_tokens=False).ids, "<u4")
+        marks = (4 * np.flatnonzero(ids == self.mark)).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(m + 4 for m in marks)], [*marks, len(raw)], strict=True)]
+
+
 _made: dict[str, Encoder] = {}
 
 
