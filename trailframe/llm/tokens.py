@@ -11,8 +11,9 @@ whole, on any store, whatever executors are lost.
 
 Decoding looks each control byte up in a table (four lengths) and gathers the bytes with numpy.
 
-The tokenizers file must split at white space and drop it, as word_bpe_49k.json does: words between ASCII white space
-are encoded once and remembered, and a text's ids are its words' ids in turn. A text that holds one of the file's special
+The tokenizers file must split at white space and drop it, lower the case, and keep letters apart from commas and full
+stops, as word_bpe_49k.json does: words between ASCII white space are encoded once and remembered, without a comma or
+full stop that follows a letter, and a text's ids are its words' ids in turn. A text that holds one of the file's special
 strings is encoded whole.
 
 Null texts count as empty and hold only the end id. Repeated rows and ids are encoded each.
@@ -20,6 +21,7 @@ Null texts count as empty and hold only the end id. Repeated rows and ids are en
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +36,6 @@ from trailframe.llm.common import written
 END = 1
 #: Ids of a block, and words that a Python worker remembers before it starts over.
 BLOCK, REMEMBERED = 1 << 18, 1_200_000
-VOCABULARY = 1 << 17
 
 
 def default_path() -> str:
@@ -79,6 +80,18 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
 # -- text to ids ---------------------------------------------------------------------------------------------------
 
 
+#: A comma or full stop that ends a word after something other than an ASCII letter or digit or a Latin-1 letter.
+_JOINED = re.compile(rb"(?:[^a-zA-Z0-9\s\x80-\xbf]|[^\xc3][\x80-\xbf]|\xc3[\x97\xb7])[.,]\s")
+
+
+def _split(text: bytes) -> list[bytes]:
+    """Words between ASCII white space; a comma or full stop after a letter is a word of its own, where all are."""
+    if not _JOINED.search(text):
+        for mark in (b", ", b". ", b",\n", b".\n"):
+            text = text.replace(mark, b" " + mark)
+    return text.split()
+
+
 class Encoder:
     """Ids of texts, word by word, with a memory of words."""
 
@@ -97,7 +110,7 @@ class Encoder:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text, without the end id."""
         whole = [bool(t) and any(s in t for s in self.special) for t in texts]
-        split = [[] if not t or w else t.encode().split() for t, w in zip(texts, whole, strict=True)]
+        split = [[] if not t or w else _split(t.encode().lower()) for t, w in zip(texts, whole, strict=True)]
         new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
@@ -112,7 +125,7 @@ class Encoder:
         """Ids of each of the words, none of which holds a special string."""
         if self.between is None:
             return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode(self.between.join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(words)], add_special_tokens=False)[0].ids, "<u4")
         marks = (4 * np.flatnonzero(ids == self.mark)).tolist()
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *(m + 4 for m in marks)], [*marks, len(raw)], strict=True)]
@@ -131,60 +144,34 @@ def encoder(path: str) -> Encoder:
     return _made[path]
 
 
-def id_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(id, n) over all documents, end ids included; each task sums its own first."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(VOCABULARY, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                texts = batch.column(0).slice(at, 500).to_pylist()
-                got = np.bincount(np.frombuffer(b"".join(encoder(path).ids(texts)), "<u4"))
-                if len(got) > len(counts):
-                    counts = np.pad(counts, (0, len(got) - len(counts)))
-                counts[: len(got)] += got
-                counts[END] += len(texts)
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["id", "n"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
+IDS = "part int, first long, doc_ids array<long>, counts array<long>, ids binary"
 BLOCKS = "part int, first long, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 
-def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(blocks, ranks): the two tables of the format, written to the shared folder and read back.
+def _rows(schema: str, **columns: list) -> pa.RecordBatch:
+    kinds = {"part": pa.int32(), "first": pa.int64(), "doc_ids": pa.list_(pa.int64()), "counts": pa.list_(pa.int64())}
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], kinds.get(c, pa.binary())) for c in names], names)
 
-    The first pass over the texts counts ids, of which there are no more than the vocabulary has; the second sorts the
-    texts by doc_id and encodes them where they land. Nothing of the corpus's size reaches the driver.
-    """
-    path = path or default_path()
-    spark = docs.sparkSession
-    ranked = id_counts(docs, path).orderBy(F.desc("n"), "id")
-    by_rank = np.array([r["id"] for r in ranked.select("id").collect()], np.uint32)  # at most the vocabulary
-    ranks = written(spark.createDataFrame([(int(i), n) for n, i in enumerate(by_rank)], "id long, rank long"), "ranks")
-    to_rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
-    to_rank[by_rank] = np.arange(len(by_rank))
-    told = spark.sparkContext.broadcast(to_rank)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+def sorted_ids(docs: DataFrame, path: str) -> DataFrame:
+    """Blocks of ids before ranking, in ascending order of documents: the one pass that tokenizes."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts, held, size, first, part = [], [], [], 0, 0, 0
+        end = np.array([END], "<u4").tobytes()
 
         def block() -> pa.RecordBatch:
-            control, data = encode(told.value[np.frombuffer(b"".join(held), "<u4")])
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([control], pa.binary()), pa.array([data], pa.binary())], ["part", "first", "doc_ids", "counts", "control", "data"])
+            return _rows(IDS, part=[part], first=[first], doc_ids=[ids], counts=[counts], ids=[_packed(b"".join(held))])
 
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 rows = batch.slice(at, 200)
                 part = rows.column(2)[0].as_py()
                 for doc_id, raw in zip(rows.column(0).to_pylist(), encoder(path).ids(rows.column(1).to_pylist()), strict=True):
-                    held.append(raw)
-                    held.append(end)
+                    held += (raw, end)
                     ids.append(doc_id)
                     counts.append(len(raw) // 4 + 1)
                     size += counts[-1]
@@ -194,7 +181,57 @@ def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, D
         if ids:
             yield block()
 
-    return written(placed.withColumn("part", F.spark_partition_id()).mapInArrow(run, BLOCKS), "tokens"), ranks
+    return placed.withColumn("part", F.spark_partition_id()).mapInArrow(run, IDS)
+
+
+def _packed(raw: bytes) -> bytes:
+    """32-bit ids in two bytes each where they fit; the first byte tells."""
+    ids = np.frombuffer(raw, "<u4")
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + raw
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{packed[0]}", offset=1)
+
+
+def id_counts(blocks: DataFrame) -> DataFrame:
+    """(id, n) over all blocks; each task sums its own first."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(0, np.int64)
+        for batch in batches:
+            for packed in batch.column(0):
+                got = np.bincount(_unpacked(packed.as_py()), minlength=len(counts))
+                got[: len(counts)] += counts
+                counts = got
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], ["id", "n"])
+
+    return blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def write_tokens(docs: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, ranks): the two tables of the format, written to the shared folder and read back.
+
+    Texts are sorted by doc_id and tokenized where they land; the ids are written, counted and then ranked and coded
+    block by block. Only counts of ids, of which there are no more than the vocabulary has, reach the driver.
+    """
+    path = path or default_path()
+    spark = docs.sparkSession
+    plain = written(sorted_ids(docs, path), "ids", "zstd")
+    by_rank = np.array([r["id"] for r in id_counts(plain).orderBy(F.desc("n"), "id").select("id").collect()], np.uint32)  # at most the vocabulary
+    ranks = written(spark.createDataFrame([(int(i), n) for n, i in enumerate(by_rank)], "id long, rank long"), "ranks")
+    to_rank = np.zeros(int(by_rank.max(initial=0)) + 1, np.uint32)
+    to_rank[by_rank] = np.arange(len(by_rank))
+    told = spark.sparkContext.broadcast(to_rank)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                control, data = encode(told.value[_unpacked(batch.column(4)[i].as_py())])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in batch.columns[:4]), pa.array([control], pa.binary()), pa.array([data], pa.binary())], [*batch.schema.names[:4], "control", "data"])
+
+    return written(plain.mapInArrow(run, BLOCKS), "tokens", "zstd"), ranks
 
 
 def read_tokens(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
