@@ -5,10 +5,503 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from trailframe.functions import evaluate, text, tree, url
+from trailframe.operators import curate, history, masks, prompts, rewards
+from trailframe.plans import views
+from trailframe.plans.views import SAMPLES, STEPS, TAGGED, TRAJECTORIES, table
+from trailframe.streaming import sessions
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# -- history ---------------------------------------------------------------------------------------------------------
+
+_LINE = "'Step ' || step_num || ': ' || coalesce(response, '')"
+_BEFORE = "OVER (PARTITION BY traj_id ORDER BY step_num ROWS BETWEEN {} PRECEDING AND 1 PRECEDING)"
+
+
+def _line():
+    return F.concat(F.lit("Step "), F.col("step_num").cast("string"), F.lit(": "), F.coalesce("response", F.lit("")))
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, coalesce(string_agg({_LINE}, chr(10)) {_BEFORE.format('UNBOUNDED')}, '') AS history FROM steps")
+def history_append(spark, sf_dir):
+    return views.steps(spark, sf_dir).select("traj_id", "step_num", history.append_history(_line()).alias("history"))
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, lag(response) OVER (PARTITION BY traj_id ORDER BY step_num) AS memory FROM steps")
+def history_overwrite(spark, sf_dir):
+    return views.steps(spark, sf_dir).select("traj_id", "step_num", history.overwrite_history(F.col("response")).alias("memory"))
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, lag(response) OVER w AS memory, lag(left(observation, 40)) OVER w AS state FROM steps WINDOW w AS (PARTITION BY traj_id ORDER BY step_num)")
+def history_state(spark, sf_dir):
+    found = views.steps(spark, sf_dir).select("traj_id", "step_num", history.state_history(F.col("response"), F.left("observation", F.lit(40))).alias("s"))
+    return found.select("traj_id", "step_num", "s.memory", "s.state")
+
+
+_TURNS = "'user: ' || observation || chr(10) || 'assistant: ' || coalesce(response, '')"
+
+
+def _multi_sql(w: str) -> str:
+    return f"WITH {STEPS} SELECT traj_id, step_num, coalesce(string_agg({_TURNS}, chr(10)) {_BEFORE.format(w)} || chr(10), '') || 'user: ' || observation AS messages FROM steps"
+
+
+def _multi(spark, sf_dir, w):
+    found = history.multi_turn(views.steps(spark, sf_dir), w)
+    return found.select("traj_id", "step_num", prompts.flatten_messages(F.col("messages")).alias("messages"))
+
+
+@query(_multi_sql("3"))
+def history_multi_turn_w3(spark, sf_dir):
+    return _multi(spark, sf_dir, 3)
+
+
+@query(_multi_sql("UNBOUNDED"))
+def history_multi_turn_all(spark, sf_dir):
+    return _multi(spark, sf_dir, None)
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, 'user: ' || observation AS messages FROM steps")
+def history_multi_turn_w0(spark, sf_dir):
+    return _multi(spark, sf_dir, 0)
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, coalesce(max(CASE WHEN response IS NULL THEN 1 ELSE 0 END) {_BEFORE.format('UNBOUNDED')}, 0) = 1 AS memory_missing FROM steps")
+def required_memory(spark, sf_dir):
+    return history.required_memory(views.steps(spark, sf_dir), "response").select("traj_id", "step_num", "memory_missing")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Every step's history under append and overwrite memory."""
+    return views.steps(spark, sf_dir).select("traj_id", "step_num", "goal", history.append_history(_line()).alias("append_history"), history.overwrite_history(F.col("response")).alias("overwrite_history"))
+
+
+# -- tagged text -----------------------------------------------------------------------------------------------------
+
+
+def _last_sql(tag: str, name: str, where: str = "") -> str:
+    return f"WITH {TAGGED} SELECT traj_id, step_num, trim(list_extract(regexp_extract_all(raw, '(?s)<{tag}>(.*?)</{tag}>', 1), -1)) AS {name} FROM tagged {where}"
+
+
+@query(f"WITH {TAGGED} SELECT traj_id, step_num, nullif(trim(list_extract(regexp_extract_all(raw, '(?s)<action>(.*?)</action>', 1), -1)), '') AS action FROM tagged")
+def last_tag_action(spark, sf_dir):
+    return views.tagged(spark, sf_dir).select("traj_id", "step_num", text.parse_action(F.col("raw"))["action"].alias("action"))
+
+
+@query(_last_sql("think", "reasoning"))
+def last_tag_reasoning(spark, sf_dir):
+    return views.tagged(spark, sf_dir).select("traj_id", "step_num", text.last_tag(F.col("raw"), "think").alias("reasoning"))
+
+
+@query(f"WITH {TAGGED} SELECT traj_id, step_num, trim(regexp_replace(raw, '(?s)<action>[^<]*</action>[^<]*$', '')) AS prefix FROM tagged")
+def action_prefix(spark, sf_dir):
+    return views.tagged(spark, sf_dir).select("traj_id", "step_num", text.action_prefix(F.col("raw")).alias("prefix"))
+
+
+@query(f"WITH {TAGGED} SELECT traj_id, step_num, CASE WHEN raw LIKE '%<memory>%' THEN 'm' || step_num END AS memory, CASE WHEN raw LIKE '%<state>%' THEN 's' || step_num END AS state FROM tagged")
+def memory_blocks(spark, sf_dir):
+    found = views.tagged(spark, sf_dir).select("traj_id", "step_num", text.parse_memory(F.col("raw")).alias("m"))
+    return found.select("traj_id", "step_num", "m.memory", "m.state")
+
+
+@query(f"WITH {TAGGED} SELECT traj_id, step_num, CASE WHEN response IS NULL OR traj_id % 7 = 0 THEN 'action,think,memory,state' WHEN traj_id % 5 = 0 THEN 'memory,state' ELSE '' END AS errors FROM tagged")
+def parse_errors(spark, sf_dir):
+    return views.tagged(spark, sf_dir).select("traj_id", "step_num", F.array_join(text.parse_errors(F.col("raw")), ",").alias("errors"))
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, CASE WHEN response IS NOT NULL THEN 'm' || step_num END AS memory FROM steps")
+def strict_state_parse(spark, sf_dir):
+    built = F.concat(F.lit(" <think>"), "response", F.lit("</think>\n<memory> m"), F.col("step_num").cast("string"), F.lit(" </memory><state>s</state>\n"))
+    return views.steps(spark, sf_dir).select("traj_id", "step_num", text.strict_blocks(built, "think", "memory", "state")["memory"].alias("memory"))
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, CASE WHEN traj_id % 3 = 0 THEN '<think>' || chr(10) || response || '</think>' ELSE '<think>' || response || '</think>' END AS restored FROM steps")
+def restore_prefill(spark, sf_dir):
+    cut = F.when(F.col("traj_id") % 3 == 0, F.concat(F.lit("\n\n"), "response", F.lit("</think>"))).otherwise(F.concat(F.lit("<think>"), "response", F.lit("</think>")))
+    return views.steps(spark, sf_dir).select("traj_id", "step_num", text.restore_prefill(cut, "think").alias("restored"))
+
+
+@query(f"WITH {TAGGED} SELECT traj_id, step_num, CASE WHEN raw LIKE '%<action>%' THEN 1.0 ELSE 0.0 END::DOUBLE AS reward, CASE WHEN raw LIKE '%<action>%' THEN 'click(' || step_num || ')' ELSE 'noop()' END AS action FROM tagged")
+def format_reward(spark, sf_dir):
+    return views.tagged(spark, sf_dir).select("traj_id", "step_num", F.coalesce(text.format_reward(F.col("raw")), F.lit(0.0)).alias("reward"), text.action_or_noop(F.col("raw")).alias("action"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS cut FROM documents")
+def truncate_chars(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate_chars(F.col("text"), 100, "...").alias("cut"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 20) || '...' || right(text, 60) ELSE text END AS elided FROM documents")
+def elide_middle(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.elide_middle(F.col("text"), 80).alias("elided"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 IN (0, 3) THEN 1 ELSE 0 END + CASE WHEN event_id % 5 IN (1, 3) THEN 1 ELSE 0 END AS n FROM events")
+def lint_warnings(spark, sf_dir):
+    memory = F.element_at(F.array(*map(F.lit, ("Next step: go", "now clicking on it", "all done", "To-do: x, once the page loads", "nothing"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.size(text.lint_warnings(memory)).alias("n"))
+
+
+@query("SELECT doc_id, replace(text, chr(10), chr(92) || 'n') AS escaped FROM documents")
+def escape_newlines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.escape_newlines(F.col("text")).alias("escaped"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'unknown' WHEN 2 THEN 'verdict and violations' ELSE 'keys' END AS errors FROM events")
+def judge_decisions(spark, sf_dir):
+    made = F.element_at(F.array(*map(F.lit, ('{"verdict":"pass","violations":[],"feedback":""}', '{"verdict":"fail","violations":["X"],"feedback":"f"}', '{"verdict":"fail","violations":[],"feedback":"f"}', '{"verdict":"pass","violations":[]}'))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(text.judge_errors(made), ",").alias("errors"))
+
+
+# -- prompts ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id, '# Open tabs' || chr(10) || string_agg('Tab ' || (turn - low) || CASE WHEN turn = low THEN ' (active tab)' ELSE '' END || ':' || chr(10) || '    Title: ' || role || chr(10) || '    URL: u' || turn, chr(10) ORDER BY turn) AS tabs FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS low FROM conversations) GROUP BY conv_id")
+def tabs_section(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    urls, titles = F.transform("t", lambda x: F.concat(F.lit("u"), x["turn"].cast("string"))), F.transform("t", lambda x: x["role"])
+    return turns.select("conv_id", prompts.tabs_section(urls, F.concat(titles, F.array(F.lit("beyond"))), F.array(F.lit(0))).alias("tabs"))
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id")
+def flatten_messages(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return turns.select("conv_id", prompts.flatten_messages(F.col("m")).alias("messages"))
+
+
+@query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || trim(text) || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) AS rendered FROM conversations GROUP BY conv_id")
+def chat_template(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    return turns.select("conv_id", prompts.chat_template(F.col("m")).alias("rendered"))
+
+
+_USER = f"'# Goal' || chr(10) || goal || chr(10) || '# Page' || chr(10) || observation || chr(10) || '{prompts.ACTIONS.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}' || chr(10) || CASE WHEN step_num > 0 THEN '# History' || chr(10) || history || chr(10) ELSE '' END || '{prompts.FINAL.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}'"
+_WITH_HISTORY = f"WITH {STEPS}, shown AS (SELECT *, coalesce(string_agg({_LINE}, chr(10)) {_BEFORE.format('UNBOUNDED')}, '') AS history FROM steps)"
+_SYSTEM = prompts.SYSTEM.replace("'", "''")
+
+
+@query(f"{_WITH_HISTORY} SELECT traj_id, step_num, 'system: {_SYSTEM}' || chr(10) || 'user: ' || {_USER} || CASE WHEN response IS NULL THEN '' ELSE chr(10) || 'assistant: ' || response END AS prompt FROM shown")
+def sft_rows_reasoning(spark, sf_dir):
+    rows = prompts.single_turn(views.steps(spark, sf_dir), history.append_history(_line()))
+    return rows.select("traj_id", "step_num", prompts.flatten_messages(F.col("prompt")).alias("prompt"))
+
+
+@query(f"{_WITH_HISTORY} SELECT traj_id, step_num, 'system: {_SYSTEM}' || chr(10) || 'user: ' || {_USER} || chr(10) || 'assistant: ' || response || chr(10) || 'user: {prompts.COMPRESS}' || chr(10) || 'assistant: ' || lower(response) AS prompt FROM shown WHERE response IS NOT NULL")
+def sft_rows_memory(spark, sf_dir):
+    rows = prompts.compression_turn(views.steps(spark, sf_dir), history.append_history(_line()), F.lower("response"))
+    return rows.select("traj_id", "step_num", prompts.flatten_messages(F.col("prompt")).alias("prompt"))
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, response IS NOT NULL AS sound FROM steps")
+def role_sequence_check(spark, sf_dir):
+    rows = prompts.single_turn(views.steps(spark, sf_dir), F.lit(""))
+    return rows.select("traj_id", "step_num", prompts.role_sequence_ok(F.col("prompt"), ("system", "user", "assistant")).alias("sound"))
+
+
+# -- curation, joins, sets ---------------------------------------------------------------------------------------------
+
+
+def _shortest_sql(k: int) -> str:
+    return f"WITH {TRAJECTORIES} SELECT goal, ordinal, num_steps FROM trajectories QUALIFY row_number() OVER (PARTITION BY goal ORDER BY num_steps, ordinal) <= {k}"
+
+
+@query(_shortest_sql(1))
+def shortest_per_goal_k1(spark, sf_dir):
+    return curate.shortest_per_goal(views.trajectories(spark, sf_dir), 1).select("goal", "ordinal", "num_steps")
+
+
+@query(_shortest_sql(2))
+def shortest_per_goal_k2(spark, sf_dir):
+    return curate.shortest_per_goal(views.trajectories(spark, sf_dir), 2).select("goal", "ordinal", "num_steps")
+
+
+@query(f"WITH {TRAJECTORIES} SELECT goal, ordinal FROM trajectories WHERE domain NOT IN ('F') AND num_steps >= 1 AND ordinal % 3 <> 0")
+def trajectory_filter(spark, sf_dir):
+    rows = views.trajectories(spark, sf_dir)
+    return rows.where(curate.usable(F.col("domain"), F.col("ordinal") % 3 != 0, F.col("num_steps"), "f")).select("goal", "ordinal")
+
+
+@query(f"WITH {STEPS} SELECT traj_id, row_number() OVER (PARTITION BY traj_id ORDER BY step_num) - 1 AS step_num, response FROM steps WHERE response IS NOT NULL")
+def dense_step_renumber(spark, sf_dir):
+    return curate.dense_steps(views.steps(spark, sf_dir), "step_num", "response").select("traj_id", F.col("step_num").cast("long").alias("step_num"), "response")
+
+
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def resume_anti_join(spark, sf_dir):
+    return curate.not_done(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0 AND doc_id IS NOT NULL) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels WHERE toxic = 0 AND doc_id NOT IN (SELECT doc_id FROM documents)")
+def pair_orphans(spark, sf_dir):
+    return curate.orphans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 0"), "doc_id")
+
+
+@query(f"WITH {STEPS} SELECT traj_id, count(response) AS n_labels, count(*) AS n_steps FROM steps GROUP BY 1 HAVING count(response) <> count(*) AND count(response) > 0")
+def label_count_mismatch(spark, sf_dir):
+    rows = views.steps(spark, sf_dir)
+    return curate.count_mismatch(rows.where("response IS NOT NULL"), rows, "traj_id")
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
+def status_histogram(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id AS traj_id, arg_max(value, event_id) AS memory FROM events GROUP BY 1")
+def last_label_wins(spark, sf_dir):
+    return curate.last_label(table(spark, sf_dir, "events").withColumnRenamed("user_id", "traj_id"), "traj_id", line="event_id", value="value").withColumnRenamed("value", "memory")
+
+
+@query("SELECT l_orderkey AS traj_id, min(l_linenumber) - 1 AS low, max(l_linenumber) - 1 AS high FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1 HAVING NOT (min(l_linenumber) = 1 AND max(l_linenumber) = count(*) AND count(DISTINCT l_linenumber) = count(*))")
+def step_contiguity_check(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <> 2").select(F.col("l_orderkey").alias("traj_id"), (F.col("l_linenumber") - 1).alias("step_num"))
+    return curate.contiguity_errors(rows).select("traj_id", "low", "high")
+
+
+@query("SELECT n_nationkey AS task_id, n_name AS intent, position FROM nation JOIN (VALUES (7, 0), (3, 1), (7, 2), (24, 3)) AS v(id, position) ON n_nationkey = id")
+def selected_tasks(spark, sf_dir):
+    tasks = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("task_id"), F.col("n_name").alias("intent"))
+    return curate.selected(tasks, [7, 3, 7, 24]).select("task_id", "intent", "position")
+
+
+@query("SELECT g AS group_index, g * 4 + k AS index, n_name AS intent FROM range(60) t(g) JOIN (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS o FROM nation) ON o = g % 25, range(4) r(k)")
+def replicated_tasks(spark, sf_dir):
+    tasks = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("offset"), F.col("n_name").alias("intent"))
+    return curate.replicated(tasks, 60, 4).select("group_index", "index", "intent")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100")
+def sliced_inputs(spark, sf_dir):
+    return curate.sliced(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100, 150)
+
+
+# -- rewards -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SAMPLES} SELECT group_index, index, reward FROM episodes")
+def episode_reward_last(spark, sf_dir):
+    return rewards.episode_rewards(views.samples(spark, sf_dir))
+
+
+@query(f"WITH {SAMPLES} SELECT group_index, index, round((reward - avg(reward) OVER w) / (stddev_samp(reward) OVER w + 1e-6), 6) AS normalized FROM episodes WINDOW w AS (PARTITION BY group_index)")
+def group_normalized_reward(spark, sf_dir):
+    rows = rewards.normalized(rewards.episode_rewards(views.samples(spark, sf_dir)))
+    return rows.select("group_index", "index", F.round("normalized", 6).alias("normalized"))
+
+
+@query(f"WITH {SAMPLES} SELECT group_index, index, round(reward - avg(reward) OVER (PARTITION BY group_index), 6) AS normalized FROM episodes")
+def group_centered_reward(spark, sf_dir):
+    rows = rewards.normalized(rewards.episode_rewards(views.samples(spark, sf_dir)), std=False)
+    return rows.select("group_index", "index", F.round("normalized", 6).alias("normalized"))
+
+
+@query(f"WITH {SAMPLES} SELECT group_index, index, CASE WHEN aborted THEN 0.0 ELSE reward END AS reward FROM episodes")
+def abort_override(spark, sf_dir):
+    return rewards.episode_rewards(views.samples(spark, sf_dir), abort_override=True)
+
+
+@query(f"WITH {SAMPLES} SELECT sum(n_tokens)::BIGINT AS total, min(n_tokens) AS least, max(n_tokens) AS most, round(avg(n_tokens), 6) AS mean, count(*) AS n, count(*) FILTER (status = 'aborted') AS aborted FROM samples")
+def token_stats(spark, sf_dir):
+    return rewards.token_stats(views.samples(spark, sf_dir))
+
+
+@query("SELECT event_type AS key, sum(length(props))::BIGINT AS total FROM events GROUP BY 1")
+def usage_totals(spark, sf_dir):
+    return rewards.usage_totals(table(spark, sf_dir, "events").select(F.create_map("event_type", F.length("props")).alias("usage")))
+
+
+@query(f"WITH {SAMPLES} SELECT group_index, count(DISTINCT task_id) AS tasks FROM (SELECT group_index, CASE WHEN ordinal % 1000 = 7 THEN -1 ELSE task_id END AS task_id FROM samples) GROUP BY 1 HAVING count(DISTINCT task_id) <> 1")
+def single_task_per_group(spark, sf_dir):
+    rows = views.samples(spark, sf_dir).withColumn("task_id", F.when(F.col("ordinal") % 1000 == 7, -1).otherwise(F.col("task_id")))
+    return rewards.task_errors(rows).select("group_index", "tasks")
+
+
+@query(f"WITH {SAMPLES} SELECT group_index, 'expected 6 got ' || count(*) AS error FROM episodes GROUP BY 1 HAVING count(*) <> 6")
+def group_integrity(spark, sf_dir):
+    return rewards.group_errors(views.samples(spark, sf_dir), 6)
+
+
+@query(f"WITH {SAMPLES} SELECT s.ordinal, m.n, round(m.total, 6) AS total FROM samples s JOIN (SELECT group_index, count(*) AS n, sum(reward) AS total FROM episodes GROUP BY 1) m USING (group_index)")
+def stamped_group_rewards(spark, sf_dir):
+    rows = rewards.stamped(views.samples(spark, sf_dir))
+    total = F.aggregate(F.array_sort(F.map_values("group_final_rewards")), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("ordinal", F.size("group_final_rewards").cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'aborted' WHEN 1 THEN 'truncated' ELSE 'completed' END AS status FROM events")
+def step_status(spark, sf_dir):
+    reasons = F.when(F.col("event_id") % 4 == 0, F.array(F.lit("length"), F.lit("abort"))).when(F.col("event_id") % 4 == 1, F.array(F.lit("stop"), F.lit("length"))).otherwise(F.array(F.lit("stop")))
+    return table(spark, sf_dir, "events").select("event_id", rewards.step_status(reasons).alias("status"))
+
+
+@query("WITH marked AS (SELECT l_orderkey AS traj_id, l_linenumber AS step_num, sum(CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) > 2 AS done FROM lineitem) SELECT traj_id, step_num FROM marked QUALIFY coalesce(sum(done::INT) OVER (PARTITION BY traj_id ORDER BY step_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0")
+def stopped_runs(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("traj_id"), F.col("l_linenumber").alias("step_num"), (F.col("l_quantity") > 25).alias("parse_error"), F.lit(False).alias("terminated"), F.lit(False).alias("truncated"))
+    return rewards.stopped_at(rows).select("traj_id", "step_num")
+
+
+# -- evaluators and URLs -----------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM nation")
+def exact_match(spark, sf_dir):
+    k = F.col("n_nationkey") % 3
+    pred = F.when(k == 0, F.concat(F.lit(' "'), F.lower("n_name"), F.lit('" '))).when(k == 1, F.lit("Other")).otherwise(F.lit("wrong"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", evaluate.exact_match(F.concat("n_name", F.lit(" |OR| other")), pred).alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN contains(lower(trim(text)), 'the ') OR contains(lower(trim(text)), 'der ') THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")
+def must_include(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents")
+    found = F.contains(F.lower("text"), F.lit("the ")) | F.contains(F.lower("text"), F.lit("der "))
+    scored = evaluate.must_include(F.lit("'the ' |OR| 'der '"), F.col("text"))
+    return rows.select("doc_id", F.when(scored == F.when(found, 1.0).otherwise(0.0), scored).otherwise(-1.0).alias("score"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM supplier")
+def coordinate_match(spark, sf_dir):
+    lat = (F.col("s_suppkey") % 80).cast("string")
+    reference, pred = F.concat(lat, F.lit(".5, -70.25")), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Coordinates: "), lat, F.lit(".505, -70.25"))).otherwise(F.concat(F.lit("coordinate: 95.0, 10; really "), lat, F.lit(".5, -70.25")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", evaluate.coordinate_match(reference, pred).alias("score"))
+
+
+_PARTS = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"SELECT page_id, {_PARTS} AS base, coalesce(array_to_string(list_transform(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: contains(x, '=') AND NOT ends_with(x, '=')), lambda x: replace(x, '=', '>')), ','), '') AS pairs FROM pages")
+def url_parts(spark, sf_dir):
+    pairs = F.array_join(F.transform(url.query_pairs(F.col("url")), lambda p: F.concat(p["key"], F.lit(">"), p["value"])), ",")
+    return table(spark, sf_dir, "pages").select("page_id", url.base(F.col("url")).alias("base"), pairs.alias("pairs"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM pages")
+def url_match_gold_in_pred(spark, sf_dir):
+    wanted = F.concat(F.lit("https://nowhere.example/x |OR| "), F.split("url", "[?#]")[0], F.lit("?q=1&q=2"))
+    pred = F.concat(F.split("url", "[?#]")[0], F.when(F.col("page_id") % 2 == 0, "?q=2&z=3").otherwise("?q=4"))
+    return table(spark, sf_dir, "pages").select("page_id", url.gold_in_pred(wanted, pred).alias("score"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM pages")
+def url_match_prefix(spark, sf_dir):
+    plain = F.split("url", "[?#]")[0]
+    return table(spark, sf_dir, "pages").select("page_id", url.prefix_match(F.when(F.col("page_id") % 2 == 0, plain).otherwise(F.concat(plain, F.lit("-no"))), F.concat(plain, F.lit("/more?x=1"))).alias("score"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) IN ('tiontion.example.net', 'tionble.example.org') AS allowed FROM pages")
+def authorized_hosts(spark, sf_dir):
+    hosts = F.array(F.lit("tiontion.example.net"), F.lit("tionble.example.org"))
+    return table(spark, sf_dir, "pages").select("page_id", url.authorized(F.array(F.col("url"), F.lit("")), hosts).alias("allowed"))
+
+
+@query("SELECT page_id, 'https://forum.example/f/group' || page_id % 9 || '/' || page_id || '/' AS post FROM pages")
+def forum_post_url(spark, sf_dir):
+    made = F.concat(F.lit("https://forum.example/f/group"), (F.col("page_id") % 9).cast("string"), F.lit("/"), F.col("page_id").cast("string"), F.lit("/some-title/comment/5"))
+    return table(spark, sf_dir, "pages").select("page_id", url.post_url(made).alias("post"))
+
+
+@query("SELECT event_id, round((event_id % 3) * 0.5 * (event_id % 2), 6)::DOUBLE AS score FROM events")
+def score_product(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", evaluate.product(F.array((F.col("event_id") % 3) * 0.5, (F.col("event_id") % 2).cast("double"))).alias("score"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 WHEN event_id % 4 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS score, event_id % 4 IN (0, 1, 2) AS terminated FROM events")
+def validated_scores(spark, sf_dir):
+    k = F.col("event_id") % 4
+    made = evaluate.validated(k == 1, k == 2, k != 0, F.when(k == 1, 1.0))
+    return table(spark, sf_dir, "events").select("event_id", made.alias("v")).select("event_id", "v.score", "v.terminated")
+
+
+@query("SELECT page_id, CASE WHEN contains(lower(replace(html, '&amp;', '&')), '<article>') THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM pages")
+def html_content_score(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select("page_id", text.html_unescape("html").alias("content"))
+    return rows.select("page_id", evaluate.html_score(F.col("content"), F.array(F.lit("<article>"))).alias("score"))
+
+
+@query("SELECT page_id, replace('T&amp;' || page_id, '&amp;', '&') AS plain FROM pages")
+def html_unescape_check(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.html_unescape(F.concat(F.lit("T&amp;"), F.col("page_id").cast("string"))).alias("plain"))
+
+
+# -- masks -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, len(string_split(observation, ' ')) AS prompt, len(string_split(response, ' ')) AS output FROM steps WHERE response IS NOT NULL")
+def loss_mask_segments(spark, sf_dir):
+    ids = lambda c: F.transform(F.split(c, " "), lambda w: (F.crc32(w) % 50_000).cast("int"))
+    rows = views.steps(spark, sf_dir).where("response IS NOT NULL").select("traj_id", "step_num", masks.merged((ids(F.col("observation")), False), (ids(F.col("response")), True)).alias("m"))
+    trained = F.size(F.filter("m.mask", lambda x: x == 1))
+    return rows.select("traj_id", "step_num", (F.size("m.tokens") - trained).alias("prompt"), trained.alias("output"))
+
+
+@query(f"WITH {STEPS} SELECT traj_id, step_num, '0x' || len(string_split(observation, ' ')) || ',1x' || len(string_split(response, ' ')) AS runs FROM steps WHERE response IS NOT NULL")
+def loss_mask_expand(spark, sf_dir):
+    ids = lambda c: F.transform(F.split(c, " "), lambda w: (F.crc32(w) % 50_000).cast("int"))
+    rows = views.steps(spark, sf_dir).where("response IS NOT NULL")
+    return rows.select("traj_id", "step_num", masks.run_lengths(masks.merged((ids(F.col("observation")), False), (ids(F.col("response")), True))["mask"]).alias("runs"))
+
+
+@query("SELECT conv_id, sum(len(string_split(text, ' ')))::BIGINT AS n, sum(CASE WHEN role = 'assistant' THEN len(string_split(text, ' ')) ELSE 0 END)::BIGINT AS trained FROM conversations GROUP BY 1")
+def appended_tokens(spark, sf_dir):
+    ids = F.transform(F.split("text", " "), lambda w: (F.crc32(w) % 50_000).cast("int"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", ids.alias("ids"), (F.col("role") == "assistant").alias("trained")))).alias("t"))
+    made = turns.select("conv_id", masks.appended(F.col("t")).alias("m"))
+    return made.select("conv_id", F.size("m.tokens").cast("long").alias("n"), F.aggregate("m.mask", F.lit(0).cast("long"), lambda a, b: a + b).alias("trained"))
+
+
+# -- trees, sessions, ports ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN event_id % 100 >= 50 THEN '1,2' ELSE '2' END AS ids FROM events")
+def visible_ids(spark, sf_dir):
+    kind = "map<string,struct<visibility:double>>"
+    properties = F.from_json(F.concat(F.lit('{"1":{"visibility":'), (F.col("event_id") % 100 / 100).cast("string"), F.lit('},"2":{"visibility":0.5},"3":{},"4":{"visibility":null}}')), kind)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(tree.visible_ids(properties), ",").alias("ids"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[1] Root|>[2] link|>>StaticText a' ELSE '[1] Root|>[4] group|>>[5] item' END AS kept FROM events")
+def tree_filter(spark, sf_dir):
+    shown = F.lit("[1] Root\n\t[2] link\n\t\tStaticText a\n\t\t[3] button\n\t[4] group\n\t\t[5] item\n\t\t[6] other")
+    ids = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("2"))).otherwise(F.array(F.lit("5")))
+    return table(spark, sf_dir, "events").select("event_id", F.translate(tree.keep_visible(shown, ids), "\n\t", "|>").alias("kept"))
+
+
+@query("WITH gaps AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), numbered AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM gaps) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM numbered GROUP BY user_id, s")
+def session_gap_30m(spark, sf_dir):
+    return sessions.sessions(table(spark, sf_dir, "events")).select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("SELECT pool, max(live)::BIGINT AS peak FROM (SELECT user_id % 10 AS pool, sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END) OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS live FROM events) GROUP BY 1")
+def live_session_peak(spark, sf_dir):
+    deltas = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("pool"), "event_id", F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("delta"))
+    return sessions.live_sessions(deltas, "pool", "event_id").groupBy("pool").agg(F.max("live").alias("peak"))
+
+
+@query("WITH states AS (SELECT user_id, event_id, list_extract(['idle', 'setting_up', 'occupied', 'tearing_down', 'error'], 1 + event_id % 5) AS state FROM events), pairs AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM states) SELECT user_id, event_id, before, state FROM pairs WHERE before IS NOT NULL AND before || '>' || state NOT IN ('idle>setting_up', 'setting_up>occupied', 'setting_up>error', 'occupied>tearing_down', 'tearing_down>idle', 'tearing_down>error', 'error>setting_up', 'error>tearing_down')")
+def port_state_legal(spark, sf_dir):
+    names = F.array(*map(F.lit, ("idle", "setting_up", "occupied", "tearing_down", "error")))
+    states = table(spark, sf_dir, "events").select("user_id", "event_id", F.get(names, (F.col("event_id") % 5).cast("int")).alias("state"))
+    return sessions.illegal_transitions(states, "user_id", "event_id")
+
+
+@query("SELECT event_id, (8081 + event_id % 8) || ',' || (9081 + event_id % 8) || ',443,444' AS ports FROM events")
+def port_assignment(spark, sf_dir):
+    sites = F.array(*map(F.lit, ("shopping", "reddit", "map", "wikipedia")))
+    found = sessions.assigned_ports(sites, {"map": 443, "wikipedia": 444}, [8081, 9081], F.col("event_id") % 8)
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(found.cast("array<string>"), ",").alias("ports"))
