@@ -48,8 +48,8 @@ def stamped(samples: DataFrame) -> DataFrame:
 def from_stored(samples: DataFrame, std: bool = True) -> DataFrame:
     """Normalized rewards from stored group maps, which may know episodes that were trimmed since."""
     stored = samples.groupBy("group_index").agg(F.max(F.to_json("group_final_rewards")).alias("m"), F.count_distinct(F.to_json("group_final_rewards")).alias("kinds"))
-    checked = stored.select("group_index", F.explode(F.from_json("m", "map<bigint,double>")).alias("index", "reward"), F.assert_true(F.col("kinds") == 1, F.lit("group maps differ")).alias("_ok"))
-    return normalized(checked.drop("_ok"), std).join(samples.select(*EPISODE).distinct(), list(EPISODE))
+    checked = stored.select("group_index", F.explode(F.from_json("m", "map<string,double>")).alias("index", "reward"), F.assert_true(F.col("kinds") == 1, F.lit("group maps differ")).alias("_ok"))
+    return normalized(checked.select("group_index", F.col("index").cast("long").alias("index"), "reward"), std).join(samples.select(*EPISODE).distinct(), list(EPISODE))
 
 
 def token_stats(samples: DataFrame, length: str = "n_tokens") -> DataFrame:
