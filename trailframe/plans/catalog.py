@@ -300,13 +300,13 @@ def episode_reward_last(spark, sf_dir):
     return rewards.episode_rewards(views.samples(spark, sf_dir))
 
 
-@query(f"WITH {SAMPLES} SELECT group_index, index, round((reward - avg(reward) OVER w) / (stddev_samp(reward) OVER w + 1e-6), 6) AS normalized FROM episodes WINDOW w AS (PARTITION BY group_index)")
+@query(f"WITH {SAMPLES} SELECT group_index, index, round(CASE WHEN count(*) OVER w = 1 THEN reward ELSE (reward - avg(reward) OVER w) / (stddev_samp(reward) OVER w + 1e-6) END, 6) AS normalized FROM episodes WINDOW w AS (PARTITION BY group_index)")
 def group_normalized_reward(spark, sf_dir):
     rows = rewards.normalized(rewards.episode_rewards(views.samples(spark, sf_dir)))
     return rows.select("group_index", "index", F.round("normalized", 6).alias("normalized"))
 
 
-@query(f"WITH {SAMPLES} SELECT group_index, index, round(reward - avg(reward) OVER (PARTITION BY group_index), 6) AS normalized FROM episodes")
+@query(f"WITH {SAMPLES} SELECT group_index, index, round(CASE WHEN count(*) OVER w = 1 THEN reward ELSE reward - avg(reward) OVER w END, 6) AS normalized FROM episodes WINDOW w AS (PARTITION BY group_index)")
 def group_centered_reward(spark, sf_dir):
     rows = rewards.normalized(rewards.episode_rewards(views.samples(spark, sf_dir)), std=False)
     return rows.select("group_index", "index", F.round("normalized", 6).alias("normalized"))
