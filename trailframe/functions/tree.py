@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_BID = re.compile(r"\[([0-9]+)\]")
 
 
 def visible_ids(properties: Column, least: float = 0.5) -> Column:
@@ -20,40 +26,45 @@ def parse_lines(tree: Column) -> Column:
     return F.transform(F.split(tree, "\n", -1), one)
 
 
+def _kept_lines(tree: str, ids: set[str]) -> str:
+    """One pass down for depths and shown lines, then up the chains, each line once."""
+    lines = tree.split("\n")
+    depths = [len(x) - len(x.lstrip("\t")) for x in lines]
+    shown = [bool((m := _BID.search(x)) and m[1] in ids) for x in lines]
+    up: list[int | None] = []  # by line: the nearest one above of exactly one level less
+    latest: dict[int, int] = {}
+    open_: list[int] = []  # lines that can still have children, depths rising
+    kept = set()
+    for i, d in enumerate(depths):
+        up.append(latest.get(d - 1))
+        latest[d] = i
+        while open_ and depths[open_[-1]] >= d:
+            open_.pop()
+        child = open_ and depths[open_[-1]] == d - 1 and shown[open_[-1]]
+        if shown[i] or child and "StaticText" in lines[i]:
+            kept.add(i)
+        open_.append(i)
+    for i in list(kept):
+        above = up[i]
+        while above is not None and above not in kept:
+            kept.add(above)
+            above = up[above]  # where it stops, that line has climbed its own chain or will
+    return "\n".join(lines[i] for i in sorted(kept))
+
+
+@F.arrow_udf(T.StringType())
+def _keep(trees: pa.Array, ids: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _kept_lines(t, set(x or ())) for t, x in zip(trees.to_pylist(), ids.to_pylist(), strict=True)], pa.string())
+
+
 def keep_visible(tree: Column, ids: Column) -> Column:
     """The visible lines, their direct StaticText children, and the ancestors of both.
 
     A child belongs to the nearest line above it that is no deeper than one level up. An ancestor is the nearest line
-    above of exactly the depth sought, one level less each time, passing over all others.
+    above of exactly the depth sought, one level less each time, passing over all others. A null tree stays null; null
+    ids show nothing. Runs on Arrow batches, in time linear in the tree: array functions would search it anew for each line.
     """
-    lines = parse_lines(tree)
-    shown = F.transform(lines, lambda x: F.coalesce(F.array_contains(ids, x["bid"]), F.lit(False)))
-
-    def above(x: Column, test) -> Column:
-        """The nearest line above that passes."""
-        found = F.filter(lines, lambda y: (y["n"] < x["n"]) & test(y))
-        return F.get(found, F.size(found) - 1)
-
-    def static(x: Column) -> Column:
-        # under a shown line y: all lines between are deeper than y, and x is one deeper
-        parent = above(x, lambda y: y["depth"] < x["depth"])
-        return F.contains(x["line"], F.lit("StaticText")) & (parent["depth"] == x["depth"] - 1) & F.get(shown, parent["n"])
-
-    kept = F.transform(lines, lambda x: F.get(shown, x["n"]) | F.coalesce(static(x), F.lit(False)))
-    # ancestors of line x: for x's depth - 1 down to 0, the nearest line of that depth above the one found before
-    def chain(x: Column) -> Column:
-        start = F.struct(x["n"].alias("n"), F.array().cast("array<int>").alias("found"), F.lit(True).alias("open"))
-
-        def step(a: Column, d: Column) -> Column:
-            y = F.filter(lines, lambda z: (z["n"] < a["n"]) & (z["depth"] == d))
-            hit = F.get(y, F.size(y) - 1)["n"]
-            return F.when(a["open"] & hit.isNotNull(), F.struct(hit.alias("n"), F.concat(a["found"], F.array(hit)).alias("found"), F.lit(True).alias("open"))).otherwise(F.struct(a["n"].alias("n"), a["found"].alias("found"), F.lit(False).alias("open")))
-
-        depths = F.when(x["depth"] > 0, F.sequence(x["depth"] - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(depths, start, step, lambda a: a["found"])
-
-    ancestors = F.flatten(F.transform(F.filter(lines, lambda x: F.get(kept, x["n"])), chain))
-    return F.array_join(F.transform(F.filter(lines, lambda x: F.get(kept, x["n"]) | F.array_contains(ancestors, x["n"])), lambda x: x["line"]), "\n")
+    return _keep(tree, ids.cast("array<string>"))
 
 
 def bbox_scale(*candidates: Column) -> Column:
