@@ -21,12 +21,13 @@ Null texts count as empty and hold only the end id. Repeated rows and ids are en
 
 from __future__ import annotations
 
-import re
+import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +35,8 @@ from trailframe.llm.common import written
 
 #: The id appended to each document.
 END = 1
-#: Ids of a block, and words that a Python worker remembers before it starts over.
-BLOCK, REMEMBERED = 1 << 18, 1_200_000
+#: Ids of a block; words that a Python worker remembers before it starts over; bytes of texts that it splits at once.
+BLOCK, REMEMBERED, AT_ONCE = 1 << 18, 1_200_000, 1 << 24
 
 
 def default_path() -> str:
@@ -80,16 +81,16 @@ def decode(control: bytes, data: bytes, count: int) -> np.ndarray:
 # -- text to ids ---------------------------------------------------------------------------------------------------
 
 
-#: A comma or full stop that ends a word after something other than an ASCII letter or digit or a Latin-1 letter.
-_JOINED = re.compile(rb"(?:[^a-zA-Z0-9\s\x80-\xbf]|[^\xc3][\x80-\xbf]|\xc3[\x97\xb7])[.,]\s")
+#: A lower-cased word whose comma or full stop the tokenizer takes apart: it follows an ASCII letter or digit or a Latin-1 letter.
+_MARKED = r"[a-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}][.,]$"
 
 
-def _split(text: bytes) -> list[bytes]:
-    """Words between ASCII white space; a comma or full stop after a letter is a word of its own, where all are."""
-    if not _JOINED.search(text):
-        for mark in (b", ", b". ", b",\n", b".\n"):
-            text = text.replace(mark, b" " + mark)
-    return text.split()
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] to starts[i] + lengths[i] - 1 of every i in turn."""
+    ends = np.cumsum(lengths)
+    out = np.repeat(starts - (ends - lengths), lengths)
+    out += np.arange(len(out))
+    return out
 
 
 class Encoder:
@@ -105,30 +106,85 @@ class Encoder:
         self.special = [t.content for t in added.values() if t.content]
         # a special string stands between the words of one long text, which is faster than a text for each word
         self.mark, self.between = next(((i, t.content) for i, t in added.items() if t.content and not (t.lstrip or t.rstrip or t.single_word)), (None, None))
-        self.known: dict[bytes, bytes] = {}
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text, without the end id."""
-        whole = [bool(t) and any(s in t for s in self.special) for t in texts]
-        split = [[] if not t or w else _split(t.encode().lower()) for t, w in zip(texts, whole, strict=True)]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
+        self.points = {m: self._plain(m) for m in ".,"}
+        self._forget()
+
+    def _plain(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _forget(self) -> None:
+        """No words: each word's place in `starts` and `lengths`, which say where in `pool` its ids are."""
+        self.known: dict[str, int] = {}
+        self.pool, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, number of each text's ids), without end ids."""
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        alone = {int(i): self._plain(texts[int(i)].as_py()) for i in np.flatnonzero(special)}
+        if alone:
+            texts = pc.if_else(pa.array(special), pa.scalar("", texts.type), texts)
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        coded = split.flatten().dictionary_encode()
+        pool, lengths = self._distinct(coded.dictionary)
+        starts = np.cumsum(lengths) - lengths
+        words = coded.indices.to_numpy()
+        sizes = lengths[words]
+        flat = pool[_ranges(starts[words], sizes)]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(split.offsets)]
+        counts = np.diff(ends)
+        if alone:
+            parts = [alone.get(i, flat[a:b]) for i, (a, b) in enumerate(itertools.pairwise(ends.tolist()))]
+            flat, counts = np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        return flat, counts
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the words in turn, number of each word's ids); the words are lower-cased and differ."""
+        marked = pc.match_substring_regex(words, _MARKED)
+        bases = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        places = self._places(bases.dictionary.to_numpy(zero_copy_only=False).tolist())[bases.indices.to_numpy()]
+        own, lengths = self.lengths[places], self.lengths[places]
+        stop = pc.and_(marked, pc.ends_with(words, ".")).to_numpy(zero_copy_only=False)
+        comma = pc.and_(marked, pc.ends_with(words, ",")).to_numpy(zero_copy_only=False)
+        for where, ids in ((stop, self.points["."]), (comma, self.points[","])):
+            lengths = lengths + where * len(ids)
+        starts = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.uint32)
+        out[_ranges(starts, own)] = self.pool[_ranges(self.starts[places], own)]
+        for where, ids in ((stop, self.points["."]), (comma, self.points[","])):
+            for k, i in enumerate(ids):
+                out[(starts + own + k)[where]] = i
+        return out, lengths
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Each word's place; words without one are encoded and get one."""
+        found = list(map(self.known.get, words))
+        new = [w for w, at in zip(words, found, strict=True) if at is None]
+        if new and len(self.known) + len(new) > REMEMBERED:
+            self._forget()
+            found, new = [None] * len(words), words
+        ids, lengths = [self.pool], [self.lengths]
         for at in range(0, len(new), 20_000):
-            self.known.update(zip(new[at : at + 20_000], self._words([w.decode() for w in new[at : at + 20_000]]), strict=True))
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w else b"".join(map(get, words)) for t, w, words in zip(texts, whole, split, strict=True)]
-
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of the words, none of which holds a special string."""
+            more, sizes = self._words(new[at : at + 20_000])
+            ids.append(more)
+            lengths.append(sizes)
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.pool, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+            self.starts = np.cumsum(self.lengths) - self.lengths
+            found = [self.known[w] if at is None else at for w, at in zip(words, found, strict=True)]
+        return np.array(found, np.int64)
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each word's ids) of words none of which holds a special string."""
         if self.between is None:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(words)], add_special_tokens=False)[0].ids, "<u4")
-        marks = (4 * np.flatnonzero(ids == self.mark)).tolist()
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *(m + 4 for m in marks)], [*marks, len(raw)], strict=True)]
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array(list(itertools.chain.from_iterable(each)), np.uint32), np.array(list(map(len, each)), np.int64)
+        ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        marks = np.flatnonzero(ids == self.mark)
+        return ids[ids != self.mark], np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
 
 
 _made: dict[str, Encoder] = {}
@@ -161,33 +217,46 @@ def sorted_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts, held, size, first, part = [], [], [], 0, 0, 0
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], np.uint32)
 
         def block() -> pa.RecordBatch:
-            return _rows(IDS, part=[part], first=[first], doc_ids=[ids], counts=[counts], ids=[_packed(b"".join(held))])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                rows = batch.slice(at, 200)
-                part = rows.column(2)[0].as_py()
-                for doc_id, raw in zip(rows.column(0).to_pylist(), encoder(path).ids(rows.column(1).to_pylist()), strict=True):
-                    held += (raw, end)
-                    ids.append(doc_id)
-                    counts.append(len(raw) // 4 + 1)
-                    size += counts[-1]
-                    if size >= BLOCK:
-                        yield block()
-                        first, size, ids, counts, held = first + size, 0, [], [], []
+            return _rows(IDS, part=[part], first=[first], doc_ids=[ids], counts=[counts], ids=[_packed(np.concatenate(held))])
+
+        for rows in _pieces(batches):
+            part = rows.column(2)[0].as_py()
+            flat, sizes = encoder(path).ids(rows.column(1))
+            at = 0
+            for doc_id, n in zip(rows.column(0).to_pylist(), sizes.tolist(), strict=True):
+                held += (flat[at : at + n], end)
+                ids.append(doc_id)
+                counts.append(n + 1)
+                size, at = size + n + 1, at + n
+                if size >= BLOCK:
+                    yield block()
+                    first, size, ids, counts, held = first + size, 0, [], [], []
         if ids:
             yield block()
 
     return placed.withColumn("part", F.spark_partition_id()).mapInArrow(run, IDS)
 
 
-def _packed(raw: bytes) -> bytes:
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in turn, up to AT_ONCE bytes of text at a time; a longer text by itself."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).tolist()
+        start, held = 0, 0
+        for i, n in enumerate(sizes):
+            if held and held + n > AT_ONCE:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+def _packed(ids: np.ndarray) -> bytes:
     """32-bit ids in two bytes each where they fit; the first byte tells."""
-    ids = np.frombuffer(raw, "<u4")
-    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + raw
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + ids.astype("<u4").tobytes()
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
