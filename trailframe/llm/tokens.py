@@ -36,7 +36,7 @@ from trailframe.llm.common import written
 #: The id appended to each document.
 END = 1
 #: Ids of a block; words that a Python worker remembers before it starts over; bytes of texts that it splits at once.
-BLOCK, REMEMBERED, AT_ONCE = 1 << 18, 1_200_000, 1 << 24
+BLOCK, REMEMBERED, AT_ONCE = 1 << 18, 1_200_000, 1 << 23
 
 
 def default_path() -> str:
@@ -88,8 +88,10 @@ _MARKED = r"[a-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}][.,]$"
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers starts[i] to starts[i] + lengths[i] - 1 of every i in turn."""
     ends = np.cumsum(lengths)
-    out = np.repeat(starts - (ends - lengths), lengths)
-    out += np.arange(len(out))
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if total + int(starts.max(initial=0)) < 1 << 31 else np.int64
+    out = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    out += np.arange(total, dtype=kind)
     return out
 
 
