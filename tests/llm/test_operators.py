@@ -92,6 +92,25 @@ def test_html_templates(spark, bound):
     assert got == {n: f"article {n}" for n in range(12)} | {100: "Home | Shop"}
 
 
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_html_article_templates(spark, bound):
+    own = lambda n, k: f"<p>own{n} text{k} w{n * 31 + k} x{n * 17 + k} end{n}</p>"
+    quote, notice, menu = "<p>a passage that many quote</p>", "<h2>More</h2><p>read the other stories of this site</p>", "<div>North South East West</div>"
+    rows, want = [], {}
+    for n in range(60):  # a notice and a section menu on 33 of 60 pages, a quotation at many places
+        body = [own(n, k) for k in range(7)]
+        body.insert(n % 7, quote)
+        rows.append((n, "http://h/", f"<body><article><h1>Report</h1>{menu if n < 33 else ''}{''.join(body)}{notice if n < 33 else '<p>by ' + str(n) + '</p>'}</article></body>"))
+        want[n] = " ".join(re.sub("<[^>]*>", " ", "Report " + "".join(body) + ("" if n < 33 else f" by {n}")).split())
+    for n in range(60, 90):  # near copies of an article on a host of their own
+        body = "".join(own(1000, k) for k in range(9))
+        rows.append((n, "http://copies/", f"<body><article>{body}<p>copy {n}</p></article></body>"))
+        want[n] = " ".join(re.sub("<[^>]*>", " ", f"{body} copy {n}").split())
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), bound).collect()}
+    # "More" goes with its block
+    assert got == want
+
+
 # -- fitted models
 
 

@@ -4,13 +4,19 @@
 2. Elements that say what they are go first: scripts, styles, menus, forms, footers, asides and, by the words of their
    class, id or role, menus, sidebars, adverts, notices, reader comments and the like. The main element is the page's
    <article>, <main>, an element marked as main content, or else the body.
-3. Every element left that could be template is hashed with all that it holds. Hashes are counted per host over
-   distinct pages; one on TEMPLATE_SHARE of a host's pages or more, and on TEMPLATE_PAGES at least, is template and is
-   deleted. Paragraph-like elements of an <article>, <main> or marked element are the article itself and are not
-   counted: a passage that many articles quote, or an article in many copies, is no template.
+3. Every subtree left is hashed with all that it holds and counted per host over distinct pages, article blocks too.
+   Anywhere on the page, one on TEMPLATE_SHARE of a host's pages is template, if it is no paragraph-like element of an
+   <article>, <main> or marked element. A block (a child of the main element or of its div and section wrappers) needs
+   no such share, but LOW_SHARE or MANY_PAGES, as its place and neighbours tell it from a quoted passage: it is
+   template where PLACED of its pages have it at the same place, counted from the first or the last sibling, and the
+   text around it has OTHERS as many MinHash values as it has pages. A passage that many articles quote stands at
+   many places or on many hosts (ON_HOST of the block's pages anywhere must be this host's, so a block that sister
+   hosts share stays), and an article in many copies has the same text around each of its blocks. TEMPLATE_PAGES is the least
+   number of pages for either. A placed block is deleted at that place only, a heading only with the block after it, an h1 never.
 4. Text is what is left: character references decoded, white space inside a block one space, blocks joined by one.
 
-Counting is an aggregation on (host, hash) that sums up map-side, so a host with a third of all pages is no hot key.
+Counting is an aggregation on (host, hash) that sums up map-side, so a host with a third of all pages is no hot key;
+places and neighbours are counted for hashes on TEMPLATE_PAGES pages or more only.
 Templates are handed to the second parse by broadcast while they are at most BROADCAST_TEMPLATES rows, and by a join on
 the page beyond that.
 
@@ -22,7 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import itertools
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,6 +40,8 @@ from pyspark.sql import functions as F
 from trailframe.llm.common import written
 
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.6, 10
+#: For blocks at the same place: the least share of a host's pages or else number of them; the share of a block's pages that have it there, that are the host's, and of different texts around it.
+LOW_SHARE, MANY_PAGES, PLACED, ON_HOST, OTHERS = 0.01, 1000, 0.8, 0.8, 0.5
 BROADCAST_TEMPLATES = 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)([^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
@@ -45,6 +55,8 @@ _DROPPED = frozenset("head script style noscript template title nav footer aside
 _NAMES = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar sidenav aside complementary contentinfo widget widgets ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search form share sharing social related recommended recommendations comment comments commentlist respond disqus replies pagination pager toolbar skip banner masthead hidden dialog".split())
 _HEADERS = frozenset("header masthead topbar banner".split())
 _MAIN = frozenset("article articlebody post entry story content main".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_WRAPPERS = frozenset("html body main article div section center".split())
 _CONTAINERS = frozenset("html body main article".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _P_ENDERS = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -187,13 +199,65 @@ def subtree_hash(elements: list[Element], pieces: list[tuple[int, str]], i: int)
     return int.from_bytes(hashlib.blake2b(f"{e.tag}\x1d{inner}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def candidates(page: str | None) -> list[int]:
-    """Distinct hashes of a page's elements that could be template and hold text."""
+def blocks(elements: list[Element], roots: list[int]) -> list[tuple[int, int, int, int]]:
+    """(element, its place from the first sibling, from the last, next sibling or -1) of the blocks of the main elements."""
+    paths: dict[int, str] = dict.fromkeys(roots, "")
+    children: dict[int, list[int]] = {r: [] for r in roots}
+    for i, e in enumerate(elements):
+        if e.parent in children and not e.dropped and e.tag not in _INLINE and i not in paths:
+            children[e.parent].append(i)
+            if e.tag in _WRAPPERS:
+                paths[i], children[i] = f"{paths[e.parent]}/{e.tag}", []
+    found = []
+    for p, own in children.items():
+        for k, i in enumerate(own):
+            first, last = (zlib.crc32(f"{paths[p]}{side}{n}".encode()) for side, n in ((">", k), ("<", len(own) - k)))
+            found.append((i, first, last, own[k + 1] if k + 1 < len(own) else -1))
+    return sorted(found)
+
+
+def _shingle(text: str) -> int:
+    """The least hash of a text's three-word runs."""
+    words = text.split()
+    return min(zlib.crc32(f"{a} {b} {c}".encode("utf-8", "surrogatepass")) for a, b, c in zip(words, words[1:], words[2:])) if len(words) > 2 else zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass")) if words else _NO_TEXT
+
+
+_NO_TEXT = 1 << 32
+
+
+def candidates(page: str | None) -> list[tuple[int, int, int, bool]]:
+    """(hash, id, rest, first of its hash) of what could be template and holds text.
+
+    The id is the hash itself for elements that may be template anywhere, and else the hash at a place; rest is the
+    MinHash value of the main text around it.
+    """
     if not page:
         return []
     elements, pieces = parse(page)
-    marked(elements)
-    return sorted({subtree_hash(elements, pieces, i) for i, e in enumerate(elements) if e.inner and not e.dropped and any(t.strip("\0").strip() for _, t in pieces[e.start : e.end])})
+    roots = marked(elements)
+    placed = {i: (first, last) for i, first, last, _ in blocks(elements, roots)}
+    before, after = [_NO_TEXT] * (len(pieces) + 1), [_NO_TEXT] * (len(pieces) + 1)
+    for r in roots:
+        for k in range(elements[r].start, elements[r].end):
+            owner, text = pieces[k]
+            before[k + 1] = _NO_TEXT if text == "\0" or elements[owner].dropped else _shingle(text)
+    own = before[1:]
+    for k, x in enumerate(own):
+        before[k + 1] = min(before[k], x)
+    for k in range(len(own) - 1, -1, -1):
+        after[k] = min(after[k + 1], own[k])
+    rows: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
+    hashes: set[int] = set()
+    for i, e in enumerate(elements):
+        if e.dropped or not (e.inner or i in placed) or not any(t.strip("\0").strip() for _, t in pieces[e.start : e.end]):
+            continue
+        x = subtree_hash(elements, pieces, i)
+        rest = min(before[e.start], after[e.end])
+        for at in (*((x,) if e.inner else ()), *(hash((x, place)) for place in placed.get(i, ()))):  # hashes of numbers are the same in every process
+            if (x, at) not in rows:
+                rows[x, at] = (x, at, rest, x not in hashes)
+                hashes.add(x)
+    return list(rows.values())
 
 
 def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -204,6 +268,11 @@ def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset
     roots = marked(elements)
     dead = [e.dropped for e in elements]
     if templates:
+        for i, first, last, following in reversed(blocks(elements, roots)):
+            x = subtree_hash(elements, pieces, i)
+            gone = (elements[i].inner and x in templates) or hash((x, first)) in templates or hash((x, last)) in templates
+            # headings that articles share, such as "References", are the articles' own
+            dead[i] = gone and (elements[i].tag not in _HEADINGS or (elements[i].inner and x in templates) or (elements[i].tag != "h1" and following >= 0 and dead[following]))
         for i, e in enumerate(elements):
             dead[i] = dead[i] or (e.parent >= 0 and dead[e.parent]) or (e.inner and subtree_hash(elements, pieces, i) in templates)
     out: list[str] = []
@@ -218,25 +287,36 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES) -> DataFrame:
-    """(host, hash) of the site templates; pages with the same html count once."""
+def templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, most_broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
+    """(host, hash) of the site templates, anywhere or at a place; pages with the same html count once."""
+    kind = pa.struct([("hash", pa.int64()), ("id", pa.int64()), ("rest", pa.int64()), ("lead", pa.bool_())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [candidates(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.list_(pa.int64()))], ["host", "page", "hashes"])
-
-    seen = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, page long, hashes array<long>")
-    seen = written(seen, "subtrees")
-    sizes = seen.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
-    counts = seen.select("host", "page", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return counts.join(sizes, "host").where(F.col("n") >= F.col("n_pages") * share).select("host", "hash")
+            each = [candidates(x) for x in batch.column(2).to_pylist()]
+            ends = [0, *itertools.accumulate(map(len, each))]
+            columns = list(zip(*itertools.chain.from_iterable(each), strict=True)) or [()] * 4
+            flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["host", "page", "found"])
+
+    seen = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, page long, found array<struct<hash: long, id: long, rest: long, lead: boolean>>")
+    seen = written(seen.dropDuplicates(["host", "page"]), "subtrees")
+    sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
+    flat = seen.select("host", F.inline("found"))
+    often = written(flat.where("lead").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_all")).where(F.col("n_all") >= least), "repeated")
+    everywhere = flat.where("lead").groupBy("hash").agg(F.count(F.lit(1)).alias("n_everywhere")).where(F.col("n_everywhere") >= least)
+    near = F.broadcast(often) if often.count() <= most_broadcast else often
+    counts = flat.join(near, ["host", "hash"]).groupBy("host", "hash", "id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rest").alias("rests"), F.first("n_all").alias("n_all"))
+    n, whole = F.col("n"), F.col("n_pages")
+    anywhere = (F.col("id") == F.col("hash")) & (n >= whole * share)
+    placed = (F.col("id") != F.col("hash")) & ((n >= whole * LOW_SHARE) | (n >= MANY_PAGES)) & (n >= F.col("n_all") * PLACED) & (F.col("rests") >= n * OTHERS)
+    return counts.where(n >= least).join(everywhere, "hash").join(sizes, "host").where(anywhere | (placed & (F.col("n_all") >= F.col("n_everywhere") * ON_HOST))).select("host", F.col("id").alias("hash"))
 
 
 def extract(pages: DataFrame, most_broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession
-    found = written(templates(pages), "templates")
+    found = written(templates(pages, most_broadcast=most_broadcast), "templates")
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     if found.count() <= most_broadcast:
         by_host: dict[str, set[int]] = {}
@@ -252,7 +332,7 @@ def extract(pages: DataFrame, most_broadcast: int = BROADCAST_TEMPLATES) -> Data
 
         def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([candidates(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int64()))], ["page", "host", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[c[1] for c in candidates(x)] for x in batch.column(2).to_pylist()], pa.list_(pa.int64()))], ["page", "host", "hashes"])
 
         pairs = own.mapInArrow(listed, "page long, host string, hashes array<long>").select("page", "host", F.explode("hashes").alias("hash"))
         gone = pairs.join(found, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("hashes"))
