@@ -92,6 +92,22 @@ def test_html_templates(spark, bound):
     assert got == {n: f"article {n}" for n in range(12)} | {100: "Home | Shop"}
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><h2 id="how-to-search">How</h2><section id="form-validation">forms</section><h2 id="related-work">R</h2><div id="search-engine-history">s</div></article>', "How forms R s"),
+        ('<article><p><a href="/p?id=search">link</a> <b data-id="ad-7">bold</b> <i title="a hidden gem">gem</i> <a class="share" role="search">word</a></p><p data-class="ad">x</p></article>', "link bold gem word x"),
+        ('<body><div class="content sidebar-left"><article><p>whole</p></article></div></body>', "whole"),
+        ('<body><div class="sidebar-left content"><p>whole text</p></div><p>a</p></body>', "whole text"),
+        ('<body><h2 id="main-results">R</h2><p>text</p></body>', "R text"),
+        ('<body><article><p>x</p><div class="ad-slot">a</div><div id="postComments">c</div><div class="widget-3 clearfix">w</div><p hidden>h</p><div role="search">s</div></article></body>', "x"),
+        ('<body><div class="content">main</div><div class="sidebar"><article>teaser</article></div></body>', "main"),
+    ],
+)
+def test_html_names(page, text):
+    assert html_text.main_text(page) == text
+
+
 @pytest.mark.parametrize("bound", [1000, 0])
 def test_html_article_templates(spark, bound):
     own = lambda n, k: f"<p>own{n} text{k} w{n * 31 + k} x{n * 17 + k} end{n}</p>"

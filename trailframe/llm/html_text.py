@@ -1,9 +1,11 @@
 """Main text of web pages: site templates go by subtree hashes counted per host.
 
 1. A page is parsed into elements; unclosed and stray tags are repaired as browsers do in the cases that matter here.
-2. Elements that say what they are go first: scripts, styles, menus, forms, footers, asides and, by the words of their
-   class, id or role, menus, sidebars, adverts, notices, reader comments and the like. The main element is the page's
-   <article>, <main>, an element marked as main content, or else the body.
+2. Elements that say what they are go first: scripts, styles, menus, forms, footers, asides and, by a whole class, id
+   or role, menus, sidebars, adverts, notices, reader comments and the like: every word of it must be such a name or a
+   part of a page ("site-footer", "ad-7"), so "related-work" and "form-validation" stay. Headings and inline elements
+   do not go by name, and neither does what surrounds all of the page's <article> and <main>. The main element is the
+   page's <article>, <main>, an element marked as main content, or else the body.
 3. Every subtree left is hashed with all that it holds and counted per host over distinct pages, article blocks too.
    Anywhere on the page, one on TEMPLATE_SHARE of a host's pages is template, if it is no paragraph-like element of an
    <article>, <main> or marked element. A block (a child of the main element or of its div and section wrappers) needs
@@ -45,7 +47,7 @@ LOW_SHARE, MANY_PAGES, PLACED, ON_HOST, OTHERS = 0.01, 1000, 0.8, 0.8, 0.5
 BROADCAST_TEMPLATES = 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)([^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noframes template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp".split())
@@ -53,6 +55,9 @@ _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr tbo
 _DROPPED = frozenset("head script style noscript template title nav footer aside form button select textarea input iframe svg canvas object embed menu dialog option datalist map audio video".split())
 #: Words of class, id or role that name what is no article.
 _NAMES = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar sidenav aside complementary contentinfo widget widgets ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search form share sharing social related recommended recommendations comment comments commentlist respond disqus replies pagination pager toolbar skip banner masthead hidden dialog".split())
+#: Words that stand beside such a name in a class, id or role.
+_PARTS = frozenset("site page main left right top bottom primary secondary global local mobile desktop header list area box block container wrapper wrap slot unit bar section group button buttons link links post posts article articles entry story stories item items inner outer row column col panel zone holder body content text title label icon icons js wp".split())
+_ASIDES = frozenset("comment comments reply ad advert promo related".split())
 _HEADERS = frozenset("header masthead topbar banner".split())
 _MAIN = frozenset("article articlebody post entry story content main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -66,27 +71,37 @@ _BARRIER = frozenset("html body article section div main table ul ol dl td th na
 class Element:
     """An element: where its pieces begin and end, and what its attributes say."""
 
-    __slots__ = ("tag", "parent", "start", "end", "names", "hidden", "dropped", "inner")
+    __slots__ = ("tag", "parent", "start", "end", "names", "tokens", "hidden", "dropped", "inner")
 
     def __init__(self, tag: str, parent: int, start: int, attributes: str):
         self.tag, self.parent, self.start, self.end = tag, parent, start, -1
-        self.names, self.hidden = _names(attributes) if attributes and not attributes.isspace() else ((), False)
+        self.tokens, self.hidden = _tokens(attributes) if attributes and not attributes.isspace() else ((), False)
+        self.names = tuple(itertools.chain.from_iterable(self.tokens))
         self.dropped = False
         self.inner = False
 
 
-def _names(attributes: str) -> tuple[tuple[str, ...], bool]:
-    """Words of class, id, role and itemprop, in lower case; whether the element is hidden."""
-    words: list[str] = []
+def _tokens(attributes: str) -> tuple[tuple[tuple[str, ...], ...], bool]:
+    """Words of each class, of the id and of each role and itemprop, in lower case; whether the element is hidden."""
+    tokens: list[tuple[str, ...]] = []
     hidden = False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        name, value = m[1].lower(), m[2] or ""
+        value = value[1:-1] if value[:1] in ("'", '"') else value
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            hidden = hidden or m.start() == 0 or attributes[m.start() - 1].isspace()
+            hidden = True
         elif name in ("class", "id", "role", "itemprop"):
-            value = re.sub(r"\b(?:no|with|has|without|non)[-_]\w+", " ", re.sub(r"([a-z])([A-Z])", r"\1-\2", value)) if name != "itemprop" else value
-            words += re.findall(r"[a-z0-9]+", value.lower())
-    return tuple(words), hidden
+            for token in value.split():
+                token = re.sub(r"\b(?:no|with|has|without|non)[-_]\w+", " ", re.sub(r"([a-z])([A-Z])", r"\1-\2", token)) if name != "itemprop" else token
+                words = tuple(re.findall(r"[a-z0-9]+", token.lower()))
+                if words:
+                    tokens.append(words)
+    return tuple(tokens), hidden
+
+
+def _named(e: Element, names: frozenset[str]) -> bool:
+    """Whether a whole class, id or role is one of the names, parts of a page beside it aside."""
+    return any(any(w in names for w in t) and all(w in names or w in _NAMES or w in _PARTS or w.isdigit() for w in t) for t in e.tokens)
 
 
 def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
@@ -154,22 +169,52 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
 
 
 def _is_dropped(e: Element, in_article: bool) -> bool:
-    if e.tag in _DROPPED or e.hidden:
-        return True
-    if e.tag == "header" or (e.names and any(n in _HEADERS for n in e.names) and e.tag not in _CONTAINERS):
-        return not in_article
+    """Whether an element goes by its tag or as it is hidden."""
+    return e.tag in _DROPPED or e.hidden or (e.tag == "header" and not in_article)
+
+
+def _is_named(e: Element, in_article: bool) -> bool:
+    """Whether an element goes by its class, id or role."""
+    if not e.tokens or e.tag in _HEADINGS or e.tag in _INLINE:
+        return False
     if e.tag == "article":
-        return any(n in ("comment", "comments", "reply", "ad", "advert", "promo", "related") for n in e.names)
-    return e.tag not in _CONTAINERS and any(n in _NAMES for n in e.names)
+        return _named(e, _ASIDES)
+    if e.tag == "header" or e.tag in _CONTAINERS:
+        return False
+    if _named(e, _HEADERS):
+        return not in_article
+    return _named(e, _NAMES)
+
 
+def _around(elements: list[Element], pieces: list[tuple[int, str]]) -> set[int]:
+    """Elements that hold all of a page's articles, or that are marked as main content and hold over half of its text."""
+    mains = [e for e in elements[1:] if e.tag in ("article", "main") and not e.dropped and not (e.tag == "article" and _named(e, _ASIDES))]
+    sums = [0, *itertools.accumulate(0 if elements[p].dropped else len(t.strip("\0").strip()) for p, t in pieces)]
+    around = set()
+    for i, e in enumerate(elements[1:], 1):
+        if e.dropped or e.tag in ("article", "main"):
+            continue
+        if (mains and all(e.start <= m.start and m.end <= e.end for m in mains)) or (any(n in _MAIN for n in e.names) and 2 * (sums[e.end] - sums[e.start]) > sums[-1]):
+            around.add(i)
+    return around
 
-def marked(elements: list[Element]) -> list[int]:
+
+def marked(elements: list[Element], pieces: list[tuple[int, str]]) -> list[int]:
     """Mark what rules drop, and what the main elements hold; gives the main elements."""
     inside = [False] * len(elements)
-    for i, e in enumerate(elements[1:], 1):
-        p = elements[e.parent]
-        inside[i] = inside[e.parent] or e.tag in ("article", "main")
-        e.dropped = p.dropped or _is_dropped(e, inside[e.parent])
+
+    def drop(named) -> bool:
+        """Mark; whether any element went by name."""
+        any_named = False
+        for i, e in enumerate(elements[1:], 1):
+            p = elements[e.parent]
+            inside[i] = inside[e.parent] or e.tag in ("article", "main")
+            e.dropped = p.dropped or _is_dropped(e, inside[e.parent])
+            if not e.dropped and named(i, e):
+                e.dropped = any_named = True
+        return any_named
+
+    any_named = drop(lambda i, e: _is_named(e, inside[e.parent]))
 
     def top(test) -> list[int]:
         found: list[int] = []
@@ -178,9 +223,18 @@ def marked(elements: list[Element]) -> list[int]:
                 found.append(i)
         return found
 
-    articles, mains = top(lambda e: e.tag == "article"), top(lambda e: e.tag == "main" or "main" in e.names)
-    roots = articles if len(articles) == 1 else mains if len(mains) == 1 else articles or mains
-    roots = roots or top(lambda e: e.tag in ("div", "section", "td") and any(n in _MAIN for n in e.names))
+    def semantic_roots() -> list[int]:
+        articles = top(lambda e: e.tag == "article")
+        mains = top(lambda e: e.tag == "main" or ("main" in e.names and e.tag not in _HEADINGS and e.tag not in _INLINE))
+        roots = articles if len(articles) == 1 else mains if len(mains) == 1 else articles or mains
+        return roots or top(lambda e: e.tag in ("div", "section", "td") and any(n in _MAIN for n in e.names))
+
+    roots = semantic_roots()
+    if any_named and not roots:  # a name such as "sidebar-left" may tell the layout of what surrounds the article
+        drop(lambda i, e: False)
+        around = _around(elements, pieces)
+        drop(lambda i, e: i not in around and _is_named(e, inside[e.parent]))
+        roots = semantic_roots()
     semantic = bool(roots)
     roots = roots or top(lambda e: e.tag == "body") or [0]
     chosen = set(roots)
@@ -234,7 +288,7 @@ def candidates(page: str | None) -> list[tuple[int, int, int, bool]]:
     if not page:
         return []
     elements, pieces = parse(page)
-    roots = marked(elements)
+    roots = marked(elements, pieces)
     placed = {i: (first, last) for i, first, last, _ in blocks(elements, roots)}
     before, after = [_NO_TEXT] * (len(pieces) + 1), [_NO_TEXT] * (len(pieces) + 1)
     for r in roots:
@@ -265,7 +319,7 @@ def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset
     if not page:
         return ""
     elements, pieces = parse(page)
-    roots = marked(elements)
+    roots = marked(elements, pieces)
     dead = [e.dropped for e in elements]
     if templates:
         for i, first, last, following in reversed(blocks(elements, roots)):
