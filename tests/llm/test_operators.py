@@ -358,3 +358,18 @@ def test_tokens(documents, monkeypatch):
         assert g == (d, start, len(ids), zlib.crc32(ids.tobytes())), t
         start += len(ids)
     assert tokens.token_files(documents([])).count() == 0
+
+
+def test_special_strings_in_any_case():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_path())
+    texts = ["a <|ENDOFTEXT|> b", "one two <|STARTOFTEXT|> four", "x<|StartOfText|>y, z", "fresh words after it.", "a<|endoftext|>B", None, "<|EndOfText|"]
+    encoder = tokens.Encoder(tokens.default_path())
+    for _ in range(2):
+        flat, counts = encoder.ids(pa.array(texts, pa.string()))
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert counts.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+    assert len(encoder.known) == len(encoder.lengths)
+    with pytest.raises(ValueError, match="2 words"):
+        encoder._words(["a", "<|startoftext|>"])

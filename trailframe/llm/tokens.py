@@ -14,7 +14,7 @@ Decoding looks each control byte up in a table (four lengths) and gathers the by
 The tokenizers file must split at white space and drop it, lower the case, and keep letters apart from commas and full
 stops, as word_bpe_49k.json does: words between ASCII white space are encoded once and remembered, without a comma or
 full stop that follows a letter, and a text's ids are its words' ids in turn. A text that holds one of the file's special
-strings is encoded whole.
+strings, in whatever case, is encoded whole.
 
 Null texts count as empty and hold only the end id. Repeated rows and ids are encoded each.
 """
@@ -122,13 +122,14 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of each text's ids), without end ids."""
         texts = pc.fill_null(texts, "")
+        lowered = pc.ascii_lower(texts)
         special = np.zeros(len(texts), bool)
-        for s in self.special:
-            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        for s in self.special:  # "<|ENDOFTEXT|>" is not special, but its lower-cased word would be
+            special |= pc.match_substring(lowered, pc.ascii_lower(s).as_py()).to_numpy(zero_copy_only=False)
         alone = {int(i): self._plain(texts[int(i)].as_py()) for i in np.flatnonzero(special)}
         if alone:
-            texts = pc.if_else(pa.array(special), pa.scalar("", texts.type), texts)
-        split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+            lowered = pc.if_else(pa.array(special), pa.scalar("", lowered.type), lowered)
+        split = pc.ascii_split_whitespace(lowered)
         coded = split.flatten().dictionary_encode()
         pool, lengths = self._distinct(coded.dictionary)
         starts = np.cumsum(lengths) - lengths
@@ -186,6 +187,8 @@ class Encoder:
             return np.array(list(itertools.chain.from_iterable(each)), np.uint32), np.array(list(map(len, each)), np.int64)
         ids = np.array(self.tokenizer.encode_batch_fast([self.between.join(words)], add_special_tokens=False)[0].ids, np.uint32)
         marks = np.flatnonzero(ids == self.mark)
+        if len(marks) != len(words) - 1:
+            raise ValueError(f"{len(words)} words came back as {len(marks) + 1}")
         return ids[ids != self.mark], np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
 
 
