@@ -173,6 +173,21 @@ def test_language():
     assert language.Tagger.fit([]).predictor()(["abc"])[0] == ["und"]
 
 
+def test_language_sample(spark, table, monkeypatch):
+    monkeypatch.setattr(language.Tagger, "fit", lambda rows: rows)
+    rows = [(n, f"wort{n} text", f"l{n % 70:02d}") for n in range(700)]  # more than 64 languages
+    rows += [(1000 + n, "- " + f"lang{n} " * 1200, "long") for n in range(12)] + [(2000 + n, f"{n} !?", "signs") for n in range(12)] + [(3000 + n, "x " * 4000, "signs") for n in range(12)]
+    rows += [(4000 + n, "12", "none") for n in range(12)] + [(5000 + n, "w", None) for n in range(12)]
+    found = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4)
+    counts = collections.Counter(y for _, y in found)
+    assert set(counts) == {f"l{n:02d}" for n in range(70)} | {"long", "signs"} and max(counts.values()) == 4
+    assert all(len(t) <= language.FIT_CHARS and t[0] in "lx" for t, y in found if y in ("long", "signs"))
+    docs = table("documents")
+    kept = docs.where((F.length("text") <= language.FIT_CHARS) & (language.remainder("doc_id", 4) != 2))
+    want = [(r["text"], y) for y in ("de", "en", "es", "fr") for r in kept.where(F.col("lang") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(9).collect()]
+    assert language.fit(docs, 9) == want
+
+
 def test_forward_backward():
     draw = np.random.default_rng(2)
     lengths, labels = np.array([3, 1, 4]), 3

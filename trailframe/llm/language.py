@@ -6,8 +6,10 @@ neighbouring words' labels are learned with them, so that a code-switched line k
 every word's label probabilities; a text's language is the one with the most expected words, and its score is that
 language's share of them.
 
-Fitting (full-batch Adam on the driver) sees at most `limit` texts a language of up to `max_chars` characters, each word
-labelled with its text's language. Every word of every text is labelled at prediction.
+Fitting (full-batch Adam on the driver) sees at most `limit` texts of up to `max_chars` characters of each language that
+has a learnable text, however many languages there are, so the driver's work grows with their number; of a language
+whose texts are all longer (or have no letter in those) it sees the first `max_chars` characters of the shortest. Each
+word is labelled with its text's language. Every word of every text is labelled at prediction.
 
 Texts that are null or have no letter are `und` with score 0; so are all texts if nothing could be learned. Words
 without a letter are left out of the chain. Rows are labelled one by one: no shuffle.
@@ -20,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,16 +239,38 @@ class Tagger:
         return run
 
 
+def _first(rows: DataFrame, order: list[str], bucket: Column, limit: int) -> list[tuple[str, str]]:
+    """(text, lang) of each language's first `limit` rows in this order, with which `bucket` ascends.
+
+    Counts by bucket tell where each language's first rows end, so that no more than these and a bucket's rest move.
+    """
+    counts = rows.groupBy("lang", bucket.alias("bucket")).count().orderBy("lang", "bucket").collect()
+    ends: dict[str, int] = {}
+    seen: Counter[str] = Counter()
+    for lang, at, n in counts:
+        if seen[lang] < limit:
+            ends[lang] = at
+        seen[lang] += n
+    if not ends:
+        return []
+    upto = rows.sparkSession.createDataFrame(sorted(ends.items()), "lang string, upto long")
+    few = rows.join(F.broadcast(upto), "lang").where(bucket <= F.col("upto"))
+    found = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= limit)
+    return [(r["text"], r["lang"]) for r in sorted(found.select("lang", "place", "text").collect(), key=lambda r: (r["lang"], r["place"]))]
+
+
 def fit(docs: DataFrame, limit: int = FIT_TEXTS, max_chars: int = FIT_CHARS) -> Tagger:
     """Fit on at most `limit` texts of each language, in the order of their id's hash, whose remainder modulo 4 is not 2."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
-    languages = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
-    found: list[tuple[str, str]] = []
-    for y in sorted(languages):
-        own = rows.where((F.col("lang") == y) & (F.length("text") <= max_chars))
-        ids = [r[0] for r in own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()]
-        if ids:
-            found += [(r["text"], y) for r in own.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit).select("text", "doc_id").collect()]
+    rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("length", F.length("text"))
+    found = _first(rows.where(F.col("length") <= max_chars), ["hash", "doc_id", "text"], F.shiftright("hash", 54), limit)
+    told = {y for t, y in found if any(map(normal, t.split()))}
+    others = [r[0] for r in rows.select("lang").distinct().collect() if r[0] not in told]
+    if others:
+        # a language without a lettered text under the bound gives spans of its shortest lettered texts
+        rare = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(y,) for y in sorted(others)], "lang string")), "lang").where(F.col("text").rlike(r"\p{L}"))
+        rare = rare.withColumn("text", F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0))
+        found = sorted([p for p in found if p[1] in told] + _first(rare, ["length", "hash", "doc_id", "text"], F.floor(F.col("length") / 1000), limit), key=lambda p: p[1])
     return Tagger.fit(found)
 
 
