@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed by the query contracts: a word is a run of characters other than ASCII white space.
@@ -14,6 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The columns of `documents`, which every pipeline stage but the last returns.
 DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
 
+_made: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder, whichever store Spark reads it from."""
@@ -21,13 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where the session names none, one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. A session with one machine's threads may leave
+    it unset and gets a folder beside its warehouse; on a cluster it must be set."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.sparkContext.getCheckpointDir()
-        if not named:
-            named = f"file://{tempfile.mkdtemp(prefix='trailframe-')}"
-            spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-intermediate"
     return named.rstrip("/")
 
 
@@ -35,31 +38,66 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession, keep: int = 0) -> None:
+    """Remove the tables that `written` made, all but the first `keep`, once what was read from them is stored."""
+    while len(_made) > keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def count_written() -> int:
+    """How many tables `written` has made that are still there."""
+    return len(_made)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text, whose crc32 is 0."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % F.lit(modulus)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_chars: int) -> list[tuple[str, int]]:
-    """Up to `limit` labelled texts of each class, for fitting: rows whose remainder modulo 5 is not 0.
+#: Hash buckets of a class, each with its share of the wanted ids, so that map tasks already keep no more than they need.
+_BUCKETS = 16
+#: Ids asked for, for each text that is wanted, as some texts are too long or missing.
+_SPARE = 2
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int, max_chars: int) -> tuple[list[tuple[str, int]], float | None]:
+    """(up to `limit` labelled texts of each class, share of class 1 among all learnable labels), for fitting.
 
-    The bounds are `limit` and `max_chars`; rows are taken in the order of their id's hash, so reruns agree.
-    Only (text, label) comes back: no id, language or source can reach a model.
+    Learnable are rows whose remainder modulo 5 is not 0. Of each class the ids of least hash are chosen from `labels`
+    in one pass (_SPARE times as many as wanted), and one pass over `docs` fetches their texts of up to `max_chars`
+    characters. An id with both labels counts as 1. Only (text, label) comes back: no id, language or source can
+    reach a model. Without labels, or without texts, the list is empty.
     """
-    wanted = labels.select(F.col("doc_id").alias("_id"), F.col(label).alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull())
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars) & (remainder("_id", 5) != 0))
-    chosen = wanted.groupBy("_id").agg(F.max("_label").alias("_label"))
-    out: list[tuple[str, int]] = []
-    for value in (0, 1):
-        # the ids first, so that only the chosen texts move
-        ids = rows.select("_id").join(chosen.where(F.col("_label") == value), "_id").orderBy(F.xxhash64("_id"), "_id").limit(limit)
-        keys = [r[0] for r in ids.collect()]
-        found = rows.where(F.col("_id").isin(keys)).orderBy(F.xxhash64("_id"), "_id", "_text").limit(limit) if keys else rows.limit(0)
-        out += [(r["_text"], value) for r in found.select("_text", "_id").collect()]
-    return out
-
-
-ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]+")
+    seen = Observation()
+    told = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & (remainder("_id", 5) != 0))
+    told = told.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_label").alias("ones")).withColumn("_hash", F.xxhash64("_id"))
+    place = F.row_number().over(Window.partitionBy("_label", F.pmod("_hash", F.lit(_BUCKETS))).orderBy("_hash", "_id"))
+    ids: dict[int, int] = {}
+    for r in told.withColumn("_place", place).where(F.col("_place") <= -(-limit * _SPARE // _BUCKETS)).collect():  # at most 2 * _SPARE * limit rows
+        ids[r["_id"]] = max(r["_label"], ids.get(r["_id"], 0))
+    share = seen.get["ones"] / seen.get["n"] if seen.get["n"] else None
+    if not ids:
+        return [], share
+    wanted = docs.sparkSession.createDataFrame(sorted(ids.items()), "_id long, _label int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).where(F.col("_text").isNotNull())
+    found = texts.join(F.broadcast(wanted), "_id").where(F.length("_text") <= max_chars)
+    rows = sorted({(r["_hash"], r["_id"], r["_text"], r["_label"]) for r in found.select(F.xxhash64("_id").alias("_hash"), "*").collect()})
+    return [(r[2], value) for value in (0, 1) for r in [r for r in rows if r[3] == value][:limit]], share
+
+
+def few(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of up to `rows` rows and `size` bytes of a text column; a longer text by itself."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).tolist()
+    start = held = 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= rows or held + n > size):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)

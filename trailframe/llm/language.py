@@ -4,12 +4,16 @@ Labels are the languages; a word's features are its prefixes and suffixes (affix
 itself and the lexicons (common words of each language) that hold it, hashed into one weight table. Transitions between
 neighbouring words' labels are learned with them, so that a code-switched line keeps its runs. Forward-backward gives
 every word's label probabilities; a text's language is the one with the most expected words, and its score is that
-language's share of them.
+language's share of them. `word_languages` tells the label of every word.
 
-Fitting (full-batch Adam on the driver) sees at most `limit` texts of up to `max_chars` characters of each language that
-has a learnable text, however many languages there are, so the driver's work grows with their number; of a language
-whose texts are all longer (or have no letter in those) it sees the first `max_chars` characters of the shortest. Each
-word is labelled with its text's language. Every word of every text is labelled at prediction.
+A line of more than CHAIN words is labelled in chains of CHAIN words, each with OVERLAP words of its neighbours at either
+side that are labelled with it and not counted, so that a line of any length takes CHAIN steps.
+
+Fitting (full-batch Adam on the driver) sees at most `limit` texts of each language that has a learnable one, however
+many languages there are, so the driver's work grows with their number: those of least id hash, of which the ones of up
+to `max_chars` characters go first and longer ones give `max_chars` characters from their first letter on. Each word is
+labelled with its text's language; languages weigh alike, in transitions too. Every word of every text is labelled at
+prediction.
 
 Texts that are null or have no letter are `und` with score 0; so are all texts if nothing could be learned. Words
 without a letter are left out of the chain. Rows are labelled one by one: no shuffle.
@@ -22,16 +26,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailframe.llm.common import remainder
+from trailframe.llm.common import few, remainder
 from trailframe.llm.hashing import mix
 
 BUCKETS = 1 << 17
 LEXICON, FIT_TEXTS, FIT_CHARS, STEPS = 150, 250, 6_000, 40
-REMEMBERED = 500_000
+#: Words that a Python worker remembers before it starts over; texts that it labels at once, and their characters.
+REMEMBERED, AT_ONCE, AT_ONCE_CHARS = 200_000, 400, 2_000_000
+CHAIN, OVERLAP = 400, 16
 UND = "und"
 
 
@@ -97,8 +103,9 @@ def _emissions(weights: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> np.
     return np.add.reduceat(weights[flat], bounds[:-1], axis=0) / np.sqrt(np.diff(bounds))[:, None]
 
 
-def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of every word of chains that follow each other, and the summed probabilities of label pairs."""
+def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of every word of chains that follow each other, and, with `pairs` (True, or a weight for each
+    chain), the summed probabilities of label pairs."""
     n, labels = emissions.shape
     psi = np.exp(emissions - emissions.max(1, keepdims=True))
     step = np.exp(transitions - transitions.max())
@@ -115,6 +122,8 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
         now = now / now.sum(1, keepdims=True)
         alpha[at] = now
     expected = np.zeros((labels, labels))
+    told = pairs is not False
+    weight = (np.ones(len(lengths)) if pairs is True else pairs)[order] if told else None
     back = np.ones((0, labels))
     for t in range(longest - 2, -1, -1):
         m = active[t + 1]
@@ -122,9 +131,9 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
         if len(back) < m:
             back = np.vstack([back, np.ones((m - len(back), labels))])
         right = psi[at + 1] * back
-        if pairs:
+        if told:
             joint = alpha[at][:, :, None] * step[None] * right[:, None, :]
-            expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+            expected += (weight[:m, None, None] * joint / joint.sum((1, 2), keepdims=True)).sum(0)
         back = right @ step.T
         back = back / back.sum(1, keepdims=True)
         beta[at] = back
@@ -137,6 +146,13 @@ def chains(text: str | None) -> list[list[str]]:
     return [line.split() for line in text.split("\n")] if text else []
 
 
+def spans(n: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, first counted word, last + 1) of the chains that a line of n words is labelled in."""
+    if n <= CHAIN + 2 * OVERLAP:
+        return [(0, n, 0, n)]
+    return [(max(0, a - OVERLAP), min(n, a + CHAIN + OVERLAP), a, min(n, a + CHAIN)) for a in range(0, n, CHAIN)]
+
+
 class Tagger:
     """A fitted field."""
 
@@ -169,14 +185,15 @@ class Tagger:
         gold = np.repeat(np.array([y for _, y in lines]), lengths)
         inner = np.ones(len(words), bool)
         inner[np.cumsum(lengths) - 1] = False
-        gold_pairs = np.diag(np.bincount(gold[inner], minlength=labels)).astype(float)
         owner = np.repeat(np.arange(len(vocabulary)), np.diff(bounds))
         scale = 1 / np.sqrt(np.diff(bounds))
         weights, transitions = np.zeros((BUCKETS, labels)), np.zeros((labels, labels))
-        balance = (len(gold) / labels / np.maximum(1, np.bincount(gold, minlength=labels)))[gold]
+        by_label = len(gold) / labels / np.maximum(1, np.bincount(gold, minlength=labels))
+        balance, chain_balance = by_label[gold], by_label[[y for _, y in lines]]
+        gold_pairs = np.diag(np.bincount(gold[inner], minlength=labels) * by_label)
         moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, transitions)]
         for s in range(1, steps + 1):
-            gamma, pairs = forward_backward(_emissions(weights, flat, bounds)[words], lengths, transitions, pairs=True)
+            gamma, pairs = forward_backward(_emissions(weights, flat, bounds)[words], lengths, transitions, pairs=chain_balance)
             gamma[np.arange(len(gold)), gold] -= 1
             gamma *= balance[:, None]
             g_words = np.stack([np.bincount(words, gamma[:, y], len(vocabulary)) for y in range(labels)], 1) * scale[:, None] / len(words)
@@ -187,93 +204,128 @@ class Tagger:
                 x -= rate * (m1 / (1 - 0.9**s)) / (np.sqrt(m2 / (1 - 0.99**s)) + 1e-8)
         return cls(languages, weights.astype(np.float32), transitions, held)
 
-    def predictor(self):
-        """A function from lists of texts to (languages, scores) that remembers words between calls."""
+    def labeller(self):
+        """A function from lists of word lists to (their words' label probabilities in turn, which words are labelled,
+        number of labelled words by list) that remembers words between calls."""
         known: dict[str, int] = {}
         table = np.zeros((1024, max(1, len(self.languages))))
+        used = 0
 
-        def run(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-            nonlocal table
-            if not self.languages:
-                return [UND] * len(texts), np.zeros(len(texts))
-            each = [(i, c) for i, t in enumerate(texts) for c in chains(t) if c]
-            new = set().union(*(c for _, c in each)).difference(known)
+        def learn(lists: list[list[str]]) -> None:
+            nonlocal table, used
+            new = set().union(*lists).difference(known)
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
-                new = set().union(*(c for _, c in each))
+                table, used = np.zeros((1024, table.shape[1])), 0
+                new = set().union(*lists)
             plain: dict[str, list[str]] = {}
             for w in new:
                 plain.setdefault(normal(w), []).append(w)
             for w in plain.pop("", ()):
                 known[w] = -1
-            # spellings of one normal word share a row
-            fresh = list(plain)
-            at = 1 + max((known.get("\n", -1)), -1)
-            if at + len(fresh) > len(table):
-                grown = np.zeros((2 * (at + len(fresh)), table.shape[1]))
-                grown[:at] = table[:at]
+            fresh = list(plain)  # spellings of one normal word share a row
+            if used + len(fresh) > len(table):
+                grown = np.zeros((2 * (used + len(fresh)), table.shape[1]))
+                grown[:used] = table[:used]
                 table = grown
-            for a in range(0, len(fresh), 50_000):
-                part = fresh[a : a + 50_000]
-                table[at + a : at + a + len(part)] = _emissions(self.weights, *_flat(part, self.lexicons))
+            for a in range(0, len(fresh), 20_000):
+                part = fresh[a : a + 20_000]
+                table[used + a : used + a + len(part)] = _emissions(self.weights, *_flat(part, self.lexicons))
             for k, w in enumerate(fresh):
                 for spelling in plain[w]:
-                    known[spelling] = at + k
-            known["\n"] = at + len(fresh) - 1  # no word is a line break: it keeps the last row in use
-            rows = [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for _, c in each]
+                    known[spelling] = used + k
+            used += len(fresh)
+
+        def run(lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            learn(lists)
+            rows = [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for c in lists]
+            cut, counted, lengths, sizes = [], [], [], []
+            for row in rows:
+                row = row[row >= 0]
+                sizes.append(len(row))
+                for a, b, first, last in spans(len(row)) if len(row) else ():
+                    cut.append(row[a:b])
+                    lengths.append(b - a)
+                    inner = np.zeros(b - a, bool)
+                    inner[first - a : last - a] = True
+                    counted.append(inner)
+            labelled = [row >= 0 for row in rows]
+            if not cut:
+                return np.zeros((0, len(self.languages))), np.concatenate(labelled) if labelled else np.zeros(0, bool), np.array(sizes, np.int64)
+            gamma, _ = forward_backward(table[np.concatenate(cut)], np.array(lengths), self.transitions)
+            return gamma[np.concatenate(counted)], np.concatenate(labelled), np.array(sizes, np.int64)
+
+        return run
+
+    def predictor(self):
+        """A function from lists of texts to (languages, scores)."""
+        label = self.labeller()
+
+        def run(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+            if not self.languages:
+                return [UND] * len(texts), np.zeros(len(texts))
+            each = [(i, c) for i, t in enumerate(texts) for c in chains(t) if c]
             total = np.zeros((len(texts), len(self.languages)))
-            if rows:
-                flat = np.concatenate(rows)
-                chain = np.repeat(np.arange(len(rows)), [len(r) for r in rows])[flat >= 0]
-                flat = flat[flat >= 0]
-                lengths = np.bincount(chain, minlength=len(rows))
-                owner = np.array([i for i, _ in each])[chain]
-                if len(flat):
-                    gamma, _ = forward_backward(table[flat], lengths[lengths > 0], self.transitions)
-                    for y in range(len(self.languages)):
-                        total[:, y] = np.bincount(owner, gamma[:, y], len(texts))
+            if each:
+                gamma, _, sizes = label([c for _, c in each])
+                owner = np.repeat(np.array([i for i, _ in each]), sizes)
+                for y in range(len(self.languages)):
+                    total[:, y] = np.bincount(owner, gamma[:, y], len(texts))
             sums, best = total.sum(1), total.argmax(1)
             names = [self.languages[b] if s > 0 else UND for b, s in zip(best, sums, strict=True)]
             return names, np.where(sums > 0, total.max(1) / np.maximum(sums, 1e-12), 0.0).clip(0, 1)
 
         return run
 
+    def word_languages(self, text: str | None) -> list[tuple[str, str]]:
+        """(word, language) of every word of a text; words without a letter are `und`."""
+        lists = [c for c in chains(text) if c]
+        words = [w for c in lists for w in c]
+        if not self.languages or not words:
+            return [(w, UND) for w in words]
+        gamma, labelled, _ = self.labeller()(lists)
+        names = iter(np.array(self.languages, object)[gamma.argmax(1)])
+        return [(w, next(names) if real else UND) for w, real in zip(words, labelled, strict=True)]
 
-def _first(rows: DataFrame, order: list[str], bucket: Column, limit: int) -> list[tuple[str, str]]:
-    """(text, lang) of each language's first `limit` rows in this order, with which `bucket` ascends.
 
-    Counts by bucket tell where each language's first rows end, so that no more than these and a bucket's rest move.
-    """
-    counts = rows.groupBy("lang", bucket.alias("bucket")).count().orderBy("lang", "bucket").collect()
-    ends: dict[str, int] = {}
-    seen: Counter[str] = Counter()
-    for lang, at, n in counts:
-        if seen[lang] < limit:
-            ends[lang] = at
-        seen[lang] += n
-    if not ends:
-        return []
-    upto = rows.sparkSession.createDataFrame(sorted(ends.items()), "lang string, upto long")
-    few = rows.join(F.broadcast(upto), "lang").where(bucket <= F.col("upto"))
-    found = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= limit)
-    return [(r["text"], r["lang"]) for r in sorted(found.select("lang", "place", "text").collect(), key=lambda r: (r["lang"], r["place"]))]
+#: Hash buckets of a language and spare ids, so that map tasks already keep no more ids than they need.
+_BUCKETS, _SPARE = 4, 2
 
 
 def fit(docs: DataFrame, limit: int = FIT_TEXTS, max_chars: int = FIT_CHARS) -> Tagger:
-    """Fit on at most `limit` texts of each language, in the order of their id's hash, whose remainder modulo 4 is not 2."""
-    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("doc_id", 4) != 2))
-    rows = rows.withColumn("hash", F.xxhash64("doc_id")).withColumn("length", F.length("text"))
-    found = _first(rows.where(F.col("length") <= max_chars), ["hash", "doc_id", "text"], F.shiftright("hash", 54), limit)
-    told = {y for t, y in found if any(map(normal, t.split()))}
-    others = [r[0] for r in rows.select("lang").distinct().collect() if r[0] not in told]
-    if others:
-        # a language without a lettered text under the bound gives spans of its shortest lettered texts
-        rare = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(y,) for y in sorted(others)], "lang string")), "lang").where(F.col("text").rlike(r"\p{L}"))
-        rare = rare.withColumn("text", F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0))
-        found = sorted([p for p in found if p[1] in told] + _first(rare, ["length", "hash", "doc_id", "text"], F.floor(F.col("length") / 1000), limit), key=lambda p: p[1])
+    """Fit on at most `limit` texts of each language whose remainder modulo 4 is not 2.
+
+    One pass over (doc_id, lang) chooses ids, one over the texts fetches spans of them: no more than _SPARE times `limit`
+    a language reach the driver.
+    """
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    learnable = rows.where(F.col("lang").isNotNull() & (remainder("_id", 4) != 2)).withColumn("hash", F.xxhash64("_id"))
+    place = F.row_number().over(Window.partitionBy("lang", F.pmod("hash", F.lit(_BUCKETS))).orderBy("hash"))
+    chosen = learnable.where(F.col("text").isNotNull()).select("lang", "hash").withColumn("place", place).where(F.col("place") <= -(-limit * _SPARE // _BUCKETS)).select("lang", "hash").distinct().collect()
+    found = _spans(learnable, {(r[0], r[1]) for r in chosen}, limit, max_chars)
+    poor = {r[0] for r in chosen} - {y for _, y in found}
+    if poor:  # languages of which no chosen text has a letter: their lettered texts alone
+        lettered = learnable.where(F.col("lang").isin(sorted(poor)) & F.col("text").rlike(r"\p{L}"))
+        more = lettered.select("lang", "hash").withColumn("place", place).where(F.col("place") <= limit).select("lang", "hash").distinct().collect()
+        found = sorted(found + _spans(lettered, {(r[0], r[1]) for r in more}, limit, max_chars), key=lambda p: p[1])
     return Tagger.fit(found)
 
 
+def _spans(rows: DataFrame, chosen: set[tuple[str, int]], limit: int, max_chars: int) -> list[tuple[str, str]]:
+    """(text, lang) of each language's first `limit` chosen lettered texts; long ones come last and give a span."""
+    if not chosen:
+        return []
+    wanted = rows.sparkSession.createDataFrame(sorted(chosen), "lang string, hash long")
+    long = F.length("text") > max_chars
+    span = F.when(long, F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)).otherwise(F.col("text"))
+    got = rows.join(F.broadcast(wanted), ["lang", "hash"]).select("lang", long.alias("long"), "hash", span.alias("span")).collect()
+    by: dict[str, list[tuple[bool, int, str]]] = {}
+    for r in got:
+        if any(map(str.isalpha, r["span"])):
+            by.setdefault(r["lang"], []).append((r["long"], r["hash"], r["span"]))
+    return [(t, y) for y in sorted(by) for _, _, t in sorted(set(by[y]))[:limit]]
+
+
 def tag_languages(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> DataFrame:
     """`docs` with lang_pred and score; columns of these names are replaced."""
     rows = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
@@ -283,8 +335,7 @@ def tag_languages(docs: DataFrame, tagger: Tagger, text_col: str = "text") -> Da
         predict = told.value.predictor()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            for i in range(0, batch.num_rows, 400):
-                part = batch.slice(i, 400)
+            for part in few(batch, at, AT_ONCE, AT_ONCE_CHARS):
                 names, scores = predict(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 

@@ -38,7 +38,10 @@ def padded(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     halves = (lengths + WIDTH - 1) // HALF + 1
     at = np.concatenate([[0], np.cumsum(halves)])
     out = np.zeros(at[-1] * HALF + WIDTH, np.uint8)
-    out[np.arange(len(raw)) + np.repeat(at[:-1] * HALF - bounds[:-1], lengths)] = raw
+    if len(lengths) == 1:  # a long text is alone: no numbers for each of its bytes
+        out[: len(raw)] = raw
+    else:
+        out[np.arange(len(raw)) + np.repeat(at[:-1] * HALF - bounds[:-1], lengths)] = raw
     return out, at
 
 
@@ -165,8 +168,7 @@ class Net:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_TEXTS, max_chars: int = FIT_CHARS) -> Net:
     """Fit on a bounded sample; the prior is the share of label 1 among all learnable labels."""
-    share = labels.where(F.col("quality").isin(0, 1) & (remainder("doc_id", 5) != 0)).agg(F.avg("quality")).first()[0]
-    return Net.fit(labelled_sample(docs, labels, "quality", limit, max_chars), share)
+    return Net.fit(*labelled_sample(docs, labels, "quality", limit, max_chars))
 
 
 def score_quality(docs: DataFrame, net: Net, text_col: str = "text", score_col: str = "score") -> DataFrame:
