@@ -1,29 +1,39 @@
-"""Main text of web pages: site templates go by subtree hashes counted per host.
+"""Main text of web pages: site templates go by subtree hashes counted per host, before any rule by name.
 
 1. A page is parsed into elements; unclosed and stray tags are repaired as browsers do in the cases that matter here.
-2. Elements that say what they are go first: scripts, styles, menus, forms, footers, asides and, by a whole class, id
-   or role, menus, sidebars, adverts, notices, reader comments and the like: every word of it must be such a name or a
-   part of a page ("site-footer", "ad-7"), so "related-work" and "form-validation" stay. Headings and inline elements
-   do not go by name, and neither does what surrounds all of the page's <article> and <main>. The main element is the
-   page's <article>, <main>, an element marked as main content, or else the body.
-3. Every subtree left is hashed with all that it holds and counted per host over distinct pages, article blocks too.
-   Anywhere on the page, one on TEMPLATE_SHARE of a host's pages is template, if it is no paragraph-like element of an
-   <article>, <main> or marked element. A block (a child of the main element or of its div and section wrappers) needs
-   no such share, but LOW_SHARE or MANY_PAGES, as its place and neighbours tell it from a quoted passage: it is
-   template where PLACED of its pages have it at the same place, counted from the first or the last sibling, and the
-   text around it has OTHERS as many MinHash values as it has pages. A passage that many articles quote stands at
-   many places or on many hosts (ON_HOST of the block's pages anywhere must be this host's, so a block that sister
-   hosts share stays), and an article in many copies has the same text around each of its blocks. TEMPLATE_PAGES is the least
-   number of pages for either. A placed block is deleted at that place only, a heading only with the block after it, an h1 never.
+   What is no text (scripts, styles, the head, hidden elements and the like) is left out.
+2. Every element subtree is hashed bottom-up, in one pass, in two ways: its content (names and all text), and its shape
+   (tag, words of class and id, and the set of its children's shapes, whatever text or number they have). Both are
+   counted per host over distinct pages.
+   - Slots: a block that is no paragraph, by its shape and the path that leads to it. One on SLOT_SHARE of a host's pages
+     is template, where it stands outside of the host's text: each page votes for the deepest block that holds over half
+     of its text, links aside, and blocks with TEXT_SHARE of a host's votes hold the host's text, with what surrounds
+     them. So menus, adverts and footers go that differ on every page and carry no telling name.
+   - Contents: a subtree on TEMPLATE_SHARE of a host's pages is template wherever it stands, if it is no paragraph-like
+     element of an <article> or <main>. A block (a child of the main element or of its div and section wrappers) needs no
+     such share, but LOW_SHARE or MANY_PAGES, as its place and neighbours tell it from a quoted passage: it is template
+     where PLACED of its pages have it at the same place, counted from the first or the last sibling, and the text around
+     it has OTHERS as many MinHash values as it has pages. A passage that many articles quote stands at many places or on
+     many hosts (ON_HOST of the block's pages anywhere must be this host's, so a block that sister hosts share stays), and
+     an article in many copies has the same text around each of its blocks. A placed block is deleted at that place only,
+     a heading only with the block after it, an h1 never.
+   TEMPLATE_PAGES is the least number of pages for each.
+3. Rules by tag and name back this up, on hosts with too few pages and for what recurs too seldom: menus, forms, footers,
+   asides and, by a whole class, id or role, menus, sidebars, adverts, notices, reader comments and the like: every word of
+   it must be such a name or a part of a page ("site-footer", "ad-7"), so "related-work" and "form-validation" stay.
+   Headings and inline elements do not go by name, and neither does what surrounds all of the page's <article> and <main>.
+   The main element is the page's <article>, <main>, an element marked as main content, or else the body.
 4. Text is what is left: character references decoded, white space inside a block one space, blocks joined by one.
 
+`template_chars` and `rule_chars` tell how many characters of each page steps 2 and 3 removed.
+
 Counting is an aggregation on (host, hash) that sums up map-side, so a host with a third of all pages is no hot key;
 places and neighbours are counted for hashes on TEMPLATE_PAGES pages or more only.
 Templates are handed to the second parse by broadcast while they are at most BROADCAST_TEMPLATES rows, and by a join on
 the page beyond that.
 
 Null html counts as empty and gives the empty text, and so does a page without text. A null url, or one without a host,
-belongs to the host "". Repeated rows are extracted one by one.
+belongs to the host "". Repeated rows are extracted one by one. No pages give no rows.
 """
 
 from __future__ import annotations
@@ -39,12 +49,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailframe.llm.common import written
+from trailframe.llm.common import few, written
 
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.6, 10
 #: For blocks at the same place: the least share of a host's pages or else number of them; the share of a block's pages that have it there, that are the host's, and of different texts around it.
 LOW_SHARE, MANY_PAGES, PLACED, ON_HOST, OTHERS = 0.01, 1000, 0.8, 0.8, 0.5
+#: The least share of a host's pages that have a slot; of its votes that go to a block with its text.
+SLOT_SHARE, TEXT_SHARE = 0.05, 0.2
 BROADCAST_TEMPLATES = 200_000
+#: Pages that a Python worker reads at once, and their bytes.
+AT_ONCE, AT_ONCE_BYTES = 500, 4 << 20
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)([^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")
@@ -52,6 +66,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title noscript iframe xmp noframes template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr ruby rb rt rp".split())
 _PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr tbody thead ul ol dl table figure figcaption caption address hr".split()) | _INLINE
+_NO_TEXT = frozenset("head script style noscript template title select textarea iframe svg canvas object embed option datalist map audio video".split())
 _DROPPED = frozenset("head script style noscript template title nav footer aside form button select textarea input iframe svg canvas object embed menu dialog option datalist map audio video".split())
 #: Words of class, id or role that name what is no article.
 _NAMES = frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar sidenav aside complementary contentinfo widget widgets ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search form share sharing social related recommended recommendations comment comments commentlist respond disqus replies pagination pager toolbar skip banner masthead hidden dialog".split())
@@ -71,14 +86,13 @@ _BARRIER = frozenset("html body article section div main table ul ol dl td th na
 class Element:
     """An element: where its pieces begin and end, and what its attributes say."""
 
-    __slots__ = ("tag", "parent", "start", "end", "names", "tokens", "hidden", "dropped", "inner")
+    __slots__ = ("tag", "parent", "start", "end", "names", "tokens", "hidden", "dropped", "inner", "silent")
 
     def __init__(self, tag: str, parent: int, start: int, attributes: str):
         self.tag, self.parent, self.start, self.end = tag, parent, start, -1
         self.tokens, self.hidden = _tokens(attributes) if attributes and not attributes.isspace() else ((), False)
         self.names = tuple(itertools.chain.from_iterable(self.tokens))
-        self.dropped = False
-        self.inner = False
+        self.dropped = self.inner = self.silent = False
 
 
 def _tokens(attributes: str) -> tuple[tuple[tuple[str, ...], ...], bool]:
@@ -109,12 +123,18 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
     elements = [Element("", -1, 0, "")]
     pieces: list[tuple[int, str]] = []
     stack = [0]
+    open_at: dict[str, list[int]] = {}  # where in the stack the open elements of each tag are
+    barriers: list[int] = []  # where those are that stray tags do not reach past
     at, size = 0, len(page)
 
     def close(upto: int) -> None:
         while len(stack) > upto:
             e = stack.pop()
-            if elements[e].tag not in _INLINE:
+            tag = elements[e].tag
+            open_at[tag].pop()
+            if tag in _BARRIER:
+                barriers.pop()
+            if tag not in _INLINE:
                 pieces.append((elements[e].parent, "\0"))
             elements[e].end = len(pieces)
 
@@ -130,23 +150,18 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
         if not tag:
             continue
         if m[1] or m[4]:  # an end tag
-            for k in range(len(stack) - 1, 0, -1):
-                if elements[stack[k]].tag == tag:
-                    close(k)
-                    break
-                if elements[stack[k]].tag in _BARRIER and (tag in _INLINE or tag in ("p", "li", "dt", "dd")):
-                    break
+            places = open_at.get(tag)
+            if places and not (barriers and barriers[-1] > places[-1] and (tag in _INLINE or tag in ("p", "li", "dt", "dd"))):
+                close(places[-1])
             continue
         if tag in _P_ENDERS or tag in _CLOSES:
-            closing = _CLOSES.get(tag, {"p"}) | ({"p"} if tag in _P_ENDERS else set())
-            for k in range(len(stack) - 1, 0, -1):
-                open_tag = elements[stack[k]].tag
-                if open_tag in closing:
-                    close(k)
-                    if tag in ("tr",):
-                        continue
+            closing = _CLOSES.get(tag, set()) | ({"p"} if tag in _P_ENDERS else set())
+            while True:
+                k = max((open_at[t][-1] for t in closing if open_at.get(t)), default=0)
+                if not k or (barriers and barriers[-1] > k):
                     break
-                if open_tag in _BARRIER:
+                close(k)
+                if tag != "tr":
                     break
         attributes = m[3] if m[2] else m[6]
         if tag == "br":
@@ -156,6 +171,9 @@ def parse(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
         elements.append(Element(tag, stack[-1], len(pieces), attributes or ""))
         if tag not in _INLINE:
             pieces.append((stack[-1], "\0"))
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in _BARRIER:
+            barriers.append(len(stack))
         stack.append(len(elements) - 1)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
@@ -189,12 +207,13 @@ def _is_named(e: Element, in_article: bool) -> bool:
 def _around(elements: list[Element], pieces: list[tuple[int, str]]) -> set[int]:
     """Elements that hold all of a page's articles, or that are marked as main content and hold over half of its text."""
     mains = [e for e in elements[1:] if e.tag in ("article", "main") and not e.dropped and not (e.tag == "article" and _named(e, _ASIDES))]
+    first, last = min((m.start for m in mains), default=0), max((m.end for m in mains), default=0)
     sums = [0, *itertools.accumulate(0 if elements[p].dropped else len(t.strip("\0").strip()) for p, t in pieces)]
     around = set()
     for i, e in enumerate(elements[1:], 1):
         if e.dropped or e.tag in ("article", "main"):
             continue
-        if (mains and all(e.start <= m.start and m.end <= e.end for m in mains)) or (any(n in _MAIN for n in e.names) and 2 * (sums[e.end] - sums[e.start]) > sums[-1]):
+        if (mains and e.start <= first and last <= e.end) or (any(n in _MAIN for n in e.names) and 2 * (sums[e.end] - sums[e.start]) > sums[-1]):
             around.add(i)
     return around
 
@@ -235,33 +254,85 @@ def marked(elements: list[Element], pieces: list[tuple[int, str]]) -> list[int]:
         around = _around(elements, pieces)
         drop(lambda i, e: i not in around and _is_named(e, inside[e.parent]))
         roots = semantic_roots()
-    semantic = bool(roots)
-    roots = roots or top(lambda e: e.tag == "body") or [0]
-    chosen = set(roots)
-    for i, e in enumerate(elements):
-        e.inner = i not in chosen and e.parent >= 0 and (e.parent in chosen or elements[e.parent].inner)
-    if semantic:  # the article's own paragraphs are never template
-        for e in elements:
-            e.inner = e.inner and e.tag not in _PARAGRAPH
-    return roots
+    return roots or top(lambda e: e.tag == "body") or [0]
+
+
+def read(page: str) -> tuple[list[Element], list[tuple[int, str]]]:
+    """`parse`, with what is no text marked silent and elements that may be template anywhere marked inner."""
+    elements, pieces = parse(page)
+    article = [False] * len(elements)
+    for i, e in enumerate(elements[1:], 1):
+        e.silent = elements[e.parent].silent or e.tag in _NO_TEXT or e.hidden
+        article[i] = article[e.parent] or e.tag in ("article", "main")
+        e.inner = not e.silent and not (e.tag in _PARAGRAPH and article[i]) and e.tag not in _CONTAINERS
+    return elements, pieces
+
+
+class Hashes:
+    """Of every element: hash of its content, of its shape and of the path to it, and prefix sums of text by pieces."""
+
+    def __init__(self, elements: list[Element], pieces: list[tuple[int, str]]):
+        n = len(elements)
+        parts: list[list[str | int]] = [[] for _ in range(n)]
+        linked = [False] * n
+        following = 1
+        self.chars, self.plain = [0], [0]  # characters that are not white space; those outside links
+        for i, e in enumerate(elements[1:], 1):
+            linked[i] = linked[e.parent] or e.tag == "a"
+        for k, (owner, text) in enumerate(pieces):
+            while following < n and elements[following].start <= k:
+                parts[elements[following].parent].append(following)
+                following += 1
+            text = "" if text == "\0" else " ".join(text.split())
+            if text:
+                parts[owner].append(text)
+            size = 0 if elements[owner].silent else len(text)
+            self.chars.append(self.chars[-1] + size)
+            self.plain.append(self.plain[-1] + (0 if linked[owner] else size))
+        for i in range(following, n):
+            parts[elements[i].parent].append(i)
+        own = [zlib.crc32(" ".join([e.tag, *sorted({w for w in e.names if not w.isdigit()})]).encode()) for e in elements]
+        self.content, self.shape, self.path = [b""] * n, [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            told = b"\x1f".join(self.content[x] if isinstance(x, int) else x.encode("utf-8", "surrogatepass") for x in parts[i])
+            self.content[i] = hashlib.blake2b(elements[i].tag.encode() + b"\x1d" + told, digest_size=8).digest()
+            # hashes of numbers are the same in every process
+            self.shape[i] = hash((own[i], *sorted({self.shape[x] for x in parts[i] if isinstance(x, int) and elements[x].tag not in _INLINE})))
+        for i, e in enumerate(elements[1:], 1):
+            self.path[i] = hash((self.path[e.parent], own[i]))
+        self.elements = elements
+
+    def of(self, i: int) -> int:
+        """Hash of an element's content, as a number."""
+        return int.from_bytes(self.content[i], "little", signed=True)
+
+    def text_in(self, i: int, plain: bool = False) -> int:
+        sums = self.plain if plain else self.chars
+        return sums[self.elements[i].end] - sums[self.elements[i].start]
+
+    def slots(self) -> dict[int, int]:
+        """Element to slot, of the blocks that are no paragraph and hold text."""
+        return {i: hash((1, self.path[i], self.shape[i])) for i, e in enumerate(self.elements) if i and not e.silent and e.tag not in _PARAGRAPH and e.tag not in ("html", "body") and self.text_in(i)}
 
+    def texts(self) -> dict[int, int]:
+        """Element to what a vote for it says."""
+        return {i: hash((2, self.path[i])) for i, e in enumerate(self.elements) if i and not e.silent and e.tag not in _PARAGRAPH and e.tag not in ("html", "body")}
 
-def subtree_hash(elements: list[Element], pieces: list[tuple[int, str]], i: int) -> int:
-    """A hash of an element's name and of all that it holds, white space aside."""
-    e = elements[i]
-    inner = "\x1f".join(f"{elements[p].tag}\x1e{' '.join(t.split())}" for p, t in pieces[e.start : e.end])
-    return int.from_bytes(hashlib.blake2b(f"{e.tag}\x1d{inner}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    def vote(self) -> int | None:
+        """The page's vote: the deepest block, no paragraph, with over half of the page's text outside links."""
+        found = [i for i in self.texts() if 2 * self.text_in(i, True) > self.plain[-1]]
+        return hash((2, self.path[found[-1]])) if found else None
 
 
 def blocks(elements: list[Element], roots: list[int]) -> list[tuple[int, int, int, int]]:
     """(element, its place from the first sibling, from the last, next sibling or -1) of the blocks of the main elements."""
-    paths: dict[int, str] = dict.fromkeys(roots, "")
+    paths: dict[int, int] = dict.fromkeys(roots, 0)
     children: dict[int, list[int]] = {r: [] for r in roots}
     for i, e in enumerate(elements):
         if e.parent in children and not e.dropped and e.tag not in _INLINE and i not in paths:
             children[e.parent].append(i)
             if e.tag in _WRAPPERS:
-                paths[i], children[i] = f"{paths[e.parent]}/{e.tag}", []
+                paths[i], children[i] = zlib.crc32(f"{paths[e.parent]}/{e.tag}".encode()), []
     found = []
     for p, own in children.items():
         for k, i in enumerate(own):
@@ -273,67 +344,115 @@ def blocks(elements: list[Element], roots: list[int]) -> list[tuple[int, int, in
 def _shingle(text: str) -> int:
     """The least hash of a text's three-word runs."""
     words = text.split()
-    return min(zlib.crc32(f"{a} {b} {c}".encode("utf-8", "surrogatepass")) for a, b, c in zip(words, words[1:], words[2:])) if len(words) > 2 else zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass")) if words else _NO_TEXT
+    return min(zlib.crc32(f"{a} {b} {c}".encode("utf-8", "surrogatepass")) for a, b, c in zip(words, words[1:], words[2:])) if len(words) > 2 else zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass")) if words else _EMPTY
 
 
-_NO_TEXT = 1 << 32
+_EMPTY = 1 << 32
 
 
-def candidates(page: str | None) -> list[tuple[int, int, int, bool]]:
-    """(hash, id, rest, first of its hash) of what could be template and holds text.
+def candidates(page: str | None) -> tuple[list[tuple[int, int, int, bool]], list[int], int | None]:
+    """((hash, id, rest, first of its hash) of contents that could be template, slots, vote) of a page.
 
     The id is the hash itself for elements that may be template anywhere, and else the hash at a place; rest is the
     MinHash value of the main text around it.
     """
     if not page:
-        return []
-    elements, pieces = parse(page)
+        return [], [], None
+    elements, pieces = read(page)
+    hashes = Hashes(elements, pieces)
     roots = marked(elements, pieces)
     placed = {i: (first, last) for i, first, last, _ in blocks(elements, roots)}
-    before, after = [_NO_TEXT] * (len(pieces) + 1), [_NO_TEXT] * (len(pieces) + 1)
+    before, after = [_EMPTY] * (len(pieces) + 1), [_EMPTY] * (len(pieces) + 1)
     for r in roots:
         for k in range(elements[r].start, elements[r].end):
             owner, text = pieces[k]
-            before[k + 1] = _NO_TEXT if text == "\0" or elements[owner].dropped else _shingle(text)
+            before[k + 1] = _EMPTY if text == "\0" or elements[owner].dropped else _shingle(text)
     own = before[1:]
     for k, x in enumerate(own):
         before[k + 1] = min(before[k], x)
     for k in range(len(own) - 1, -1, -1):
         after[k] = min(after[k + 1], own[k])
     rows: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
-    hashes: set[int] = set()
+    seen: set[int] = set()
     for i, e in enumerate(elements):
-        if e.dropped or not (e.inner or i in placed) or not any(t.strip("\0").strip() for _, t in pieces[e.start : e.end]):
+        if e.silent or not (e.inner or i in placed) or not hashes.text_in(i):
             continue
-        x = subtree_hash(elements, pieces, i)
+        x = hashes.of(i)
         rest = min(before[e.start], after[e.end])
-        for at in (*((x,) if e.inner else ()), *(hash((x, place)) for place in placed.get(i, ()))):  # hashes of numbers are the same in every process
+        for at in (*((x,) if e.inner else ()), *(hash((x, place)) for place in placed.get(i, ()))):
             if (x, at) not in rows:
-                rows[x, at] = (x, at, rest, x not in hashes)
-                hashes.add(x)
-    return list(rows.values())
+                rows[x, at] = (x, at, rest, x not in seen)
+                seen.add(x)
+    return list(rows.values()), sorted(set(hashes.slots().values())), hashes.vote()
 
 
-def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    """The page's main text without dropped elements and templates."""
+def ids(page: str | None) -> list[int]:
+    """All ids of a page that templates may name."""
     if not page:
-        return ""
-    elements, pieces = parse(page)
+        return []
+    found, slots, _ = candidates(page)
+    elements, pieces = read(page)
+    return sorted({c[1] for c in found} | set(slots) | set(Hashes(elements, pieces).texts().values()))
+
+
+def _template(elements: list[Element], hashes: Hashes, roots: list[int], templates: frozenset[int] | set[int]) -> list[bool]:
+    """Which elements are template, by themselves or with what holds them."""
+    dead = [False] * len(elements)
+    # the host's text, with what surrounds it
+    holders = [i for i, x in hashes.texts().items() if x in templates]
+    if holders:
+        holds = set(holders)
+        inside = [False] * len(elements)
+        safe = set()
+        for i, e in enumerate(elements[1:], 1):
+            inside[i] = inside[e.parent] or i in holds
+            if i in holds or (e.tag in ("article", "main") and not _named(e, _ASIDES)):
+                while i not in safe:
+                    safe.add(i)
+                    i = max(elements[i].parent, 0)
+        for i, x in hashes.slots().items():
+            dead[i] = x in templates and not inside[i] and i not in safe
+    for i, first, last, following in reversed(blocks(elements, roots)):
+        x = hashes.of(i)
+        gone = (elements[i].inner and x in templates) or hash((x, first)) in templates or hash((x, last)) in templates
+        # headings that articles share, such as "References", are the articles' own
+        dead[i] = dead[i] or (gone and (elements[i].tag not in _HEADINGS or (elements[i].inner and x in templates) or (elements[i].tag != "h1" and following >= 0 and dead[following])))
+    for i, e in enumerate(elements[1:], 1):
+        dead[i] = dead[i] or dead[e.parent] or (e.inner and hashes.of(i) in templates)
+    return dead
+
+
+def extracted(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> tuple[str, int, int]:
+    """(main text, characters that templates removed, characters that rules removed after them); white space not counted."""
+    if not page:
+        return "", 0, 0
+    elements, pieces = read(page)
     roots = marked(elements, pieces)
-    dead = [e.dropped for e in elements]
+    dead = [False] * len(elements)
     if templates:
-        for i, first, last, following in reversed(blocks(elements, roots)):
-            x = subtree_hash(elements, pieces, i)
-            gone = (elements[i].inner and x in templates) or hash((x, first)) in templates or hash((x, last)) in templates
-            # headings that articles share, such as "References", are the articles' own
-            dead[i] = gone and (elements[i].tag not in _HEADINGS or (elements[i].inner and x in templates) or (elements[i].tag != "h1" and following >= 0 and dead[following]))
-        for i, e in enumerate(elements):
-            dead[i] = dead[i] or (e.parent >= 0 and dead[e.parent]) or (e.inner and subtree_hash(elements, pieces, i) in templates)
-    out: list[str] = []
+        dead = _template(elements, Hashes(elements, pieces), roots, templates)
+    by_template = by_rule = 0
+    kept = bytearray(len(pieces))
     for r in roots:
-        out.append("\0")
-        out += ["\0" if t == "\0" else "" if dead[p] else entities.unescape(t) if "&" in t else t for p, t in pieces[elements[r].start : elements[r].end]]
-    return " ".join("".join(out).replace("\0", " ").split())
+        kept[elements[r].start : elements[r].end] = b"\1" * (elements[r].end - elements[r].start)
+    out: list[str] = []
+    for k, (p, t) in enumerate(pieces):
+        if t == "\0":
+            out.append("\0")
+        elif elements[p].silent:
+            continue
+        elif dead[p]:
+            by_template += len("".join(t.split()))
+        elif not kept[k] or elements[p].dropped:
+            by_rule += len("".join(t.split()))
+        else:
+            out.append(entities.unescape(t) if "&" in t else t)
+    return " ".join("".join(out).replace("\0", " ").split()), by_template, by_rule
+
+
+def main_text(page: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
+    """The page's main text without templates and what rules drop."""
+    return extracted(page, templates)[0]
 
 
 def host(url: Column) -> Column:
@@ -342,18 +461,20 @@ def host(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMPLATE_PAGES, most_broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
-    """(host, hash) of the site templates, anywhere or at a place; pages with the same html count once."""
+    """(host, hash) of the contents and slots that are template and of the blocks that hold a host's text; pages with the
+    same html count once."""
     kind = pa.struct([("hash", pa.int64()), ("id", pa.int64()), ("rest", pa.int64()), ("lead", pa.bool_())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = [candidates(x) for x in batch.column(2).to_pylist()]
-            ends = [0, *itertools.accumulate(map(len, each))]
-            columns = list(zip(*itertools.chain.from_iterable(each), strict=True)) or [()] * 4
-            flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["host", "page", "found"])
-
-    seen = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, page long, found array<struct<hash: long, id: long, rest: long, lead: boolean>>")
+            for part in few(batch, 2, AT_ONCE, AT_ONCE_BYTES):
+                found, slots, votes = zip(*map(candidates, part.column(2).to_pylist()), strict=True)
+                ends = [0, *itertools.accumulate(map(len, found))]
+                columns = list(zip(*itertools.chain.from_iterable(found), strict=True)) or [()] * 4
+                flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), pa.array(slots, pa.list_(pa.int64())), pa.array(votes, pa.int64())], ["host", "page", "found", "slots", "vote"])
+
+    seen = pages.select(host(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, page long, found array<struct<hash: long, id: long, rest: long, lead: boolean>>, slots array<long>, vote long")
     seen = written(seen.dropDuplicates(["host", "page"]), "subtrees")
     sizes = seen.groupBy("host").agg(F.count(F.lit(1)).alias("n_pages"))
     flat = seen.select("host", F.inline("found"))
@@ -364,11 +485,16 @@ def templates(pages: DataFrame, share: float = TEMPLATE_SHARE, least: int = TEMP
     n, whole = F.col("n"), F.col("n_pages")
     anywhere = (F.col("id") == F.col("hash")) & (n >= whole * share)
     placed = (F.col("id") != F.col("hash")) & ((n >= whole * LOW_SHARE) | (n >= MANY_PAGES)) & (n >= F.col("n_all") * PLACED) & (F.col("rests") >= n * OTHERS)
-    return counts.where(n >= least).join(everywhere, "hash").join(sizes, "host").where(anywhere | (placed & (F.col("n_all") >= F.col("n_everywhere") * ON_HOST))).select("host", F.col("id").alias("hash"))
+    contents = counts.where(n >= least).join(everywhere, "hash").join(sizes, "host").where(anywhere | (placed & (F.col("n_all") >= F.col("n_everywhere") * ON_HOST))).select("host", F.col("id").alias("hash"))
+    slots = seen.select("host", F.explode("slots").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(n >= least)
+    votes = seen.where("vote IS NOT NULL").groupBy("host", F.col("vote").alias("hash")).agg(F.count(F.lit(1)).alias("n")).where(n >= least)
+    voters = seen.groupBy("host").agg(F.count("vote").alias("n_voters"))
+    texts = votes.join(voters, "host").where(n >= F.col("n_voters") * TEXT_SHARE).select("host", "hash")
+    return contents.unionByName(slots.join(sizes, "host").where(n >= whole * SLOT_SHARE).select("host", "hash")).unionByName(texts)
 
 
 def extract(pages: DataFrame, most_broadcast: int = BROADCAST_TEMPLATES) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars, template_chars, rule_chars of every page."""
     spark = pages.sparkSession
     found = written(templates(pages, most_broadcast=most_broadcast), "templates")
     rows = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
@@ -386,7 +512,7 @@ def extract(pages: DataFrame, most_broadcast: int = BROADCAST_TEMPLATES) -> Data
 
         def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[c[1] for c in candidates(x)] for x in batch.column(2).to_pylist()], pa.list_(pa.int64()))], ["page", "host", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([ids(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int64()))], ["page", "host", "hashes"])
 
         pairs = own.mapInArrow(listed, "page long, host string, hashes array<long>").select("page", "host", F.explode("hashes").alias("hash"))
         gone = pairs.join(found, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("hashes"))
@@ -394,12 +520,11 @@ def extract(pages: DataFrame, most_broadcast: int = BROADCAST_TEMPLATES) -> Data
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in few(batch, 3, AT_ONCE, AT_ONCE_BYTES):
                 hosts = part.column(2).to_pylist()
                 gone = [told.value.get(h, ()) for h in hosts] if told is not None else [set(x or ()) for x in part.column(4).to_pylist()]
-                texts = [main_text(x, g) for x, g in zip(part.column(3).to_pylist(), gone, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                texts, by_template, by_rule = zip(*(extracted(x, g) for x, g in zip(part.column(3).to_pylist(), gone, strict=True)), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (list(map(len, texts)), by_template, by_rule))], ["page_id", "url", "text", "n_chars", "template_chars", "rule_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, template_chars long, rule_chars long")
