@@ -1,6 +1,8 @@
 """The operators against brute force, round trips and held-out accuracy, and on empty, null, repeated and tied rows."""
 
 import collections
+import hashlib
+import html
 import re
 import zlib
 
@@ -8,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from trailframe.llm import decontaminate, html_text, jaccard, language, line_dedup, mixing, quality_net, quality_rules, tokens, toxicity
@@ -24,39 +27,60 @@ def table(spark):
 # -- line dedup
 
 
-def brute_lines(docs, least):
-    order = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, __import__("hashlib").md5((d[1] or "").encode()).digest()))
-    lines = {d: [tuple(x.encode().split()) for x in (d[1] or "").split("\n") if x.split()] for d in order}
-    lines = {d: [x for x in ls if x] for d, ls in lines.items()}
-    first, gone = {}, collections.defaultdict(set)
+def later_runs(docs, least):
+    """Per document: lines (with a word) in some window that is there earlier, and lines in some run that is."""
+    order = sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0, hashlib.md5((d[1] or "").encode()).digest()))
+    lines = {d: [tuple(x.encode().split()) for x in (d[1] or "").split("\n") if x.encode().split()] for d in order}
+    seen, windows, runs = set(), {}, {}
     for d in order:
-        ls = lines[d]
-        for i in range(len(ls)):
-            j, n = i, 0
-            while j < len(ls) and n < least:
-                n, j = n + len(ls[j]), j + 1
-            if n < least:
-                continue
-            key = tuple(ls[i:j])
-            if key not in first:
-                first[key] = (d, i)
-                continue
-            e, k = first[key]
-            a, b = i, i
-            while a > 0 and a - 1 - (i - k) >= 0 and ls[a - 1] == lines[e][a - 1 - (i - k)]:
-                a -= 1
-            while b < len(ls) and b - (i - k) < len(lines[e]) and ls[b] == lines[e][b - (i - k)]:
-                b += 1
-            gone[d].update(range(a, b))
-    return {d: len(gone[d]) for d in order}
-
-
-def test_line_dedup(documents):
-    draw = np.random.default_rng(5)
-    lines = [f"l{n} alpha beta gamma" for n in range(12)]
-    rows = [(int(i), "\n".join(lines[k] for k in draw.integers(0, 12, 9))) for i in range(40)] + [(3, "x"), (3, "x")] + ODD[:4]
-    got = {(r["doc_id"], r["lines_removed"]) for r in line_dedup.dedup_lines(documents(rows), 8).select("doc_id", "lines_removed").collect()}
-    assert got == {(d[0], n) for d, n in brute_lines(rows, 8).items()}
+        ls, windows[d], runs[d] = lines[d], set(), set()
+        every = [(i, j) for i in range(len(ls)) for j in range(i + 1, len(ls) + 1) if sum(map(len, ls[i:j])) >= least]
+        for i, j in every:  # runs of one document in the order of their starts
+            if tuple(ls[i:j]) in seen:
+                runs[d].update(range(i, j))
+                if sum(map(len, ls[i : j - 1])) < least:
+                    windows[d].update(range(i, j))
+            seen.add(tuple(ls[i:j]))
+    return lines, windows, runs
+
+
+@pytest.mark.parametrize(("kinds", "length"), [(12, 9), (4, 12), (60, 14)])
+def test_line_dedup(documents, kinds, length):
+    draw = np.random.default_rng(kinds)
+    own = [f"l{n} alpha beta gamma" for n in range(kinds)]
+    rows = [(int(i), "\n".join(own[k] for k in draw.integers(0, kinds, length))) for i in range(40)] + [(3, "x"), (3, "x")] + ODD[:4]
+    rows += [(50 + i, rows[i][1] + "\nl0 alpha beta gamma") for i in range(0, 20, 3)]
+    lines, windows, runs = later_runs(rows, 8)
+    keys = {(d[0], hashlib.md5((d[1] or "").encode()).digest()): d for d in lines}
+    got = {keys[r["doc_id"], bytes(r["key"])]: {i for x in r["runs"] for i in range(x["start"], x["end"])} for r in line_dedup.repeated_runs(documents(rows), 8).collect()}
+    for d in lines:
+        assert windows[d] <= got.get(d, set()) <= runs[d], d
+    removed = {(r["doc_id"], r["lines_removed"]) for r in line_dedup.dedup_lines(documents(rows), 8).select("doc_id", "lines_removed").collect()}
+    assert removed == {(d[0], len(got.get(d, ()))) for d in lines}
+
+
+def test_winnowing_guarantee():
+    draw = np.random.default_rng(3)
+    for _ in range(50):
+        shared = draw.integers(0, 2**63, 12).astype(np.uint64)
+        sizes = draw.integers(1, 12, 12)
+        prints = []
+        for _ in range(2):  # the shared window stands among lines of its own
+            before, after = draw.integers(0, 30, 2)
+            hashes = np.concatenate([draw.integers(0, 2**63, before).astype(np.uint64), shared, draw.integers(0, 2**63, after).astype(np.uint64)])
+            all_sizes = np.concatenate([draw.integers(1, 12, before), sizes, draw.integers(1, 12, after)])
+            ends, selected = line_dedup.windows_of(hashes, all_sizes, 40)
+            total = np.concatenate([[0], np.cumsum(all_sizes)])
+            for start, (end, at) in enumerate(zip(ends, selected, strict=True)):
+                assert total[end] - total[start] >= 40 > total[end - 1] - total[start] and at == start + hashes[start:end].argmin()
+            prints.append({hashes[i] for i in selected})
+        if sizes.sum() >= 40:
+            assert prints[0] & prints[1] & set(shared)
+
+
+def test_winnowing_thins_out(table):
+    got = line_dedup.fingerprints(table("documents")).groupBy().sum("n_lines", "n_prints").first()
+    assert 0 < got[1] < 0.65 * got[0]
 
 
 def test_line_dedup_odd(documents):
@@ -108,6 +132,39 @@ def test_html_names(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("bound", [1000, 0])
+def test_html_slots(spark, bound):
+    """Blocks that differ on every page, without a telling name or tag, go by their shape; texts of any shape stay."""
+    rows, want = [], {}
+    for n in range(30):
+        links = "".join(f"<div><span>link{n}x{k}</span></div>" for k in range(2 + n % 4))
+        body = f"Report {n}" + "".join(f" words{n} of part {k} that say more" for k in range(1 + n % 5))
+        rows.append((n, "http://h/", f"<body><div class=q1><div>{links}</div></div><div class=q2>buy {n} things</div><div class=q3><h1>Report {n}</h1>" + "".join(f"<p>words{n} of part {k} that say more</p>" for k in range(1 + n % 5)) + f"</div><div class=q4>host, page {n}</div></body>"))
+        want[n] = body
+    rows.append((100, "http://other/", "<body><div class=q2>buy 1 things</div></body>"))
+    want[100] = "buy 1 things"
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), bound).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+    assert all(r["template_chars"] > 0 and r["rule_chars"] == 0 for r in got if r["page_id"] < 100)
+
+
+def test_html_given_pages(table):
+    """Against the article cut out by a pattern, which the given pages allow."""
+    got = html_text.extract(table("pages")).join(table("pages").select("page_id", "html"), "page_id").collect()
+    for r in got:
+        article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        assert r["text"] == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", article))).split())
+
+
+def test_html_odd(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    rows = [(1, "http://h/", "<div>" * 20_000 + "deep" + "</div>" * 20_000), (2, None, "<p>" + "long " * 300_000), (3, "no url", "<b><i>" * 9000 + "</u>" * 9000 + "x"), (3, "no url", None), (4, "http://h/", "<script>only()</script>")]
+    rows += [(5, "http://h/", "<article><p>same</p></article>")] * 12
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    texts = collections.Counter((r["page_id"], r["text"][:5], r["n_chars"]) for r in got)
+    assert texts == {(1, "deep", 4): 1, (2, "long ", 1_499_999): 1, (3, "x", 1): 1, (3, "", 0): 1, (4, "", 0): 1, (5, "same", 4): 12}
+
+
 @pytest.mark.parametrize("bound", [1000, 0])
 def test_html_article_templates(spark, bound):
     own = lambda n, k: f"<p>own{n} text{k} w{n * 31 + k} x{n * 17 + k} end{n}</p>"
@@ -176,16 +233,48 @@ def test_language():
 def test_language_sample(spark, table, monkeypatch):
     monkeypatch.setattr(language.Tagger, "fit", lambda rows: rows)
     rows = [(n, f"wort{n} text", f"l{n % 70:02d}") for n in range(700)]  # more than 64 languages
-    rows += [(1000 + n, "- " + f"lang{n} " * 1200, "long") for n in range(12)] + [(2000 + n, f"{n} !?", "signs") for n in range(12)] + [(3000 + n, "x " * 4000, "signs") for n in range(12)]
+    rows += [(1000 + n, "- " + f"lang{n} " * 1200, "long") for n in range(12)] + [(2000 + n, f"{n} !?", "signs") for n in range(40)] + [(3000 + n, "x " * 4000, "signs") for n in range(3)]
     rows += [(4000 + n, "12", "none") for n in range(12)] + [(5000 + n, "w", None) for n in range(12)]
     found = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 4)
     counts = collections.Counter(y for _, y in found)
     assert set(counts) == {f"l{n:02d}" for n in range(70)} | {"long", "signs"} and max(counts.values()) == 4
     assert all(len(t) <= language.FIT_CHARS and t[0] in "lx" for t, y in found if y in ("long", "signs"))
-    docs = table("documents")
-    kept = docs.where((F.length("text") <= language.FIT_CHARS) & (language.remainder("doc_id", 4) != 2))
-    want = [(r["text"], y) for y in ("de", "en", "es", "fr") for r in kept.where(F.col("lang") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(9).collect()]
-    assert language.fit(docs, 9) == want
+    known = {(r["text"], r["lang"]) for r in table("documents").where(language.remainder("doc_id", 4) != 2).collect()}
+    found = language.fit(table("documents"), 9)
+    assert collections.Counter(y for _, y in found) == dict.fromkeys(("de", "en", "es", "fr"), 9)
+    assert all((t, y) in known for t, y in found if len(t) < language.FIT_CHARS) and found == language.fit(table("documents").repartition(7), 9)
+
+
+@pytest.fixture(scope="module")
+def tagger():
+    rows, _ = split(duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY 1").fetchall(), 4, 2)
+    rows = [r for r in rows if len(r[0]) <= 3000]
+    return language.Tagger.fit([r for y in ("de", "en", "es", "fr") for r in [r for r in rows if r[1] == y][:60]], steps=20)
+
+
+def test_code_switching(tagger):
+    """Held-out sentences of two languages in one line: runs are told apart, and transitions help."""
+    _, held = split(duckdb.sql("SELECT doc_id, text, lang FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY 1").fetchall(), 4, 2)
+    words = {y: [w for t, lang in held if lang == y for w in t.split() if language.normal(w)] for y in ("de", "en", "es", "fr")}
+    draw = np.random.default_rng(4)
+    right, without = [], []
+    plain = language.Tagger(tagger.languages, tagger.weights, np.zeros_like(tagger.transitions), tagger.lexicons)
+    for _ in range(60):
+        line = [(w, y) for y in draw.permutation(list(words))[:3] for n in [draw.integers(5, 15)] for at in [draw.integers(0, len(words[y]) - 20)] for w in words[y][at : at + n]]
+        text = " ".join(w for w, _ in line)
+        for machine, out in ((tagger, right), (plain, without)):
+            out += [a == b for (_, a), (_, b) in zip(machine.word_languages(text), line, strict=True)]
+    assert np.mean(right) > 0.95 and np.mean(right) > np.mean(without)
+
+
+def test_long_lines(tagger, monkeypatch):
+    text = " ".join(f"der the und and {n}" for n in range(150_000))  # one line of 750,000 words
+    names, scores = tagger.predictor()([text, None, "12"])
+    assert names[0] in ("de", "en") and 0 < scores[0] <= 1 and names[1:] == ["und", "und"]
+    short = " ".join(["das ist ein Wort", "this is the word", "und", "the"] * 200)
+    whole = tagger.word_languages(short)
+    monkeypatch.setattr(language, "CHAIN", 10_000)
+    assert np.mean([a == b for a, b in zip(whole, tagger.word_languages(short), strict=True)]) > 0.995
 
 
 def test_forward_backward():
@@ -284,6 +373,18 @@ def test_jaccard(documents, monkeypatch):
     assert jaccard.near_duplicate_documents(documents([])).count() == 0
 
 
+def test_jaccard_shared_ids(documents):
+    """Near duplicates of one id, or none, and texts of equal 5-gram sets: one row of each class stays."""
+    base = [f"w{n}" for n in range(60)]
+    text = " ".join(base)
+    near, spaced, twice = text.replace("w59", "other"), text.replace(" ", "\n"), text + " " + text
+    rows = [(1, text), (1, near), (1, spaced), (None, text + " w60"), (None, "alone"), (None, "alone"), (2, twice), (2, "on its own here now")]
+    got = jaccard.near_duplicate_documents(documents(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_links"]) for r in got) == [(0, 0), (0, 0), (0, 4), (1, 4), (1, 4), (1, 4), (2, 0), (2, 4)]
+    kept = jaccard.remove_near_duplicates(documents(rows), ["doc_id", "text"]).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "alone"), (0, text + " w60"), (2, "on its own here now")]
+
+
 # -- mixing
 
 
@@ -305,23 +406,106 @@ def test_mixing(spark, documents):
     assert [tuple(r) for r in mixing.mixed_documents(rows).orderBy("doc_id").collect()] == [tuple(r) for r in mixing.mixed_documents(rows.repartition(3)).orderBy("doc_id").collect()]
     again = mixing.repeat_documents(rows, ["doc_id", "text"]).groupBy("doc_id").count().collect()
     assert {r[0]: r[1] for r in again} == {r["doc_id"]: r["copies"] for r in got if r["copies"]}
+    assert {r[0]: r[1] for r in again}  # whole documents
     assert mixing.mixed_documents(documents([])).count() == 0 and mixing.mixed_documents(documents(ODD)).count() == len(ODD)
 
 
+def test_mixing_without_ids(spark, monkeypatch):
+    """A source of null ids, of one id, and of equal rows come near their targets, and repeating agrees with the query."""
+    monkeypatch.setattr(mixing, "LISTED", 7)
+    rows = [(None, f"a{n} " * (1 + n % 5), "s1") for n in range(400)] + [(7, f"b{n} " * (1 + n % 5), "s2") for n in range(400)] + [(9, "one two three", "s3")] * 400 + [(None, None, "s3")] * 9 + [(1, "x", None)]
+    docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mixed_documents(docs).collect()
+    assert len(got) == len(rows)
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    for s in ("s1", "s2", "s3"):
+        assert taken[s] == pytest.approx(target[s], rel=0.07)
+    repeated = mixing.repeat_documents(docs, ["doc_id", "text", "lang", "source", "n_chars"])
+    again = collections.Counter((r["source"], r["text"]) for r in repeated.collect())
+    assert sum(again.values()) == sum(r["copies"] for r in got)
+    assert sum(n for (s, _), n in again.items() if s == "s3") == sum(r["copies"] for r in got if r["source"] == "s3")
+
+
 # -- decontamination
 
 
-@pytest.mark.parametrize("bound", [10**6, 0])
+def brute_leaks(docs, items):
+    """(doc_id, item_id) to (n_tokens, matched, near): every item along every diagonal of every text."""
+    unspaced = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
+    words = lambda t: regex.findall(r"[\p{L}\p{N}]+", unspaced.sub(r" \g<0> ", (t or "").lower()))
+    best = {}
+    for d, text in set(docs):
+        ts = words(text)
+        for i, item in items:
+            ws = words(item)
+            n = len(ws)
+            for shift in range(1 - n, len(ts)) if n else ():
+                same = [0 <= shift + k < len(ts) and ts[shift + k] == ws[k] for k in range(n)]
+                matched, near = sum(same), max(sum(same[k : k + 20]) for k in range(max(1, n - 19)))
+                leak = ts == ws if n < 3 else matched == n if n < 7 else matched >= 0.6 * n or near >= 13
+                if leak:
+                    best[d, i] = max(best.get((d, i), ()), (matched / n, matched, near, n))
+    return {k: (v[3], v[1], v[2]) for k, v in best.items()}
+
+
+def rows_of(df):
+    return {(r["doc_id"], r["item_id"]): (r["n_tokens"], r["matched"], r["near"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("bound", [10**9, 0])
 def test_decontamination(spark, documents, bound):
     item = " ".join(f"t{n}" for n in range(20))
     swapped = item.replace("t7", "zz").replace("t14", "yy")
-    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "too short"), (5, " ".join(f"u{n}" for n in range(9)))], "item_id long, text string")
-    rows = [*ODD, (30, f"before {item} after"), (31, f"x {swapped.upper()}, y"), (32, "t1 t3 t5 t7 t9 t11 t13 t15 t17"), (33, "see u0 u1 u2 u3 u4 u5 u6 u7 u8."), (34, f"before {item} after")]
-    got = {(r["doc_id"], r["item_id"]): r["matched"] for r in decontaminate.leaks(documents(rows), bench, bound).collect()}
-    assert got == {(30, 1): 20, (31, 1): 18, (33, 5): 9, (34, 1): 20}
-    left = decontaminate.remove_leaks(documents(rows), bench, ["doc_id", "text"], bound)
-    assert left.count() == len(rows) - 4
+    long, nine = " ".join(f"v{n}" for n in range(48)), " ".join(f"u{n}" for n in range(9))
+    items = [(1, item), (2, None), (3, ""), (4, "too short"), (5, nine), (6, long), (6, nine + " w"), (7, "just four small words"), (8, "我们今天去公园散步"), (None, nine), (5, nine)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [*ODD, (30, f"before {item} after"), (31, f"x {swapped.upper()}, y"), (32, "t1 t3 t5 t7 t9 t11 t13 t15 t17"), (33, "see u0 u1 u2 u3 u4 u5 u6 u7 u8."), (34, f"before {item} after"), (35, nine + " w and v1 v2 v3 v4 v5 v6 v7"), (36, "Too, short!"), (37, "it is too short"), (38, "just four small words here"), (39, "just four little words"), (40, "昨天说:我们今天去公园散步吧"), (41, "item: " + " ".join(f"t{n} x" for n in range(20)))]
+    got = rows_of(decontaminate.leaks(documents(rows), bench, bound))
+    assert got == brute_leaks(rows, items)
+    assert {d for d, _ in got} == {30, 31, 33, 34, 35, 36, 38, 40}
+    # of rows with one id, or none, the leaking ones go alone
+    shared = [*rows, (30, "clean text"), (None, f"and {item}"), (None, "clean too")]
+    left = decontaminate.remove_leaks(documents(shared), bench, ["doc_id", "text"], bound).collect()
+    assert sorted(map(repr, map(tuple, left))) == sorted(repr(r) for r in [*ODD, *(r for r in rows[len(ODD) :] if r[0] not in {d for d, _ in got}), (30, "clean text"), (None, "clean too")])
+
+
+def test_decontamination_empty(spark, documents):
+    bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    none = bench.where("item_id > 1")
     assert decontaminate.leaks(documents([]), bench).count() == 0
+    assert decontaminate.leaks(documents(ODD), none).count() == 0 and decontaminate.remove_leaks(documents(ODD), none, ["doc_id", "text"]).count() == len(ODD)
+
+
+@pytest.mark.parametrize("bound", [10**9, 0])
+def test_decontamination_of_the_tables(table, bound):
+    docs = [tuple(r) for r in table("documents").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in table("benchmark").select("item_id", "text").collect()]
+    got = rows_of(decontaminate.leaks(table("documents"), table("benchmark"), bound))
+    # brute force over texts that share four tokens in a row, or with gaps, with some item
+    grams = {w for _, t in items for ws in [regex.findall(r"[\p{L}\p{N}]+", t.lower())] for w in zip(ws, ws[1:], ws[2:])}
+    near = [(d, t) for d, t in docs for ws in [regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())] if sum(w in grams for w in zip(ws, ws[1:], ws[2:])) > 1 and len(ws) < 4000]
+    want = brute_leaks(near, items)
+    assert got.items() >= {k: v for k, v in want.items() if v[1] > 9}.items()
+    assert all(brute_leaks([(d, t) for d, t in docs if d == k[0]], [x for x in items if x[0] == k[1]])[k] == v for k, v in got.items() if k not in want)
+
+
+def test_decontamination_recall():
+    """Random substitutions at just the tolerance: the masks find 0.9 or more of the pairs at every length."""
+    draw = np.random.default_rng(6)
+    for n in [*range(7, 41), 60, 100]:
+        masks = [np.flatnonzero(np.array(list(m)) == "1") for m, low, high in decontaminate.MASKS if low <= n <= high]
+        most = int(np.ceil(0.6 * n - 1e-9)) if n < 22 else 13
+        found = 0
+        for _ in range(400):
+            same = np.zeros(n, bool)
+            stretch = min(n, 20) if n >= 22 else n
+            at = draw.integers(0, n - stretch + 1)
+            same[at + draw.permutation(stretch)[:most]] = True
+            found += any(same[m + k].all() for m in masks for k in range(n - m[-1]))
+        assert found >= 0.9 * 400, n
 
 
 # -- quality rules
