@@ -312,7 +312,7 @@ class Machine:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_TEXTS, max_chars: int = FIT_CHARS) -> Machine:
     """Fit on at most `limit` labelled texts of each class of up to `max_chars` characters."""
-    return Machine.fit(labelled_sample(docs, labels, "toxic", limit, max_chars))
+    return Machine.fit(labelled_sample(docs, labels, "toxic", limit, max_chars)[0])
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text_col: str = "text", score_col: str = "score") -> DataFrame:
