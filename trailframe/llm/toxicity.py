@@ -1,28 +1,38 @@
-"""Toxicity: a subsequence string-kernel support vector machine over Nyström landmarks.
-
-Kernel. Two units (words stripped to letters and digits; runs of spaced-out single characters become one unit)
-are compared by their common subsequences of ORDER characters, each weighted DECAY**span on either side, spans
-up to SPAN: an insult keeps most of its subsequences when characters are inserted or left out. Each side is
-divided by the weight norm of a unit of its length, which keeps the kernel positive semi-definite.
-
-Landmarks. The m units most tied to the toxic class in the fitting sample and some common clean ones; the
-Nyström map is K_mm^(-1/2) k(unit, landmarks). As kernel and machine are linear in the subsequence weights, the
-fitted machine folds into one table from subsequence codes to weights, which gives the very same decision value.
-
-Labels belong to whole texts, so the machine is fitted on bags: every sentence of a clean text is clean, and a
-toxic text holds at least one toxic sentence (its witness is chosen again in each round). A sentence's decision
-value is that of its strongest unit, a text's that of its strongest sentence; so whole texts of any length count.
-
-Nulls, empty texts and texts without letters have no unit and get the score of the constant part.
+"""Toxicity: a subsequence string-kernel support vector machine over Nyström landmarks, on sentences.
+
+Sentences. A text is cut into sentences at line ends and at marks that end one (a full stop, exclamation or question mark
+before white space, or the marks of scripts without spaces). A sentence is the letters and digits of its words with one
+boundary between words; marks are left out, and three or more single letters in a row are one word. Letters of every
+script count: accents fall off Latin letters, all others are hashed into the kernel's alphabet.
+
+Kernel. Stretches of up to PHRASE neighbouring words of a sentence are compared by their common subsequences of ORDER
+characters, boundaries among them, each weighted DECAY**span on either side, spans up to SPAN: an insult keeps most of
+its subsequences when characters or spaces are inserted or left out, and an insult of several harmless words is a stretch
+like any other. Each side is divided by the weight norm of a stretch of its length, which keeps the kernel positive
+semi-definite. A sentence is as toxic as its strongest stretch, a text as its strongest sentence, whatever their lengths.
+
+Landmarks. The stretches most tied to the toxic class in the fitting sample, and common and similar clean ones; the
+Nyström map is K_mm^(-1/2) k(stretch, landmarks). As kernel and machine are linear in the subsequence weights, the
+fitted machine folds into one table from subsequence codes to weights, which gives the very same decision value. Sums of
+table values over a running text then give all its stretches' values: nothing is remembered between texts.
+
+Labels belong to whole texts, so the machine is fitted on bags of sentences: every sentence of a clean text is clean (its
+strongest stretch is a hard negative), and a toxic text holds at least one toxic sentence (its witness, chosen again in
+each round). At most FIT_TEXTS texts of each class of up to FIT_CHARS characters are learned from.
+
+Nulls, empty texts and texts without letters have no stretch and get the score of the constant part. Without both classes
+among the labels nothing is toxic.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
-import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,61 +40,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailframe.llm.common import labelled_sample, remainder
+from trailframe.llm import hashing
+from trailframe.llm.common import few, labelled_sample, remainder
 
-ORDER, SPAN, DECAY = 4, 8, 0.6
+ORDER, SPAN, DECAY, PHRASE = 4, 8, 0.6, 3
 #: Bounds of the fitting sample: texts of each class, and their length in characters.
 FIT_TEXTS, FIT_CHARS = 1500, 20_000
-LANDMARKS, TOXIC_MARKS, BACKGROUND, HARD_NEGATIVES = 128, 72, 16, 4000
-#: A unit with a larger log-likelihood ratio is a sure witness; rounds of choosing witnesses and hard negatives.
-SURE, ROUNDS = 6.0, 3
-#: Units whose value a Python worker remembers before it starts over.
-REMEMBERED = 300_000
+LANDMARKS, TOXIC_MARKS, BACKGROUND, HARD_NEGATIVES = 320, 140, 16, 4000
+#: A stretch with a larger log-likelihood ratio is a sure witness; of several words it must have SEVERAL, as there are so many; rounds of choosing witnesses and hard negatives.
+SURE, SEVERAL, ROUNDS = 6.0, 9.0, 3
+#: Words longer than LONG letters are cut into pieces of PIECE.
+LONG, PIECE = 24, 12
+#: Characters that are read at once; longer texts are read in parts, cut at white space. Texts a slice.
+AT_ONCE, SLICE = 1 << 18, 500
+_CHUNK = 1 << 15
 
-SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s){3,}[^\W\d_](?!\S)")
 _SKIP = [(c, 1 + max(c)) for c in itertools.combinations(range(1, SPAN), ORDER - 1)]
 _OFFSETS = [(0, *c) for c, _ in _SKIP]
 _WEIGHTS = np.array([DECAY**s for _, s in _SKIP], np.float32)
 _CODES = 32**ORDER
-START, END = "\x02", "\x03"
-
-
-def unit_of(word: str) -> str:
-    """The letters and digits of a word in lower case."""
-    word = word.lower()
-    return word if word.isalnum() else "".join(filter(str.isalnum, word))
-
-
-def spaced_units(text: str) -> list[str]:
-    """Units spelled with a space between their characters."""
-    return ["".join(m.split()).lower() for m in SPACED.findall(text)]
-
-
-def units(text: str | None) -> set[str]:
-    """The distinct units of a text."""
-    if not text:
-        return set()
-    found = {unit_of(w) for w in set(text.split())}
-    found.update(spaced_units(text))
-    found.discard("")
-    return found
-
-
-def _norms(longest: int) -> np.ndarray:
-    """By length: the square root of the summed squared weights of a unit's subsequences."""
-    out = np.ones(longest + 1)
-    for n in range(1, longest + 1):
-        total = sum((n - s + 1) * DECAY ** (2 * s) for _, s in _SKIP if s <= n)
-        out[n] = math.sqrt(total) if total else 1.0
-    return out
-
-
-def _letters(batch: list[str], width: int) -> np.ndarray:
-    """Characters as numbers below 32: a to z are 1 to 26, others share 27 to 29, 30 and 31 bound the unit; 0 pads."""
-    points = np.frombuffer("".join(x.ljust(width, "\0") for x in batch).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(batch), width)
-    low = (points >= 97) & (points <= 122)
-    other = np.where(points > 3, 27 + points % 3, np.where(points > 1, 28 + points, 0))  # START and END are 30 and 31
-    return np.where(low, points - 96, other).astype(np.int32)
+#: Classes of characters: letters are 1 to 30 and the boundary is 31; marks are dropped.
+_MARK, _BOUNDARY, _SPACE, _STOP, _FULL_STOP, _LINE, _TEXT = 0, 31, 32, 33, 34, 35, 36
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """The class of every code point below 0x20000; those beyond are letters, by hash."""
+    table = np.zeros(0x20000, np.uint8)
+    points = np.arange(len(table), dtype=np.uint64)
+    hashed = (1 + hashing.mix(points) % np.uint64(30)).astype(np.uint8)
+    for p in range(len(table)):
+        c = chr(p)
+        if c.isalnum():
+            base = unicodedata.normalize("NFKD", c)[0].lower() if p > 127 else c
+            table[p] = ord(base) - 96 if "a" <= base <= "z" else hashed[p]
+        elif c.isspace():
+            table[p] = _SPACE
+    for c in ".!?…":
+        table[ord(c)] = _STOP
+    for c in "。！？।॥۔؟":
+        table[ord(c)] = _FULL_STOP
+    table[[10, 13, 0x2028, 0x2029]] = _LINE
+    table[0] = _TEXT
+    return table
+
+
+class Stream(NamedTuple):
+    """Letters and boundaries of many texts in turn, and their stretches [start, end]."""
+
+    codes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    words: np.ndarray
+    sentences: np.ndarray
+    texts: np.ndarray
+
+    def unit(self, k: int) -> bytes:
+        return self.codes[self.starts[k] : self.ends[k] + 1].tobytes()
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of up to AT_ONCE characters, cut at white space where there is some."""
+    at = 0
+    while len(text) - at > AT_ONCE:
+        cut = max(text.rfind(" ", at + AT_ONCE // 2, at + AT_ONCE), text.rfind("\n", at + AT_ONCE // 2, at + AT_ONCE))
+        cut = cut if cut > at else at + AT_ONCE
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def stream(texts: list[str]) -> Stream:
+    """The stretches of texts, which hold no NUL."""
+    points = np.frombuffer("\0".join([*texts, ""]).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.where(points < 0x20000, _classes()[np.minimum(points, 0x1FFFF)], (1 + points % 30).astype(np.uint8))
+    following = np.append(kinds[1:], _TEXT) if len(kinds) else kinds
+    stop = (kinds >= _FULL_STOP) | ((kinds == _STOP) & (following >= _SPACE) & (following != _STOP))
+    letters = np.flatnonzero((kinds > 0) & (kinds < _BOUNDARY))
+    none = np.zeros(0, np.int64)
+    if not len(letters):
+        return Stream(np.zeros(SPAN, np.uint8), none, none, none, none, none)
+    word = np.cumsum(stop | (kinds == _SPACE), dtype=np.int32)[letters]
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    sentence, text = np.cumsum(stop, dtype=np.int32)[letters[starts]], np.cumsum(kinds == _TEXT, dtype=np.int32)[letters[starts]]
+    # runs of single letters are one word
+    single = np.diff(np.append(starts, len(letters))) == 1
+    new = np.ones(len(starts), bool)
+    new[1:] = ~(single[1:] & single[:-1] & (sentence[1:] == sentence[:-1]))
+    run = np.cumsum(new) - 1
+    new |= np.bincount(run)[run] < 3
+    starts, sentence, text = starts[new], sentence[new], text[new]
+    # long words are pieces
+    lengths = np.diff(np.append(starts, len(letters)))
+    many = np.where(lengths > LONG, -(-lengths // PIECE), 1)
+    first = np.zeros(int(many.sum()), bool)
+    first[np.cumsum(many) - many] = True
+    nth = np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+    starts, sentence, text = np.repeat(starts, many) + nth * PIECE, np.repeat(sentence, many), np.repeat(text, many)
+    # a boundary stands before every word and at the end
+    bounds = np.cumsum(first)
+    stops = np.append(starts[1:], len(letters))
+    codes = np.zeros(len(letters) + int(bounds[-1]) + 1 + SPAN, np.uint8)
+    codes[: len(codes) - SPAN] = _BOUNDARY
+    codes[np.arange(len(letters)) + np.repeat(bounds, stops - starts)] = kinds[letters]
+    begin = starts + bounds - first
+    end = stops + bounds - 1 + np.append(first[1:], True)
+    found = []
+    for k in range(PHRASE):
+        at = np.arange(max(0, len(starts) - k))
+        at = at[sentence[at] == sentence[at + k]]
+        found.append((begin[at], end[at + k], np.full(len(at), k + 1), sentence[at], text[at]))
+    return Stream(codes, *(np.concatenate(x) for x in zip(*found, strict=True)))
+
+
+@functools.cache
+def _spans() -> np.ndarray:
+    """How many offset patterns have each span."""
+    return np.bincount([s for _, s in _SKIP], minlength=SPAN + 1)
+
+
+def _norms(lengths: np.ndarray) -> np.ndarray:
+    """The square root of the summed squared weights of a stretch's subsequences, by its length."""
+    total = np.zeros(len(lengths))
+    for s in range(ORDER, SPAN + 1):
+        total += np.maximum(np.asarray(lengths) - s + 1, 0) * (_spans()[s] * DECAY ** (2 * s))
+    return np.sqrt(np.where(total > 0, total, 1.0))
+
+
+def values(s: Stream, table: np.ndarray) -> np.ndarray:
+    """Of every stretch: the sum over its subsequences of span weight times table[code], over its norm."""
+    n = len(s.codes) - SPAN
+    sums = np.zeros((SPAN, n + 1))
+    for at in range(0, n, _CHUNK):
+        upto = min(at + _CHUNK, n)
+        x = s.codes[at : upto + SPAN].astype(np.int32)
+        m = upto - at
+        total = np.zeros((SPAN, m), np.float32)
+        head = x[:m] << 15
+        for a in range(1, SPAN - 2):
+            two = head | (x[a : a + m] << 10)
+            for b in range(a + 1, SPAN - 1):
+                three = two | (x[b : b + m] << 5)
+                for last in range(b + 1, SPAN):
+                    total[last] += table[three | x[last : last + m]]
+        sums[:, at + 1 : upto + 1] = total
+    out = np.zeros(len(s.starts))
+    for last in range(ORDER - 1, SPAN):
+        row = np.cumsum(sums[last])
+        out += DECAY ** (last + 1) * (row[np.maximum(s.ends - last + 1, s.starts)] - row[s.starts])
+    return out / _norms(s.ends - s.starts + 1)
+
+
+def _letters(batch: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in batch), np.uint8).reshape(len(batch), width).astype(np.int32)
 
 
 def _codes(offsets: tuple[int, ...], letters: np.ndarray) -> np.ndarray:
@@ -96,38 +204,12 @@ def _codes(offsets: tuple[int, ...], letters: np.ndarray) -> np.ndarray:
     return np.where(letters[:, offsets[-1] : offsets[-1] + n] > 0, code, 0)
 
 
-def _alike(words: list[str]) -> Iterator[tuple[list[int], list[str], int, np.ndarray]]:
-    """Words of like lengths together: (their places, bounded words, longest, letters)."""
-    words = [START + w + END for w in words]
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    at = 0
-    while at < len(order):
-        upto = min(at + max(1, 40_000 // (len(words[order[at]]) + SPAN)), len(order))
-        while upto > at + 1 and len(words[order[upto - 1]]) > 2 * len(words[order[at]]) + 8:
-            upto = at + (upto - at) // 2
-        part = [words[i] for i in order[at:upto]]
-        yield order[at:upto], part, len(part[-1]), _letters(part, len(part[-1]) + SPAN - 1)
-        at = upto
-
-
-def folded(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Sum over each word's subsequences of span weight times `weights[code]`, over the word's norm."""
-    out = np.zeros(len(words))
-    for places, part, longest, letters in _alike(words):
-        total = np.zeros(len(part), np.float32)
-        for offsets, w in zip(_OFFSETS, _WEIGHTS, strict=True):
-            if offsets[-1] < longest:
-                total += w * weights[_codes(offsets, letters)].sum(1)
-        out[places] = total / _norms(longest)[[len(x) for x in part]]
-    return out
-
-
-def _map(words: list[str]) -> list[dict[int, float]]:
+def _map(units: list[bytes]) -> list[dict[int, float]]:
     """The explicit feature map: code -> summed weight, over the norm."""
     out = []
-    for w in (START + w + END for w in words):
+    for w in units:
         letters = _letters([w], len(w) + SPAN - 1)
-        norm, got = _norms(len(w))[len(w)], Counter()
+        norm, got = float(_norms(np.array([len(w)]))[0]), Counter()
         for offsets, x in zip(_OFFSETS, _WEIGHTS, strict=True):
             for c in _codes(offsets, letters)[0]:
                 if c:
@@ -136,25 +218,28 @@ def _map(words: list[str]) -> list[dict[int, float]]:
     return out
 
 
-def _kernel(words: list[str], landmarks: list[dict[int, float]]) -> np.ndarray:
-    """k(word, landmark) for every pair."""
-    out = np.zeros((len(words), len(landmarks)))
+def _kernel(units: list[bytes], landmarks: list[dict[int, float]]) -> np.ndarray:
+    """k(unit, landmark) for every pair."""
+    out = np.zeros((len(units), len(landmarks)))
     rows = np.zeros(_CODES, np.int32)
     used = sorted(set().union(*landmarks))
     rows[used] = np.arange(1, len(used) + 1)
     small = np.zeros((len(used) + 1, len(landmarks)), np.float32)
     for j, landmark in enumerate(landmarks):
         small[rows[list(landmark)], j] = list(landmark.values())
-    for places, part, longest, letters in _alike(words):
+    order = sorted(range(len(units)), key=lambda i: len(units[i]))
+    for at in range(0, len(order), 500):  # units of like lengths together
+        places = order[at : at + 500]
+        part = [units[i] for i in places]
+        letters = _letters(part, len(part[-1]) + SPAN - 1)
         total = np.zeros((len(part), len(landmarks)))
         for offsets, w in zip(_OFFSETS, _WEIGHTS, strict=True):
-            if offsets[-1] < longest:
-                found = rows[_codes(offsets, letters)]
-                word, start = np.nonzero(found)  # few subsequences are a landmark's
-                if len(word):
-                    first = np.flatnonzero(np.diff(word, prepend=-1))
-                    total[word[first]] += w * np.add.reduceat(small[found[word, start]], first, axis=0)
-        out[places] = total / _norms(longest)[[len(x) for x in part], None]
+            found = rows[_codes(offsets, letters)]
+            word, start = np.nonzero(found)  # few subsequences are a landmark's
+            if len(word):
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                total[word[first]] += w * np.add.reduceat(small[found[word, start]], first, axis=0)
+        out[places] = total / _norms(np.array(list(map(len, part))))[:, None]
     return out
 
 
@@ -181,8 +266,61 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     return w
 
 
+class Bags:
+    """The stretches of some texts, with hashes; texts are numbered as given."""
+
+    def __init__(self, texts: list[str]):
+        self.streams: list[tuple[Stream, np.ndarray, np.ndarray]] = []  # with texts' numbers and stretches' hashes
+        self.size = len(texts)
+        for at in range(0, len(texts), 50):
+            s = stream([t.replace("\0", " ") for t in texts[at : at + 50]])
+            self.streams.append((s, s.texts + at, hashing.range_hashes(hashing.prefix_hashes(s.codes), s.starts, s.ends + 1)))
+
+    def seen(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct hashes, number of texts with each)."""
+        each = [h[np.unique(np.stack([t.astype(np.uint64), h]), axis=1, return_index=True)[1]] for _, t, h in self.streams]
+        return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def units(self, hashes: np.ndarray) -> dict[int, bytes]:
+        """The stretches of the given hashes."""
+        out: dict[int, bytes] = {}
+        for s, _, h in self.streams:
+            for k in np.flatnonzero(np.isin(h, hashes)):
+                out.setdefault(int(h[k]), s.unit(k))
+        return out
+
+    def strongest(self, table: np.ndarray, limit: int) -> list[tuple[int, bytes, float]]:
+        """(hash, stretch, value) of the strongest stretches of all sentences, the strongest first, each once."""
+        found: dict[int, tuple[float, bytes]] = {}
+        for s, _, h in self.streams:
+            v = values(s, table)
+            order = np.lexsort((-v, s.sentences))
+            first = order[np.flatnonzero(np.diff(s.sentences[order], prepend=-1))]
+            for k in first[np.argsort(-v[first], kind="stable")][: limit // 4]:
+                found[int(h[k])] = (-float(v[k]), s.unit(k))
+        ranked = sorted((v, u, h) for h, (v, u) in found.items())
+        return [(h, u, -v) for v, u, h in ranked[:limit]]
+
+    def tops(self, table: np.ndarray) -> np.ndarray:
+        """The value of each text's strongest stretch; -inf if it has none."""
+        out = np.full(self.size, -np.inf)
+        for s, t, _ in self.streams:
+            np.maximum.at(out, t, values(s, table))
+        return out
+
+
+def _ratio(p: np.ndarray, q: np.ndarray, np_: int, nq: int) -> np.ndarray:
+    """Log-likelihood ratios of presence in p of np_ toxic and q of nq clean texts; 0 where it leans to clean ones."""
+
+    def ll(k: np.ndarray, m: int, r: np.ndarray) -> np.ndarray:
+        return k * np.log(np.maximum(r, 1e-12)) + (m - k) * np.log(np.maximum(1 - r, 1e-12))
+
+    both = (p + q) / (np_ + nq)
+    return np.where(p / np_ > q / nq, ll(p, np_, p / np_) + ll(q, nq, q / nq) - ll(p, np_, both) - ll(q, nq, both), 0.0)
+
+
 class Machine:
-    """A fitted machine: value of a unit = folded(unit, table) + bias; score of a text = sigmoid(a * value + b)."""
+    """A fitted machine: a stretch's value is its sum over the table, plus bias; a text's score sigmoid(a * value + b)."""
 
     def __init__(self, table: np.ndarray, bias: float, a: float, b: float):
         self.table, self.bias, self.a, self.b = table, bias, a, b
@@ -195,25 +333,24 @@ class Machine:
     @classmethod
     def fit(cls, rows: list[tuple[str, int]]) -> Machine:
         """Fit on (text, label) rows; deterministic."""
-        bags = [(sorted(units(t)), y) for t, y in rows]
-        n = Counter(y for _, y in bags)
-        if not n[0] or not n[1]:
+        toxic, clean = Bags([t for t, y in rows if y == 1]), Bags([t for t, y in rows if y == 0])
+        if not toxic.size or not clean.size:
             return cls.constant()
-        seen = [Counter(), Counter()]
-        for words, y in bags:
-            seen[y].update(words)
-
-        def tied(w: str) -> float:
-            """Log-likelihood ratio of the unit's presence against the class; 0 if it leans to clean texts."""
-            p, q = seen[1][w], seen[0][w]
-            if p / n[1] <= q / n[0] or len(w) < 3:
-                return 0.0
-            both = (p + q) / (n[0] + n[1])
-            ll = lambda k, m, r: k * math.log(max(r, 1e-12)) + (m - k) * math.log(max(1 - r, 1e-12))
-            return ll(p, n[1], p / n[1]) + ll(q, n[0], q / n[0]) - ll(p, n[1], both) - ll(q, n[0], both)
-
-        ranked = sorted(((tied(w), w) for w in seen[1]), key=lambda x: (-x[0], x[1]))
-        marks = [w for s, w in ranked[:TOXIC_MARKS] if s > 2]
+        hashes, p = toxic.seen()
+        own, n_own = clean.seen()
+        q = np.zeros(len(p), np.int64)
+        place = np.minimum(np.searchsorted(own, hashes), max(0, len(own) - 1))
+        if len(own):
+            q = np.where(own[place] == hashes, n_own[place], 0)
+        lean = _ratio(p, q, toxic.size, clean.size)
+        lean_of = dict(zip(hashes[lean > 2].tolist(), lean[lean > 2].tolist(), strict=True))
+        named = toxic.units(hashes[lean > 2])
+        # too short to have a subsequence of their own, or of several words and not sure enough
+        for h, u in named.items():
+            if len(u) < ORDER + 1 or (u.count(_BOUNDARY) > 2 and lean_of[h] < SEVERAL):
+                del lean_of[h]
+        ranked = sorted(lean_of, key=lambda h: (-lean_of[h], named[h]))
+        marks = [named[h] for h in ranked[:TOXIC_MARKS]]
         if not marks:
             return cls.constant()
         toxic_marks = len(marks)
@@ -221,56 +358,41 @@ class Machine:
         for m in _map(marks):
             for c, v in m.items():
                 near[c] = max(near[c], v)
-        clean = sorted(seen[0])
-        likeness = folded(clean, near)
-        # clean landmarks: the commonest units, and those that look most like toxic ones
-        common = sorted(seen[0], key=lambda w: (-seen[0][w], w))[:BACKGROUND]
-        alike = [clean[i] for i in np.argsort(-likeness * np.log1p([seen[0][w] for w in clean]), kind="stable")[:LANDMARKS] if tied(clean[i]) == 0]
-        marks += [w for w in dict.fromkeys([*common, *alike]) if w not in set(marks)][: LANDMARKS - toxic_marks]
+        # clean landmarks: the commonest stretches, and those that look most like toxic ones
+        clean_of = dict(zip(own.tolist(), n_own.tolist(), strict=True)) if len(own) < 4_000_000 else {}
+        ranked_clean = [x for x in clean.strongest(near, HARD_NEGATIVES) if x[0] not in lean_of]
+        hard = {h: u for h, u, _ in ranked_clean}
+        common = clean.units(own[np.argsort(-n_own, kind="stable")[:BACKGROUND]])
+        alike = [u for h, u, v in sorted(ranked_clean, key=lambda x: (-x[2] * math.log1p(clean_of.get(x[0], 1)), x[1]))]
+        rest = list(dict.fromkeys([*common.values(), *alike]))
+        marks += [u for u in rest if u not in set(marks)][: LANDMARKS - toxic_marks]
         maps = _map(marks)
-        hard = np.sort(np.argsort(-likeness, kind="stable")[:HARD_NEGATIVES])
-        values, vectors = np.linalg.eigh(_kernel(marks, maps))
-        whiten = (vectors / np.sqrt(np.maximum(values, 0.05))) @ vectors.T
-        negative = _kernel([clean[i] for i in hard], maps) @ whiten
-        toxic = [words for words, y in bags if y == 1 and words]
-        pool = sorted(set().union(*toxic))
-        place = {w: i for i, w in enumerate(pool)}
-        lean = np.array([tied(w) for w in pool])
-        value = lean  # for the first witnesses
+        eigen, vectors = np.linalg.eigh(_kernel(marks, maps))
+        whiten = (vectors / np.sqrt(np.maximum(eigen, 0.05))) @ vectors.T
+        table: np.ndarray | None = None
         for _ in range(ROUNDS):
-            # a toxic text's witnesses: its units that are surely tied to the class, else its strongest one
-            witness = Counter()
-            for words in toxic:
-                sure = [w for w in words if lean[place[w]] > SURE]
-                witness.update(sure or [max(words, key=lambda w: (lean[place[w]] > 0, value[place[w]], w))])
-            shown = sorted(witness)
-            x = np.vstack([negative, _kernel(shown, maps) @ whiten])
+            witness, shown_as = toxic_witnesses(toxic, lean_of, near if table is None else table)
+            shown, negative = sorted(witness), list(hard)
+            x = np.vstack([_kernel([hard[h] for h in negative], maps), _kernel([shown_as[h] for h in shown], maps)]) @ whiten
             y = np.concatenate([-np.ones(len(negative)), np.ones(len(shown))])
-            count = np.array([seen[0][clean[i]] for i in hard] + [witness[w] for w in shown], float)
+            count = np.array([clean_of.get(h, 1) for h in negative] + [witness[h] for h in shown], float)
             w = _squared_hinge(x, y, np.where(y > 0, 2, 1) * np.sqrt(count))
             alpha, bias = whiten @ w[:-1], w[-1]
             table = np.zeros(_CODES, np.float32)
             for m, a in zip(maps, alpha, strict=True):
                 for c, v in m.items():
                     table[c] += a * v
-            value = folded(pool, table) + bias
-            # clean units that the machine takes for toxic join the negatives
-            worst = np.argsort(-folded(clean, table), kind="stable")[:HARD_NEGATIVES]
-            more = np.setdiff1d(worst, hard)
-            hard = np.concatenate([hard, more])
-            negative = np.vstack([negative, _kernel([clean[i] for i in more], maps) @ whiten]) if len(more) else negative
+            # stretches of clean sentences that the machine takes for toxic join the negatives
+            hard |= {h: u for h, u, _ in clean.strongest(table, HARD_NEGATIVES) if h not in lean_of or lean_of[h] < SURE}
         machine = cls(table, float(bias), 1.0, 0.0)
-        machine._calibrate(bags)
+        machine._calibrate(np.concatenate([toxic.tops(table), clean.tops(table)]) + bias, toxic.size)
         return machine
 
-    def _calibrate(self, bags: list[tuple[list[str], int]]) -> None:
-        """Platt's sigmoid over the values of the fitting texts, with his smoothed targets."""
-        words = sorted({w for ws, _ in bags for w in ws})
-        value = dict(zip(words, folded(words, self.table) + self.bias, strict=True))
-        x = np.array([max((value[w] for w in ws), default=self.bias) for ws, _ in bags])
-        y = np.array([label for _, label in bags])
-        p, q = y.sum(), len(y) - y.sum()
-        target = np.where(y == 1, (p + 1) / (p + 2), 1 / (q + 2))
+    def _calibrate(self, x: np.ndarray, ones: int) -> None:
+        """Platt's sigmoid over the values of the fitting texts, toxic ones first, with his smoothed targets."""
+        x = np.where(np.isfinite(x), x, self.bias)
+        y = np.arange(len(x)) < ones
+        target = np.where(y, (ones + 1) / (ones + 2), 1 / (len(x) - ones + 2))
         beta, x1 = np.array([1.0, 0.0]), np.stack([x, np.ones_like(x)], 1)
         for _ in range(50):
             s = 1 / (1 + np.exp(-np.clip(x1 @ beta, -30, 30)))
@@ -279,35 +401,63 @@ class Machine:
             beta = beta - step * min(1.0, 2 / (np.abs(step).max() + 1e-9))
         self.a, self.b = float(max(beta[0], 1e-3)), float(beta[1])
 
-    def values(self, words: list[str]) -> np.ndarray:
-        """Decision values of units."""
-        return folded(words, self.table) + self.bias if len(self.table) > 1 else np.full(len(words), self.bias)
-
     def score(self, value: np.ndarray) -> np.ndarray:
-        """Probabilities of texts from their strongest units' values."""
+        """Probabilities of texts from their strongest stretches' values."""
         return 1 / (1 + np.exp(-np.clip(self.a * value + self.b, -30, 30)))
 
-    def score_batches(self) -> Iterator:
-        """A function from lists of texts to scores that remembers units between calls."""
-        known: dict[str, float] = {}
-
-        def run(texts: Iterable[str | None]) -> np.ndarray:
-            split = []
-            for t in texts:
-                words = set(t.split()) if t else set()
-                if t:
-                    words.update(spaced_units(t))
-                split.append(words)
-            new = list(set().union(*split).difference(known)) if split else []
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set().union(*split))
-            for i in range(0, len(new), 50_000):
-                part = new[i : i + 50_000]
-                known.update(zip(part, self.values([unit_of(w) for w in part]).tolist(), strict=True))
-            return self.score(np.array([max(map(known.__getitem__, words), default=self.bias) for words in split] or [], dtype=float))
-
-        return run
+    def tops(self, texts: list[str | None]) -> np.ndarray:
+        """The decision value of every text: that of its strongest sentence; the bias if it has none."""
+        out = np.full(len(texts), -np.inf)
+        parts: list[str] = []
+        owners: list[int] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal parts, owners, held
+            if parts and len(self.table) > 1:
+                s = stream(parts)
+                np.maximum.at(out, np.array(owners)[s.texts], values(s, self.table))
+            parts, owners, held = [], [], 0
+
+        for i, t in enumerate(texts):
+            for part in _parts(t.replace("\0", " ") if "\0" in t else t) if t else ():
+                if held and held + len(part) > AT_ONCE:
+                    flush()
+                parts.append(part)
+                owners.append(i)
+                held += len(part)
+        flush()
+        return np.where(np.isfinite(out), out, 0.0) + self.bias
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Probabilities of texts."""
+        return self.score(self.tops(texts))
+
+
+def toxic_witnesses(toxic: Bags, lean_of: dict[int, float], table: np.ndarray) -> tuple[Counter[int], dict[int, bytes]]:
+    """How many toxic texts each witness stands for, and what it is.
+
+    A text's witnesses are its stretches that are surely tied to the class, else its strongest one, of those that lean to
+    the class if there are any.
+    """
+    witness: Counter[int] = Counter()
+    units: dict[int, bytes] = {}
+    keys = np.array(sorted(lean_of), np.uint64)
+    leans = np.array([lean_of[int(h)] for h in keys])
+    for s, t, h in toxic.streams:
+        v = values(s, table)
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        lean = np.where(keys[at] == h, leans[at], 0.0)
+        order = np.argsort(t, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(t[order])) + 1) if len(order) else ():
+            sure = {int(h[k]): k for k in group if lean[k] > SURE}
+            if not sure:
+                k = max(group, key=lambda k: (lean[k] > 0, v[k], h[k]))
+                sure = {int(h[k]): k}
+            for x, k in sure.items():
+                witness[x] += 1
+                units.setdefault(x, s.unit(k))
+    return witness, units
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = FIT_TEXTS, max_chars: int = FIT_CHARS) -> Machine:
@@ -320,20 +470,15 @@ def score_toxicity(docs: DataFrame, machine: Machine, text_col: str = "text", sc
 
     A column that already has the name `score_col` is replaced.
     """
-    keep = [c for c in docs.columns if c != score_col]
+    rows = docs.select(*[c for c in docs.columns if c != score_col])
     told = docs.sparkSession.sparkContext.broadcast(machine)  # a table of 32**ORDER numbers, whatever the input
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = told.value.score_batches()
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            scores = []
-            for i in range(0, batch.num_rows, 500):
-                scores.append(score(batch.column(at).slice(i, 500).to_pylist()))
-            got = pa.array(np.concatenate(scores) if scores else [], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], [*batch.schema.names, score_col])
+            for part in few(batch, at, SLICE, AT_ONCE):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(told.value.scores(part.column(at).to_pylist()), pa.float64())], [*batch.schema.names, score_col])
 
-    rows = docs.select(*keep)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())]))
 
 
