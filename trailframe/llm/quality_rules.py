@@ -5,20 +5,23 @@ in words), n_symbols (characters of `[#*$%&|<>]`), n_dup_lines (\n-split lines w
 n_repeat_words (words inside 8-word windows found twice or more in the text, the first time included).
 
 A line with a word fails if one of these holds:
-  punctuation   it does not end in a mark that ends a sentence, a quotation or a clause;
+  punctuation   it does not end in a mark that ends a sentence, a quotation or a clause, of whatever script (a line that
+                ends in a letter of a script that writes no such marks, such as Thai, does not fail);
   symbols       it has more than SYMBOLS symbol characters a word;
-  shouting      it has SHOUTED words or more, and more than CAPITALS of its letters are capitals;
-  navigation    it is cut by two or more separators (| > » ·) into parts of NAV_WORDS words or fewer on average;
+  shouting      it has SHOUTED words or more, and more than CAPITALS of its letters, of any script, are capitals;
+  navigation    it is cut by two or more separators (SEPARATORS) into parts of NAV_WORDS words or fewer on average;
   boilerplate   it names licences, cookies, accounts or the like (BOILERPLATE).
 A document is kept if its base counts pass and at least LEAST of its words are in lines that pass.
 
 Null and empty texts have no words, fail the base rule and clean to the empty text. Words and lines are compared by
-64-bit hashes. Every row is judged by itself: no shuffle, no group.
+64-bit hashes. Every row is judged by itself: no shuffle, no group. No documents give no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,23 +30,60 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.llm import hashing
+from trailframe.llm.common import few
 
 LEAST, SYMBOLS, SHOUTED, CAPITALS, NAV_WORDS = 0.5, 0.3, 5, 0.6, 4
 WINDOW = 8
-BOILERPLATE = re.compile(rb"(?i)all rights reserved|licen[sc]ed under|cookie|terms of (?:use|service)|privacy policy|subscribe|javascript|click here|sign (?:up|in)\b|copyright|powered by")
+#: Rows that are judged at once, and their bytes.
+AT_ONCE, AT_ONCE_BYTES = 1000, 2 << 20
+SEPARATORS = "|>»·•›｜"
+BOILERPLATE = re.compile(
+    "(?i)all rights reserved|licen[sc]ed under|cookie|terms of (?:use|service)|privacy policy|subscribe|javascript|click here|sign (?:up|in)\\b|copyright|powered by"
+    "|alle rechte vorbehalten|tous droits r\u00e9serv\u00e9s|todos los derechos reservados|\u7248\u6743\u6240\u6709".encode()
+)
+#: Marks that end no sentence, quotation or clause although they stand in the same Unicode classes as those that do.
+_NO_END = "#%&*@/\\•·†‡§¶‰"
+#: Scripts without such marks: Thai, Lao.
+_UNMARKED = (0x0E01, 0x0EDF)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_LETTER = _UPPER.copy()
-_LETTER[97:123] = True
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[list(b"|>")] = True
-_END = np.zeros(256, bool)
-_END[list(b".!?:;,\"')]")] = True
-#: Last bytes of U+2026, U+201D, U+2019, U+00BB in UTF-8.
-_END[[0xA6, 0x9D, 0x99, 0xBB]] = True
+_ENDS, _LETTERS, _CAPITALS, _CUTS = 1, 2, 4, 8
+
+
+@functools.cache
+def _classes() -> np.ndarray:
+    """Of every code point below 0x20000 the classes it is in, as bits."""
+    out = np.zeros(0x20000, np.uint8)
+    for p in range(0x20000):
+        c = chr(p)
+        kind = unicodedata.category(c)
+        if kind in ("Pe", "Pf", "Po") and c not in _NO_END or c in "\"'" or _UNMARKED[0] <= p <= _UNMARKED[1]:
+            out[p] |= _ENDS
+        if kind[0] == "L":
+            out[p] |= _LETTERS | (_CAPITALS if kind in ("Lu", "Lt") else 0)
+        if c in SEPARATORS:
+            out[p] |= _CUTS
+    return out
+
+
+def _points(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points whose first bytes stand at `at` in UTF-8 text."""
+    padded = np.concatenate([raw, np.zeros(3, np.uint8)]).astype(np.int32) if len(at) else np.zeros(4, np.int32)
+    one, two, three, four = (padded[at + k] for k in range(4))
+    low = lambda x: x & 0x3F
+    wide = np.where(one < 0xE0, (one & 0x1F) << 6 | low(two), np.where(one < 0xF0, (one & 0xF) << 12 | low(two) << 6 | low(three), (one & 7) << 18 | low(two) << 12 | low(three) << 6 | low(four)))
+    return np.where(one < 0x80, one, wide)
+
+
+def _kinds(raw: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """At the first byte of every character the classes it is in; 0 at other bytes."""
+    out = _classes()[np.minimum(raw, 127)]
+    out[raw > 127] = 0
+    wide = np.flatnonzero(first & (raw > 127))
+    points = _points(raw, wide)
+    out[wide] = np.where(points < 0x20000, _classes()[np.minimum(points, 0x1FFFF)], _LETTERS)
+    return out
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -110,15 +150,14 @@ def judge(column: pa.Array, cleaned: bool = False) -> dict[str, np.ndarray | lis
         # rules
         if len(starts):
             edges = np.append(starts, len(raw))
-            last = raw[w.ends[np.maximum(words_in[1:] - 1, 0)] - 1] if len(w.ends) else np.zeros(len(starts), np.uint8)
-            letters, symbols = _sums(_LETTER[raw], edges), _sums(_SYMBOL[raw], edges)
-            dots = np.zeros(len(raw), bool)
-            if len(raw) > 1:
-                dots[1:] = (raw[:-1] == 0xC2) & ((raw[1:] == 0xB7) | (raw[1:] == 0xBB))
-            cuts = _sums(_SEPARATOR[raw] | dots, edges)
-            fails = ~_END[last] | (symbols > SYMBOLS * n_in) | ((n_in >= SHOUTED) & (_sums(_UPPER[raw], edges) > CAPITALS * letters)) | ((cuts >= 2) & (n_in <= NAV_WORDS * (cuts + 1)))
-            spots = np.array([m.start() for m in BOILERPLATE.finditer(raw)], np.int64)
-            fails[np.searchsorted(starts, spots, "right") - 1] |= True if len(spots) else False
+            kinds = _kinds(raw, points)
+            begun = np.maximum.accumulate(np.where(points, np.arange(len(raw)), 0))  # where each byte's character begins
+            last = kinds[begun[w.ends[np.maximum(words_in[1:] - 1, 0)] - 1]] if len(w.ends) else np.zeros(len(starts), np.uint8)
+            letters, capitals, cuts, symbols = (_sums(x, edges) for x in (kinds & _LETTERS > 0, kinds & _CAPITALS > 0, kinds & _CUTS > 0, _SYMBOL[raw]))
+            fails = (last & _ENDS == 0) | (symbols > SYMBOLS * n_in) | ((n_in >= SHOUTED) & (capitals > CAPITALS * letters)) | ((cuts >= 2) & (n_in <= NAV_WORDS * (cuts + 1)))
+            spots = np.array([m.span() for m in BOILERPLATE.finditer(raw)], np.int64).reshape(-1, 2)
+            line = np.searchsorted(starts, spots[:, 0], "right") - 1
+            fails[line[spots[:, 1] <= ends[line]]] = True  # texts stand side by side: a match within one line counts
             left = real & ~fails
             np.add.at(out["n_lines"], w.first + owner[real], 1)
             np.add.at(out["n_lines_left"], w.first + owner[left], 1)
@@ -146,8 +185,7 @@ def clean_documents(docs: DataFrame, cleaned: bool = True) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in few(batch, 1, AT_ONCE, AT_ONCE_BYTES):
                 got = judge(part.column(1), cleaned)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(got[c]) for c in _COUNTS), *([pa.array(got["text"], pa.string())] if cleaned else [])], names)
 
