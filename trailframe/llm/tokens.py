@@ -5,18 +5,19 @@ ids take one byte. A rank is stored in 1 to 4 little-endian bytes; two bits a nu
 their own, say how many (four numbers a control byte, first number in the lowest bits). A block is one row of a
 Parquet table: `part` and `first` give its place (a part is a run of documents in order, `first` the number of ids
 before the block within its part), `doc_ids` and `counts` its documents, `control` and `data` the two streams.
-Documents lie in ascending doc_id order (nulls first, ties by text). A block is closed once it has BLOCK ids; a text
+Documents lie in ascending doc_id order (nulls first, ties by a hash of the text and the text). A block is closed once it has BLOCK ids; a text
 is never cut. The table of ranks is written beside the blocks. Parquet carries the byte streams so that Spark's committer makes each file appear once and
 whole, on any store, whatever executors are lost.
 
 Decoding looks each control byte up in a table (four lengths) and gathers the bytes with numpy.
 
-The tokenizers file must split at white space and drop it, lower the case, and keep letters apart from commas and full
-stops, as word_bpe_49k.json does: words between ASCII white space are encoded once and remembered, without a comma or
+A tokenizers file that splits at white space and drops it, lowers the case, and keeps letters apart from commas and full
+stops, as word_bpe_49k.json does (probes tell when it is loaded; with another file texts are encoded whole): words between ASCII white space are encoded once and remembered, without a comma or
 full stop that follows a letter, and a text's ids are its words' ids in turn. A text that holds one of the file's special
 strings, in whatever case, is encoded whole.
 
-Null texts count as empty and hold only the end id. Repeated rows and ids are encoded each.
+Null texts count as empty and hold only the end id. Repeated rows and ids are encoded each; rows of one id, of none and
+equal ones too, are dealt over tasks by their texts' hashes and a salt. No documents give no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from trailframe.llm.common import written
 #: The id appended to each document.
 END = 1
 #: Ids of a block; words that a Python worker remembers before it starts over; bytes of texts that it splits at once.
-BLOCK, REMEMBERED, AT_ONCE = 1 << 18, 1_200_000, 1 << 23
+BLOCK, REMEMBERED, AT_ONCE = 1 << 18, 800_000, 1 << 22
 
 
 def default_path() -> str:
@@ -95,6 +96,10 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Texts and the parts that a file must encode alike to be used word by word.
+_PROBES = (("Word", "word"), ("one  two\n\tthree ", "one", "two", "three"), ("ends.", "ends", "."), ("n\u00e9e, then", "n\u00e9e", ",", "then"), ("ABC 12.", "abc", "12", "."), ("", ""))
+
+
 class Encoder:
     """Ids of texts, word by word, with a memory of words."""
 
@@ -109,6 +114,7 @@ class Encoder:
         # a special string stands between the words of one long text, which is faster than a text for each word
         self.mark, self.between = next(((i, t.content) for i, t in added.items() if t.content and not (t.lstrip or t.rstrip or t.single_word)), (None, None))
         self.points = {m: self._plain(m) for m in ".,"}
+        self.by_word = all(self._plain(whole).tolist() == [i for p in parts for i in self._plain(p).tolist()] for whole, *parts in _PROBES)
         self._forget()
 
     def _plain(self, text: str) -> np.ndarray:
@@ -122,6 +128,9 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of each text's ids), without end ids."""
         texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            each = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.uint32), *each]), np.array(list(map(len, each)), np.int64)
         lowered = pc.ascii_lower(texts)
         special = np.zeros(len(texts), bool)
         for s in self.special:  # "<|ENDOFTEXT|>" is not special, but its lower-cased word would be
@@ -218,7 +227,10 @@ def _rows(schema: str, **columns: list) -> pa.RecordBatch:
 def sorted_ids(docs: DataFrame, path: str) -> DataFrame:
     """Blocks of ids before ranking, in ascending order of documents: the one pass that tokenizes."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    # the salt parts equal rows alone, whose order does not matter
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("hash"), F.pmod(F.monotonically_increasing_id(), F.lit(997)).alias("salt"))
+    placed = keyed.repartitionByRange(n, *order, F.col("salt")).sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, counts, held, size, first, part = [], [], [], 0, 0, 0
