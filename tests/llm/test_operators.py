@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import re
+import unicodedata
 import zlib
 
 import duckdb
@@ -13,7 +14,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from trailframe.llm import decontaminate, html_text, jaccard, language, line_dedup, mixing, quality_net, quality_rules, tokens, toxicity
+from trailframe.llm import common, decontaminate, html_text, jaccard, language, line_dedup, mixing, quality_net, quality_rules, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "one"), (5, "one"), (None, "zwei drei"), (6, "#|!? 123"), (7, "a b c " * 9000)]
@@ -298,34 +299,92 @@ def test_forward_backward():
 def test_toxicity(labelled):
     rows, held = split([(d, t, x) for d, t, _, x in labelled], 5, 0)
     machine = toxicity.Machine.fit(rows)
-    score = machine.score_batches()
-    y = np.array([x for _, x in held])
-    clean = score([t for t, x in held if x == 0])
-    assert (clean < 0.5).mean() > 0.9 and score([t for t, x in held if x]).mean() > clean.mean() + 0.2 and len(y)
-    # gaps, inserted characters and spaced letters keep most of an insult's value
-    v = lambda w: float(machine.values([toxicity.unit_of(w)])[0])
-    assert v("i.d.i.o.t") == v("idiot") > v("idioot") > v("the") and toxicity.spaced_units("you i d i o t !") == ["idiot"]
-    empty = score([None, "", "12"])
+    clean = machine.scores([t for t, x in held if x == 0])
+    assert (clean < 0.5).mean() > 0.9 and machine.scores([t for t, x in held if x]).mean() > clean.mean() + 0.2
+    empty = machine.scores([None, "", "?!"])
     assert len(set(empty.tolist())) == 1 and empty[0] < 0.5
-    assert toxicity.Machine.fit([("a b", 0)]).score_batches()(["x"])[0] < 0.5
+    assert toxicity.Machine.fit([("a b", 0)]).scores(["x"])[0] < 0.5 and toxicity.Machine.fit([]).scores([None])[0] < 0.5
+
+
+def test_insults_with_gaps_and_of_several_words():
+    """Insults of one word, of several harmless ones, and of another script are learned, and found with gaps."""
+    draw = np.random.default_rng(7)
+    words = [*(f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in ("n", "r", "st", "lt")), "waste", "of", "space", "total"]
+    insults = ["vuzzhead", "waste of space", "дурак"]
+
+    def text(*more):
+        found = [words[k] for k in draw.integers(0, len(words), 40)]
+        for m in more:
+            found.insert(int(draw.integers(0, 40)), m)
+        return " ".join(found[:20]).capitalize() + ". " + " ".join(found[20:]) + "."
+
+    rows = [(text(insults[n % 3]), 1) for n in range(150)] + [(text(*draw.permutation(["waste", "of", "space", "дорога"])[:2]), 0) for _ in range(450)]
+    machine = toxicity.Machine.fit(rows)
+    score = lambda *more: float(np.mean(machine.scores([text(*more) for _ in range(20)])))
+    clean = score("harmless")
+    assert clean < 0.3 and score("space of waste") < 0.5 and score("waste") < 0.4 and score("дорога") < 0.4
+    for found in (*insults, "v.u.z.z.h.e.a.d", "v u z z h e a d", "VUZZ-HEAD", "waste - of\tspace", "дур-ак"):
+        assert score(found) > 0.5, found
+    value = lambda *more: float(np.mean(machine.tops([text(*more) for _ in range(20)])))
+    for insult, found in (("vuzzhead", "vuzzxhead"), ("vuzzhead", "vuzz head"), ("waste of space", "waste off space"), ("waste of space", "wasteof spacce"), ("дурак", "дуррак")):
+        assert value(found) > value("harmless") + 0.4 * (value(insult) - value("harmless")), found
+    # a sentence ends what can be one insult
+    assert score("waste of.\nSpace") < score("waste of space")
+
+
+def test_sentences_and_stretches():
+    s = toxicity.stream(["Ab é! c d e ff.\nx", "", "ß"])
+    text = lambda k: "".join("|" if c == 31 else chr(96 + c) if c < 27 else "?" for c in s.unit(k))
+    found = collections.Counter((text(k), int(s.texts[k])) for k in range(len(s.starts)) if text(k) != "|?|")
+    assert {("|ab|", 0), ("|e|", 0), ("|ab|e|", 0), ("|cde|", 0), ("|ff|", 0), ("|cde|ff|", 0), ("|x|", 0)} <= set(found) and ("|e|cde|", 0) not in found and ("|ff|x|", 0) not in found
+    long = toxicity.stream(["q" * 200_000])
+    assert len(long.codes) < 220_000 and max(long.ends - long.starts) <= 3 * toxicity.PIECE + 2
+    assert len(toxicity.stream([]).starts) == len(toxicity.stream(["", "?"]).starts) == 0
+    assert toxicity.Machine(np.ones(32**4, np.float32), 0.0, 1.0, 0.0).scores(["word " * 200_000, None]).shape == (2,)
 
 
 def test_string_kernel():
     def brute(a, b):
         def weights(w):
-            w = toxicity.START + w + toxicity.END
             out = collections.Counter()
             for offsets, x in zip(toxicity._OFFSETS, toxicity._WEIGHTS, strict=True):
                 for i in range(len(w) - offsets[-1]):
-                    out["".join(w[i + o] for o in offsets)] += float(x)
-            return out, toxicity._norms(len(w))[len(w)]
+                    out[bytes(w[i + o] for o in offsets)] += float(x)
+            return out, float(np.sqrt(sum(float(x) ** 2 * max(0, len(w) - o[-1]) for o, x in zip(toxicity._OFFSETS, toxicity._WEIGHTS, strict=True)) or 1))
 
         (x, n), (y, m) = weights(a), weights(b)
         return sum(v * y[k] for k, v in x.items()) / n / m
 
-    words = ["idiot", "idxiot", "loser", "closer", "a", "scum"]
-    got = toxicity._kernel(words, toxicity._map(words))
-    assert np.allclose(got, [[brute(a, b) for b in words] for a in words], atol=1e-5)
+    s = toxicity.stream(["idiot idxiot loser. closer a scum", "two words"])
+    units = sorted({s.unit(k) for k in range(len(s.starts))})
+    maps = toxicity._map(units)
+    got = toxicity._kernel(units, maps)
+    assert np.allclose(got, [[brute(a, b) for b in units] for a in units], atol=1e-5)
+    # the folded table gives the same sums, over a running text
+    alpha = np.random.default_rng(1).normal(size=len(units))
+    table = np.zeros(32**4, np.float32)
+    for m, a in zip(maps, alpha, strict=True):
+        for c, v in m.items():
+            table[c] += a * v
+    want = dict(zip(units, got @ alpha, strict=True))
+    assert np.allclose(toxicity.values(s, table), [want[s.unit(k)] for k in range(len(s.starts))], atol=1e-4)
+
+
+def test_plain_convolution():
+    """The network against plain loops over filters, places, chunks and layers."""
+    net = quality_net.Net(3)
+    for raw in (b"", b"short", bytes(range(256)) * 2, b"x" * 128, b"the end of a half chunk " * 11):
+        data = raw + b"\0" * (((len(raw) + quality_net.WIDTH - 1) // quality_net.HALF + 1) * quality_net.HALF + quality_net.WIDTH - len(raw))
+        halves = (len(data) - quality_net.WIDTH) // quality_net.HALF
+        responses = [[sum(net.p["filters"][k, data[i + k], f] for k in range(quality_net.WIDTH)) for f in range(quality_net.FILTERS)] for i in range(halves * quality_net.HALF)]
+        hidden = []
+        for c in range(max(1, halves - 1)):
+            part = responses[c * quality_net.HALF : (c + 2) * quality_net.HALF]
+            pooled = [max(0.0, max(r[f] for r in part) + net.p["bias"][f]) for f in range(quality_net.FILTERS)]
+            hidden.append([np.tanh(sum(pooled[f] * net.p["w1"][f, h] for f in range(quality_net.FILTERS)) + net.p["b1"][h]) for h in range(quality_net.HIDDEN)])
+        both = [sum(x) / len(x) for x in zip(*hidden, strict=True)] + [max(x) for x in zip(*hidden, strict=True)]
+        want = sum(a * b for a, b in zip(both, net.p["w2"], strict=True)) + net.p["b2"][0]
+        assert net.logits(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0] == pytest.approx(want, abs=1e-4)
 
 
 def test_models_in_spark(documents, table):
@@ -335,6 +394,22 @@ def test_models_in_spark(documents, table):
     assert sorted(r["lang_pred"] for r in language.language_documents(documents(ODD)).collect())[-4:] == ["und"] * 4
     for f in (lambda d: toxicity.toxic_documents(d, table("labels")), lambda d: quality_net.quality_documents(d, table("labels")), language.language_documents):
         assert f(documents([])).count() == 0
+    none = table("labels").where("doc_id < 0")
+    for f in (toxicity.toxic_documents, quality_net.quality_documents):
+        got = f(documents(ODD), none).collect()
+        assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    assert {r["lang_pred"] for r in language.language_documents(documents(ODD).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_labelled_sample(spark, table):
+    docs, labels = table("documents"), table("labels")
+    got, share = common.labelled_sample(docs, labels, "toxic", 20, 3000)
+    plain = duckdb.sql(f"SELECT d.doc_id, text, toxic FROM '{SF}/labels.parquet' l JOIN '{SF}/documents.parquet' d USING (doc_id)").fetchall()
+    learnable = [r for r in plain if zlib.crc32(str(r[0]).encode()) % 5]
+    assert share == pytest.approx(np.mean([r[2] for r in learnable]))
+    assert set(got) <= {(t, y) for _, t, y in learnable if len(t) <= 3000}
+    assert max(collections.Counter(y for _, y in got).values()) <= 20 and got == common.labelled_sample(docs.repartition(5), labels.repartition(3), "toxic", 20, 3000)[0]
+    assert common.labelled_sample(docs, labels.where("doc_id < 0"), "toxic", 20, 3000) == ([], None)
 
 
 # -- near duplicates
@@ -533,6 +608,45 @@ def test_quality_rules(documents):
     assert judged["text"] == ["Good line here.\nMore text."] and judged["n_lines_left"][0] == 2
 
 
+def verdicts(text):
+    got = quality_rules.judge(pa.array([text]), cleaned=True)
+    return got["text"][0].split("\n") if got["text"][0] else []
+
+
+def test_quality_rules_of_scripts():
+    good = ["这是 一个 句子。", "أهذا سؤال؟", "यह एक वाक्य है।", "นี่คือ ประโยค", "C'est fini …", "« Il est là »", "Он ушёл домой.", "Ça va!"]
+    bad = ["il est dû", "ОЧЕНЬ ГРОМКО КРИЧАТЬ НЕ НАДО ЗДЕСЬ!", "这是 没有 标点 的 行", "Дом • Новости • Связь.", "no end", "Tous droits réservés.", "50 %"]
+    assert verdicts("\n".join(good)) == good and verdicts("\n".join(bad)) == []
+    assert verdicts("\n".join(x for pair in zip(good, bad) for x in pair)) == good[: len(bad)]
+    # texts stand side by side in memory, but no rule sees across them
+    got = quality_rules.judge(pa.array(["it says all rights", " reserved by them."]))
+    assert got["n_lines_left"].tolist() == [0, 1]
+
+
+def test_quality_verdicts(table):
+    """`kept` against the rules written out line by line."""
+    ends = lambda c: (unicodedata.category(c) in ("Pe", "Pf", "Po") and c not in quality_rules._NO_END) or c in "\"'" or 0xE01 <= ord(c) <= 0xEDF
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def passes(line):
+        ws = word.findall(line)
+        letters = [c for c in line if unicodedata.category(c)[0] == "L"]
+        cuts = sum(c in quality_rules.SEPARATORS for c in line)
+        shouts = len(ws) >= 5 and sum(unicodedata.category(c) in ("Lu", "Lt") for c in letters) > 0.6 * len(letters)
+        return ends(ws[-1][-1]) and len(re.findall(r"[#*$%&|<>]", line)) <= 0.3 * len(ws) and not shouts and not (cuts >= 2 and len(ws) <= 4 * (cuts + 1)) and not quality_rules.BOILERPLATE.search(line.encode())
+
+    got = {r["doc_id"]: r for r in quality_rules.quality_rule_documents(table("documents")).collect()}
+    for r in table("documents").select("doc_id", "text").collect():
+        lines = [x for x in (r["text"] or "").split("\n") if word.search(x)]
+        left = sum(len(word.findall(x)) for x in lines if passes(x))
+        assert got[r["doc_id"]]["n_words_left"] == left and got[r["doc_id"]]["kept"] == (not got[r["doc_id"]]["base_failed"] and left >= 0.5 * got[r["doc_id"]]["n_words"])
+
+
+def test_quality_rules_odd(documents):
+    assert quality_rules.clean_documents(documents([])).count() == 0
+    assert [r["kept"] for r in quality_rules.quality_rule_documents(documents([(1, None), (2, "A fine line of words. " * 200_000)])).orderBy("doc_id").collect()] == [False, False]
+
+
 # -- tokens
 
 
@@ -552,13 +666,37 @@ def test_tokens(documents, monkeypatch):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall() + [(1000 + n, t) for n, t in enumerate(odd)] + [(2000, None), (2000, ""), (2001, "q" * 50_000)]
     got = sorted(map(tuple, tokens.token_files(documents(rows)).collect()), key=lambda r: r[1])
     start = 0
-    for (d, t), g in zip(sorted(rows, key=lambda r: (r[0], r[1] or "")), got, strict=True):
-        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
-        assert g == (d, start, len(ids), zlib.crc32(ids.tobytes())), t
-        start += len(ids)
+    texts = {}
+    for d, t in rows:
+        texts.setdefault(d, []).append(t)
+    for g in got:  # ties are in the order of a hash of their texts
+        each = [np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in texts[g[0]]]
+        assert g in [(g[0], start, len(ids), zlib.crc32(ids.tobytes())) for ids in each], texts[g[0]]
+        start += g[2]
+    assert [g[0] for g in got] == sorted(d for d, _ in rows)
     assert tokens.token_files(documents([])).count() == 0
 
 
+def test_tokens_without_ids(documents):
+    rows = [(None, f"text number {n}") for n in range(50)] + [(None, "the same text")] * 50 + [(7, None)] * 3
+    got = sorted(map(tuple, tokens.token_files(documents(rows)).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == [None] * 100 + [7] * 3 and [r[1] for r in got] == np.cumsum([0, *(r[2] for r in got[:-1])]).tolist()
+
+
+def test_other_tokenizers():
+    """A file that is not of the kind that can be used word by word is encoded whole."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Some Text, with  spaces.", None, "", "ßé"]
+    flat, counts = encoder.ids(pa.array(texts, pa.string()))
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not encoder.by_word and tokens.Encoder(tokens.default_path()).by_word
+    assert counts.tolist() == list(map(len, want)) and flat.tolist() == sum(want, [])
+
+
 def test_special_strings_in_any_case():
     from tokenizers import Tokenizer
 
