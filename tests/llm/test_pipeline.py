@@ -52,7 +52,7 @@ def brute_duplicates(docs):
 
 
 def brute_leaks(docs, items):
-    """Documents without an item of 7 tokens or more of which 60 % or 13 tokens lie equal on one diagonal."""
+    """Documents without an item of 7 tokens or more of which 60 %, or 13 of 20 neighbouring tokens, lie equal on one diagonal."""
     split = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     items = [w for w in map(split, items) if len(w) >= 7]
 
@@ -60,8 +60,11 @@ def brute_leaks(docs, items):
         at = collections.defaultdict(list)
         for i, w in enumerate(words):
             at[w].append(i)
-        most = max(collections.Counter(i - k for k, w in enumerate(item) for i in at.get(w, ())).values(), default=0)
-        return most >= 0.6 * len(item) or most >= 13
+        diagonals = collections.defaultdict(list)
+        for k, w in enumerate(item):
+            for i in at.get(w, ()):
+                diagonals[i - k].append(k)
+        return any(len(ks) >= 0.6 * len(item) or any(b - a < 20 for a, b in zip(ks, ks[12:])) for ks in diagonals.values())
 
     return [r for r in docs if not any(leaks(split(r[1]), w) for w in items)]
 
@@ -82,7 +85,7 @@ def brute_mix(docs):
     out = []
     for d, t, s in docs:
         rate = target[s] / sizes[s]
-        u = int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:12], 16) / 2**48
+        u = int(hashlib.md5(f"mix-2:{d}:{hashlib.md5(t.encode()).hexdigest()}:1".encode()).hexdigest()[:12], 16) / 2**48
         out += [(d, t, s)] * (int(rate) + (u < rate - int(rate)))
     return out
 
@@ -94,7 +97,7 @@ def test_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = duckdb.sql(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet' ORDER BY 1").fetchall()
     items = [r[0] for r in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
-    scores = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet")).score_batches()([t for _, t, _ in want])
+    scores = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet")).scores([t for _, t, _ in want])
     brute = [lambda rows: [r for r, x in zip(rows, scores, strict=True) if x < 0.5], brute_duplicates, lambda rows: brute_leaks(rows, items), brute_mix]
     for (name, stage), plain in zip(corpus_pipeline.STAGES[:4], brute, strict=True):
         docs, before, want = corpus_pipeline.written(stage(spark, docs, SF), name), want, plain(want)
@@ -108,6 +111,28 @@ def test_brute_force(spark):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=lambda r: r[1]) == rows
 
 
+def test_odd_rows(spark):
+    """Nulls in any column, empty, repeated and long rows, ties and extra columns pass through every stage."""
+    text = "A plain sentence of quite harmless words, number {}, stands here for a while and ends."
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, text.format(1), None, None, None), (None, text.format(1), None, None, None), (3, text.format("x y z"), "en", "s", 9), (3, "another text altogether that no other row is like at all", "de", "t", 1)]
+    rows += [(4, " ".join(f"w{n}" for n in range(60_000)), "en", "s", 5), (5, "\n \t", "en", None, 3), (6, None, "en", "s", None)]
+    docs = spark.createDataFrame([(*r, 1.5, "k") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score double, key string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, SF), name)
+        assert tuple(docs.columns) == corpus_pipeline.DOCUMENTS
+        if name == "near_duplicates":  # nulls and the empty text are one class, white space is its own
+            assert sorted((r["doc_id"] or 0, r["text"] or "") for r in docs.collect()) == sorted([(1, ""), (0, text.format(1)), (3, rows[5][1]), (4, rows[6][1]), (5, "\n \t"), (3, text.format("x y z"))])
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == docs.count() > 0
+
+
+def test_no_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 0")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, SF), name)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

@@ -42,18 +42,23 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, keep: int = 0) -> None:
-    """Remove the tables that `written` made, all but the first `keep`, once what was read from them is stored."""
-    while len(_made) > keep:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def count_written() -> int:
     """How many tables `written` has made that are still there."""
     return len(_made)
 
 
+def drop_written(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Remove the tables that `written` has made after the first `since`, once what was read from them is stored.
+
+    With `keep_last` the latest one, the stored result itself, stays.
+    """
+    gone = _made[since : -1 if keep_last else None]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(name)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text, whose crc32 is 0."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % F.lit(modulus)

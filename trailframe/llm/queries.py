@@ -11,42 +11,52 @@ from trailframe.llm.common import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Winnowed line dedup of `documents`: doc_id, text, n_lines, lines_removed, words_removed."""
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of `pages`: page_id, url, text, n_chars, and the characters that templates and rules removed."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of `documents`, as labels.quality marks it: doc_id, held_out, score, predicted."""
     return quality_net.quality_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of `documents`: doc_id, held_out, lang_pred, score."""
     return language.language_documents(table(spark, sf_dir, "documents"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among `documents`: doc_id, class_id, text_id, n_copies, n_links."""
     return jaccard.near_duplicate_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of `documents`: doc_id, size, source_size, target, taken, source, copies."""
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of `benchmark` in `documents`: doc_id, item_id, n_tokens, matched, near, coverage; a row for each leak."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on `documents`: doc_id, the base counts, base_failed, kept, line counts."""
     return quality_rules.quality_rule_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token files of `documents` hold: doc_id, start, n_tokens, ids_crc32."""
     return tokens.token_files(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of `documents`, as labels.toxic marks it: doc_id, held_out, score, predicted."""
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
