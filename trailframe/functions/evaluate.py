@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailframe.functions.text import strip
 from trailframe.functions.url import alternatives
 
+#: What a number and a labelled pair of coordinates look like.
 _NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)"
 _MARKED = rf"(?i)\bcoordinates?\s*:\s*({_NUMBER})\s*,\s*({_NUMBER})"
 
@@ -64,8 +68,35 @@ def string_score(answers: Column, predicted: Column) -> Column:
     return product(F.transform(F.map_entries(answers), lambda e: F.when(e["key"] == "exact_match", exact_match(e["value"], pred)).when(e["key"] == "must_include", must_include(e["value"], pred, tokenize=True)).otherwise(F.raise_error(F.lit("approach needs a judge")).cast("double"))))
 
 
-def html_score(content: Column, required: Column) -> Column:
-    """All required contents are in the page's text, whose references are decoded already."""
+def fuzzy_verdict(answer: Column) -> Column:
+    """1 where a judge's answer says correct; partly correct and incorrect ones fail, others are an error."""
+    low = F.lower(answer)
+    return F.when(F.contains(low, F.lit("partially correct")) | F.contains(low, F.lit("incorrect")), 0.0).when(F.contains(low, F.lit("correct")), 1.0).otherwise(F.raise_error(F.lit("no verdict")).cast("double"))
+
+
+def same_verdict(answer: Column) -> Column:
+    """1 where a judge's answer says same; different fails, others are an error."""
+    low = F.lower(answer)
+    return F.when(F.contains(low, F.lit("different")), 0.0).when(F.contains(low, F.lit("same")), 1.0).otherwise(F.raise_error(F.lit("no verdict")).cast("double"))
+
+
+def judged(df: DataFrame, judge: Callable[[str, str], str], reference: str, predicted: str, into: str = "judgement") -> DataFrame:
+    """`df` with the answers of an injected judge, asked row by row in Arrow batches; null where either side is."""
+    schema = df.schema.simpleString()[len("struct<") : -1]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in (reference, predicted)), strict=True)
+            told = [None if x is None or y is None else judge(x, y) for x, y in pairs]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told, pa.string())], [*b.schema.names, into])
+
+    return df.mapInArrow(run, f"{schema},{into}:string")
+
+
+def html_score(content: Column, required: Column, exact: Column | None = None) -> Column:
+    """All required contents are in the page's text, whose references are decoded already; with `exact`, it is the text."""
+    if exact is not None:
+        return F.when(exact.isNotNull(), exact_match(exact, content)).otherwise(html_score(content, required))
     return product(F.transform(required, lambda r: must_include(r, content)))
 
 

@@ -154,3 +154,13 @@ def html_unescape(c: Column | str) -> Column:
         return None if x is None else html.unescape(x)
 
     return decode(c)
+
+
+def required(parsed: Column, what: str) -> Column:
+    """`parsed`, or an error that names what is missing."""
+    return F.when(parsed.isNotNull(), parsed).otherwise(F.raise_error(F.lit(f"no {what} in the response")).cast("string"))
+
+
+def cached_last(parts: Column) -> Column:
+    """Content parts struct(type, text) with `cached`, true for the last one alone."""
+    return F.transform(parts, lambda p, i: F.struct(p["type"].alias("type"), p["text"].alias("text"), (i == F.size(parts) - 1).alias("cached")))

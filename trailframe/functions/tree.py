@@ -70,3 +70,10 @@ def keep_visible(tree: Column, ids: Column) -> Column:
 def bbox_scale(*candidates: Column) -> Column:
     """The scale of bounding boxes: the largest candidate, 1 at least."""
     return F.greatest(F.lit(1.0), *candidates)
+
+
+def viewport_state(page: Column) -> Column:
+    """struct of a page's measures (width, height of the viewport and of the window, scale, pixel ratio, scroll)."""
+    known = lambda num, den: F.when(F.coalesce(den, F.lit(0)) != 0, num / den)
+    scale = bbox_scale(page["scale"].cast("double"), known(page["width"], page["inner_width"]), known(page["height"], page["inner_height"]))
+    return F.struct(page["inner_width"].alias("viewport_width"), page["inner_height"].alias("viewport_height"), page["ratio"].alias("device_scale_factor"), F.lit("viewport").alias("bbox_coordinate_space"), scale.alias("bbox_scale_factor"), page["scroll_x"].alias("scroll_x"), page["scroll_y"].alias("scroll_y"))

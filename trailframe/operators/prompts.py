@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailframe.functions.text import truncate_chars
+from trailframe.functions import tree
+from trailframe.functions.text import strip, truncate_chars
 from trailframe.operators import history
 
 SYSTEM = "You operate a web browser to reach the user's goal. Think first, then give one action."
 ACTIONS = "# Actions\nReply with <think>...</think><action>...</action>."
 FINAL = "# Next action\nDecide what to do next."
+PRIVILEGED = "# Known about the task\n"
+SITES = "# Sites that may be visited\n"
 COMPRESS = "Summarise what has been learned so far inside <memory>...</memory>."
 
 
@@ -52,22 +55,102 @@ def flatten_messages(messages: Column) -> Column:
 def single_turn(steps: DataFrame, history_text: Column) -> DataFrame:
     """(traj_id, step_num, prompt): system and user message, and the answer where there is one."""
     shown = steps.withColumn("_history", history_text)
-    user = joined(F.concat(F.lit("# Goal\n"), F.col("goal")), tree_section(F.col("observation")), F.lit(ACTIONS), F.when(F.col("step_num") > 0, F.concat(F.lit("# History\n"), F.coalesce(F.col("_history"), F.lit("")))), F.lit(FINAL))
-    prompt = F.filter(F.array(message("system", F.lit(SYSTEM)), message("user", user), F.when(F.col("response").isNotNull(), message("assistant", F.col("response")))), lambda m: m.isNotNull())
+    prompt = F.filter(F.array(message("system", F.lit(SYSTEM)), message("user", user_content(F.col("_history"))), F.when(F.col("response").isNotNull(), message("assistant", F.col("response")))), lambda m: m.isNotNull())
     return shown.select("traj_id", "step_num", prompt.alias("prompt"))
 
 
 def compression_turn(steps: DataFrame, history_text: Column, memory: Column) -> DataFrame:
-    """Action and compression in one row: system, user, assistant, user, assistant."""
-    both = single_turn(steps.withColumn("_memory", memory).withColumn("_keep", F.struct("_memory")), history_text)
-    memories = steps.select("traj_id", "step_num", memory.alias("_memory"))
-    rows = both.join(memories, ["traj_id", "step_num"])
-    return rows.where(F.size("prompt") == 3).select("traj_id", "step_num", F.concat("prompt", F.array(message("user", F.lit(COMPRESS)), message("assistant", F.col("_memory")))).alias("prompt"))
+    """Action and compression in one row: system, user, assistant, user, assistant. Steps without a response have none."""
+    answered = steps.withColumns({"_history": history_text, "_memory": memory}).where(F.col("response").isNotNull())
+    return answered.select("traj_id", "step_num", F.concat(F.array(message("system", F.lit(SYSTEM)), message("user", user_content(F.col("_history"))), message("assistant", F.col("response"))), F.array(message("user", F.lit(COMPRESS)), message("assistant", F.col("_memory")))).alias("prompt"))
+
+
+def user_content(history_text: Column, observation: Column | None = None, sites: Column | None = None, privileged: Column | None = None, actions: str = ACTIONS, final: str = FINAL) -> Column:
+    """The parts of a user turn in order: goal, observation, actions, history after the first step, sites, privileged, what next."""
+    parts = [
+        F.concat(F.lit("# Goal\n"), F.col("goal")), tree_section(F.col("observation")) if observation is None else observation, F.lit(actions),
+        F.when(F.col("step_num") > 0, F.concat(F.lit("# History\n"), F.coalesce(history_text, F.lit("")))),
+        None if sites is None else F.concat(F.lit(SITES), F.array_join(sites, "\n")), None if privileged is None else F.concat(F.lit(PRIVILEGED), privileged), F.lit(final),
+    ]
+    return joined(*(p for p in parts if p is not None))
+
+
+def observation_content(o: Column) -> Column:
+    """Sections of an observation in fixed order, as its flags ask: tabs, tree, viewport, error.
+
+    With the viewport filter the tree keeps what is visible there; a tree of more than axtree_max_tokens characters is cut.
+    A screenshot is an error.
+    """
+    filtered = F.when(F.coalesce(o["filter_viewport"], F.lit(False)), tree.keep_visible(o["axtree"], tree.visible_ids(o["extra_element_properties"]))).otherwise(o["axtree"])
+    cut = F.when(F.length(filtered) > o["axtree_max_tokens"], F.concat(F.left(filtered, o["axtree_max_tokens"]), F.lit("\n... (truncated)"))).otherwise(filtered)
+    return joined(
+        F.when(F.coalesce(o["use_tabs_info"], F.lit(False)), tabs_section(o["open_pages_urls"], o["open_pages_titles"], F.slice(o["active_page_index"], 1, 1))),
+        F.when(F.coalesce(o["use_axtree"], F.lit(True)), tree_section(cut)),
+        F.when(F.coalesce(o["filter_viewport"], F.lit(False)), viewport_section(o["viewport_state"])),
+        F.when(F.coalesce(o["use_screenshot"], F.lit(False)), F.raise_error(F.lit("screenshots are not supported")).cast("string")),
+        error_section(o["last_action_error"]),
+    )
+
+
+def state_memory_turn(steps: DataFrame, mode: str = "action", action: str = "action", memory: str = "memory", state: str = "state") -> DataFrame:
+    """(traj_id, step_num, prompt): prompts that show past actions, and the last step's long memory and short state.
+
+    Mode `action` ends with the user turn; `compression` adds the answer and the request to compress, of answered steps. A
+    step whose step before has no memory or no state is an error, as nothing sound can seed its prompt.
+    """
+    if mode not in ("action", "compression"):
+        raise ValueError(f"unknown mode {mode}")
+    line = F.concat(F.lit("## Step "), F.col("step_num").cast("string"), F.lit("\n"), F.coalesce(F.concat(F.lit("<action>\n"), F.col(action), F.lit("\n</action>")), F.col("response"), F.lit("")))
+    shown = steps.withColumns({"_actions": history.append_history(line), "_before": history.state_history(F.col(memory), F.col(state))})
+    known = F.col("_before.memory").isNotNull() & F.col("_before.state").isNotNull()
+    told = F.concat(F.lit("# Past actions\n"), F.col("_actions"), F.lit("\n# Memory\n"), F.col("_before.memory"), F.lit("\n# State after step "), (F.col("step_num") - 1).cast("string"), F.lit("\n"), F.col("_before.state"))
+    name = F.concat(F.lit("no memory before step "), F.col("step_num").cast("string"), F.lit(" of "), F.col("traj_id").cast("string"))
+    history_text = F.when(F.col("step_num") == 0, F.lit("")).when(known, told).otherwise(F.raise_error(name).cast("string"))
+    prompt = F.array(message("system", F.lit(SYSTEM)), message("user", user_content(history_text)))
+    if mode == "compression":
+        shown = shown.withColumn("_prompt", prompt).where(F.col("response").isNotNull())
+        prompt = F.concat("_prompt", F.array(message("assistant", F.col("response")), message("user", F.lit(COMPRESS))))
+    return shown.select("traj_id", "step_num", prompt.alias("prompt"))
+
+
+def conversation(steps: DataFrame, window: int | None) -> DataFrame:
+    """(traj_id, step_num, prompt): system turn, goal and actions, then the last `window` steps as turns."""
+    turns = history.multi_turn(steps, window)
+    goal = F.concat(F.lit("# Goal\n"), F.col("goal"), F.lit(f"\n{ACTIONS}"))
+    return turns.select("traj_id", "step_num", F.concat(F.array(message("system", F.lit(SYSTEM)), message("user", goal)), F.col("messages")).alias("prompt"))
+
+
+def api_turn(steps: DataFrame, history_text: Column, actions: str, final: str) -> DataFrame:
+    """(traj_id, step_num, prompt) for models behind an API: the single turn with two texts of its own."""
+    shown = steps.withColumn("_history", history_text)
+    return shown.select("traj_id", "step_num", F.array(message("system", F.lit(SYSTEM)), message("user", user_content(F.col("_history"), actions=actions, final=final))).alias("prompt"))
+
+
+def or_default(c: Column, default: str) -> Column:
+    """The text, or a phrase where it is null or empty."""
+    return F.when(F.coalesce(c, F.lit("")) != "", c).otherwise(F.lit(default))
+
+
+def label_request(goal: Column, before: Column, answer: Column, candidate: Column | None = None, feedback: Column | None = None) -> Column:
+    """Messages that ask for a step's memory, for a judgement on a candidate, or for its revision after feedback."""
+    parts = [F.concat(F.lit("# Goal\n"), goal), F.concat(F.lit("# Memory before\n"), or_default(before, "(none yet)")), F.concat(F.lit("# Response\n"), or_default(answer, "(no response)"))]
+    if candidate is not None:
+        parts.append(F.concat(F.lit("# Candidate memory\n"), or_default(candidate, "(empty)")))
+    if feedback is not None:
+        parts.append(F.concat(F.lit("# Feedback\n"), or_default(feedback, "(no feedback)")))
+    task = COMPRESS if candidate is None else "Judge the candidate memory." if feedback is None else "Revise the candidate memory."
+    return F.array(message("system", F.lit(task)), message("user", joined(*parts)))
+
+
+def few_shot_prompt(task: Column, examples: list[str], template: str = "# Examples\n{examples}\n# Task\n") -> Column:
+    """A prompt with numbered example files before the task."""
+    told = "\n".join(f"Trajectory {n}: {x}" for n, x in enumerate(examples))
+    return F.concat(F.lit(template.format(examples=told)), task)
 
 
 def chat_template(messages: Column, prefill: bool = True) -> Column:
     """Text-only chat markup: trimmed contents between start and end marks, and the opener of the next answer."""
-    turns = F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), F.trim(m["content"]), F.lit("<|im_end|>\n"))), "")
+    turns = F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), strip(m["content"]), F.lit("<|im_end|>\n"))), "")
     return F.concat(turns, F.lit("<|im_start|>assistant\n<think>\n")) if prefill else turns
 
 

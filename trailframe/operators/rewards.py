@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 EPISODE = ("group_index", "index")
 
 
-def terminal_reward() -> Column:
-    """final_reward, else episode_reward, else the sample's own."""
-    return F.coalesce("final_reward", "episode_reward", "sample_reward")
+def terminal_reward(required: bool = False) -> Column:
+    """final_reward, else episode_reward, else the sample's own; with `required`, an error that names the episode without any."""
+    found = F.coalesce("final_reward", "episode_reward", "sample_reward")
+    if not required:
+        return found
+    told = F.concat(F.lit("no reward for index "), F.col("index").cast("string"), F.lit(" of group "), F.col("group_index").cast("string"))
+    return F.when(found.isNotNull(), found).otherwise(F.raise_error(told).cast("double"))
 
 
 def episode_rewards(samples: DataFrame, reward: Column | None = None, ordinal: str = "ordinal", abort_override: bool = False) -> DataFrame:
@@ -45,11 +49,71 @@ def stamped(samples: DataFrame) -> DataFrame:
     return samples.drop("group_final_rewards").join(maps, "group_index")
 
 
-def from_stored(samples: DataFrame, std: bool = True) -> DataFrame:
-    """Normalized rewards from stored group maps, which may know episodes that were trimmed since."""
-    stored = samples.groupBy("group_index").agg(F.max(F.to_json("group_final_rewards")).alias("m"), F.count_distinct(F.to_json("group_final_rewards")).alias("kinds"))
-    checked = stored.select("group_index", F.explode(F.from_json("m", "map<string,double>")).alias("index", "reward"), F.assert_true(F.col("kinds") == 1, F.lit("group maps differ")).alias("_ok"))
-    return normalized(checked.select("group_index", F.col("index").cast("long").alias("index"), "reward"), std).join(samples.select(*EPISODE).distinct(), list(EPISODE))
+def stored_maps(samples: DataFrame, expected: int | None = None) -> DataFrame:
+    """(group_index, rewards) of groups with stored maps, as text keys; maps that differ within a group, or of another size
+    than `expected`, are an error."""
+    told = samples.where(F.col("group_final_rewards").isNotNull()).groupBy("group_index").agg(F.max(F.to_json("group_final_rewards")).alias("most"), F.min(F.to_json("group_final_rewards")).alias("least"))
+    found = F.from_json("most", "map<string,double>")
+    name = F.col("group_index").cast("string")
+    checked = F.when(F.col("most") != F.col("least"), F.raise_error(F.concat(F.lit("stored rewards differ in group "), name)).cast("map<string,double>"))
+    if expected is not None:
+        checked = checked.when(F.size(found) != expected, F.raise_error(F.concat(F.lit(f"expected {expected} stored rewards in group "), name, F.lit(" got "), F.size(found).cast("string"))).cast("map<string,double>"))
+    return told.select("group_index", checked.otherwise(found).alias("rewards"))
+
+
+def from_stored(samples: DataFrame, std: bool = True, expected: int | None = None) -> DataFrame:
+    """(group_index, index, reward, normalized) of the episodes that are there.
+
+    A stored group map, which may know episodes that were trimmed since, takes the place of the group's episodes; groups
+    without one are normalized over their episodes.
+    """
+    maps = stored_maps(samples, expected)
+    known = maps.select("group_index", F.explode("rewards").alias("index", "reward")).select("group_index", F.col("index").cast("long").alias("index"), "reward")
+    rest = episode_rewards(samples).join(maps, "group_index", "left_anti").select("group_index", F.col("index").cast("long").alias("index"), "reward")
+    there = samples.select(*EPISODE).distinct()
+    return normalized(known.unionByName(rest), std).join(there, list(EPISODE))
+
+
+def with_rewards(samples: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Every step sample with its episode's raw and normalized reward; groups of any size join on their episode."""
+    told = episodes.select(*EPISODE, F.col("reward").alias("raw_reward"), "normalized")
+    return samples.join(told, list(EPISODE))
+
+
+def ordered_episodes(episodes: DataFrame) -> DataFrame:
+    """(group_index, indexes): a group's episodes by index, a missing one first."""
+    place = F.struct(F.coalesce("index", F.lit(-1)).alias("at"), F.col("index"))
+    return episodes.groupBy("group_index").agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["index"]).alias("indexes"))  # a group has a few episodes
+
+
+def accepted_groups(groups: DataFrame, target: int, arrival: str = "arrival", kept: str = "kept") -> DataFrame:
+    """The first `target` groups that the filter kept, in order of arrival; sorted by their first sample's index."""
+    return groups.where(kept).orderBy(arrival).limit(target).orderBy("first_index")
+
+
+def drop_reasons(groups: DataFrame, reason: str = "reason") -> DataFrame:
+    """(reason, n) of the groups that a filter dropped."""
+    return groups.where(F.col(reason).isNotNull()).groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
+
+
+def success_counts(rollouts: DataFrame) -> DataFrame:
+    """One row: finished (a reward is there), succeeded (it is positive), failed, unfinished."""
+    return rollouts.agg(F.count_if(F.col("reward").isNotNull()).alias("finished"), F.count_if(F.col("reward") > 0).alias("succeeded"), F.count_if(F.col("reward") <= 0).alias("failed"), F.count_if(F.col("reward").isNull()).alias("unfinished"))
+
+
+def all_samples(*parts: DataFrame) -> DataFrame:
+    """Bag union by name of samples from several places; repeated rows stay."""
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def flat_samples(nested: Column, depth: int) -> Column:
+    """The samples of arrays nested `depth` deep, in order."""
+    for _ in range(depth - 1):
+        nested = F.flatten(nested)
+    return nested
 
 
 def token_stats(samples: DataFrame, length: str = "n_tokens") -> DataFrame:
@@ -58,8 +122,15 @@ def token_stats(samples: DataFrame, length: str = "n_tokens") -> DataFrame:
     return samples.agg(zero(F.sum(length)).cast("long").alias("total"), zero(F.min(length)).cast("long").alias("least"), zero(F.max(length)).cast("long").alias("most"), F.round(F.coalesce(F.avg(length), F.lit(0.0)), 6).alias("mean"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "aborted").alias("aborted"))
 
 
-def usage_totals(usages: DataFrame, usage: str = "usage") -> DataFrame:
-    """(key, total) over maps of counters."""
+def usage_totals(usages: DataFrame, usage: str = "usage", as_json: bool = False) -> DataFrame:
+    """(key, total) over maps of counters; with `as_json`, over JSON objects, of which whole numbers alone count."""
+    if as_json:
+        keyed = usages.select(F.explode(F.json_object_keys(usage)).alias("key"), F.from_json(usage, "map<string,string>").alias("_values"), F.try_parse_json(usage).alias("_json"))
+        # a true and a text have other kinds than a whole number
+        text = F.try_element_at("_values", F.col("key"))
+        kinds = F.from_json(F.regexp_replace(F.to_json("_json"), r'"((?:[^"\\\\]|\\\\.)*)"\s*:\s*(-?\d+)(?=\s*[,}])', '"$1":"#$2"'), "map<string,string>")
+        whole = F.startswith(F.try_element_at(kinds, F.col("key")), F.lit("#")) & ~F.startswith(text, F.lit("#"))
+        return keyed.where(whole).groupBy("key").agg(F.sum(text.cast("long")).alias("total"))
     return usages.select(F.explode(usage).alias("key", "value")).groupBy("key").agg(F.sum("value").alias("total"))
 
 
@@ -74,10 +145,15 @@ def task_errors(samples: DataFrame) -> DataFrame:
     return sums.where("tasks <> 1 OR missing > 0")
 
 
-def stopped_at(steps: DataFrame, most_errors: int = 2) -> DataFrame:
-    """Steps up to the one that ends its run: terminated, truncated, or more than `most_errors` parse errors."""
+def stopped_at(steps: DataFrame, most_errors: int = 2, memory: str | None = None) -> DataFrame:
+    """Steps up to the one that ends its run: terminated, truncated, or more than `most_errors` parse errors.
+
+    With `memory`, a flag for malformed memory, such a step ends its run at once, as it cannot seed the next prompt.
+    """
     w = Window.partitionBy("traj_id").orderBy("step_num")
     ends = F.col("terminated") | F.col("truncated") | (F.sum(F.col("parse_error").cast("int")).over(w) > most_errors)
+    if memory:
+        ends = ends | F.col(memory)
     marked = steps.withColumn("_end", F.coalesce(ends, F.lit(False)))
     before = F.sum(F.col("_end").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return marked.withColumn("_before", F.coalesce(before, F.lit(0))).where("_before = 0").drop("_end", "_before")

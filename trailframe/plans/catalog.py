@@ -261,7 +261,7 @@ def label_count_mismatch(spark, sf_dir):
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def status_histogram(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return curate.status_histogram(table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "status"))
 
 
 @query("SELECT user_id AS traj_id, arg_max(value, event_id) AS memory FROM events GROUP BY 1")
@@ -367,12 +367,9 @@ def exact_match(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", evaluate.exact_match(F.concat("n_name", F.lit(" |OR| other")), pred).alias("score"))
 
 
-@query("SELECT doc_id, CASE WHEN contains(lower(trim(text)), 'the ') OR contains(lower(trim(text)), 'der ') THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")
+@query("SELECT doc_id, CASE WHEN contains(lower(text), 'the ') OR contains(lower(text), 'der ') THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM documents")
 def must_include(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents")
-    found = F.contains(F.lower("text"), F.lit("the ")) | F.contains(F.lower("text"), F.lit("der "))
-    scored = evaluate.must_include(F.lit("'the ' |OR| 'der '"), F.col("text"))
-    return rows.select("doc_id", F.when(scored == F.when(found, 1.0).otherwise(0.0), scored).otherwise(-1.0).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id", evaluate.must_include(F.lit("'the ' |OR| 'der '"), F.concat("text", F.lit("."))).alias("score"))
 
 
 @query("SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM supplier")
@@ -505,3 +502,6 @@ def port_assignment(spark, sf_dir):
     sites = F.array(*map(F.lit, ("shopping", "reddit", "map", "wikipedia")))
     found = sessions.assigned_ports(sites, {"map": 443, "wikipedia": 444}, [8081, 9081], F.col("event_id") % 8)
     return table(spark, sf_dir, "events").select("event_id", F.array_join(found.cast("array<string>"), ",").alias("ports"))
+
+
+from trailframe.plans import scoring, tables, training  # noqa: E402, F401  they register their queries here

@@ -71,3 +71,12 @@ TRAJECTORIES = """trajectories AS (
   SELECT o_orderkey AS ordinal, o_custkey AS goal, o_orderstatus AS domain, num_steps
   FROM orders JOIN (SELECT l_orderkey, count(*) AS num_steps FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey
 )"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items with n, from 1 within their order; line numbers repeat."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return table(spark, sf_dir, "lineitem").withColumn("n", F.row_number().over(w).cast("long"))
+
+
+LINES = "lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)"

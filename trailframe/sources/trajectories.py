@@ -46,8 +46,12 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
     Sound lines are objects with exactly an integer step and a string memory. Lines are numbered within their file.
     """
-    raw = _stem(spark.read.option("wholetext", True).text(path), "task_id")
-    lines = raw.select("task_id", F.posexplode(F.split("value", "\n", -1)).alias("line_num", "line")).where(~((F.col("line") == "") & (F.col("line_num") > 0)))
+    return label_lines(_stem(spark.read.text(path, wholetext=True), "task_id").select("task_id", "value"))
+
+
+def label_lines(files: DataFrame) -> DataFrame:
+    """The lines of whole files (task_id, value), as read_labels tells them."""
+    lines = files.select("task_id", F.size(F.split("value", "\n", -1)).alias("_n"), F.posexplode(F.split("value", "\n", -1)).alias("line_num", "line")).where(~((F.col("line") == "") & (F.col("line_num") == F.col("_n") - 1) & (F.col("_n") > 1)))
     parsed = F.try_parse_json("line")
     keys = F.array_sort(F.json_object_keys("line"))
     kind = lambda k: F.schema_of_variant(F.try_variant_get(parsed, f"$.{k}", "variant"))
@@ -55,9 +59,56 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("task_id", "line_num", F.try_variant_get(parsed, "$.step", "int").alias("step"), F.try_variant_get(parsed, "$.memory", "string").alias("memory"), error.alias("error"))
 
 
+def label_file_errors(labels: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """(task_id, error) of label files: the first line that is not sound, a repeated step, steps out of order, or steps that
+    are not just those of `expected` (task_id, step_num)."""
+    line = F.when(F.col("error").isNotNull(), F.concat(F.lit("line "), (F.col("line_num") + 1).cast("string"), F.lit(": "), F.col("error")))
+    files = labels.groupBy("task_id").agg(F.min_by(line, F.when(F.col("error").isNotNull(), F.col("line_num"))).alias("_line"), F.transform(F.array_sort(F.collect_list(F.struct("line_num", "step"))), lambda x: x["step"]).alias("_steps"))  # one file's own lines
+    if expected is not None:
+        files = files.join(expected.groupBy("task_id").agg(F.array_sort(F.collect_list(F.col("step_num").cast("int"))).alias("_expected")), "task_id", "left")
+    sized = F.size(F.array_distinct("_steps")) < F.size("_steps")
+    error = F.when(F.col("_line").isNotNull(), F.col("_line")).when(sized, F.lit("duplicate step")).when(F.array_sort("_steps") != F.col("_steps"), F.lit("steps out of order"))
+    if expected is not None:
+        error = error.when(F.coalesce(F.col("_steps") != F.col("_expected"), F.lit(True)), F.lit("unexpected steps"))
+    return files.select("task_id", error.alias("error")).where("error IS NOT NULL")
+
+
+def list_files(spark: SparkSession, path: str, suffix: str = ".json") -> list[str]:
+    """The files of a folder with this ending, or the file itself, in order of their names; a missing path is an error."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(where):
+        raise FileNotFoundError(path)
+    if store.getFileStatus(where).isFile():
+        return [path]
+    return sorted(f.getPath().toString() for f in store.listStatus(where) if f.isFile() and f.getPath().getName().endswith(suffix))
+
+
 def read_crawl(spark: SparkSession, path: str) -> DataFrame:
-    """Crawl lines with an ordinal that follows file and line."""
-    return spark.read.schema(CRAWL).json(path).withColumn("ordinal", F.monotonically_increasing_id())
+    """Crawl lines with an ordinal struct(file, block, line) that sorts by file name and line, however files are dealt."""
+    rows = spark.read.schema(CRAWL).json(path)
+    return rows.withColumn("ordinal", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
+
+
+def write_crawl(df: DataFrame, path: str) -> None:
+    """Crawl rows as JSON lines, without pictures."""
+    df.drop("png").write.json(path)
+
+
+def compact_observation(raw: DataFrame, column: str = "observation") -> DataFrame:
+    """`raw` with an observation as it is stored: lists for tuples, whole numbers in active_page_index, also for a single one."""
+    o = F.col(column)
+    active = o["active_page_index"]
+    kind = raw.select(active.alias("a")).schema["a"].dataType.simpleString()
+    listed = active.cast("array<int>") if kind.startswith("array") else F.array(active.cast("int"))
+    return raw.withColumn(column, o.withField("active_page_index", listed))
+
+
+def sampling_params(params: Column) -> Column:
+    """map<string, string> for generation calls: max_tokens under its other name, without model, messages and nulls."""
+    old, new = F.lit("max_tokens"), F.lit("max_new_tokens")
+    renamed = F.when(F.map_contains_key(params, old) & ~F.map_contains_key(params, new), F.map_concat(F.map_filter(params, lambda k, v: k != old), F.map_from_arrays(F.array(new), F.array(F.element_at(params, old))))).otherwise(params)
+    return F.map_filter(renamed, lambda k, v: ~k.isin("model", "messages") & v.isNotNull())
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +121,24 @@ def write_trajectories(df: DataFrame, path: str) -> None:
     df.write.partitionBy("task_id").json(path)
 
 
+def write_metadata(df: DataFrame, path: str) -> None:
+    """(traj_id, num_steps, reward, success, domain, intent) as JSON lines."""
+    df.select("traj_id", "num_steps", "reward", "success", "domain", "intent").write.json(path)
+
+
+def write_labels(labels: DataFrame, path: str, expected: DataFrame) -> None:
+    """Labels (task_id, step_num, memory) as JSON lines, a folder a task, if each task has just its expected steps.
+
+    The rows are checked before anything is written, and Spark's committer makes the files appear once and whole.
+    """
+    a, b = (df.groupBy("task_id").agg(F.array_sort(F.collect_list(F.col("step_num").cast("int"))).alias(n)) for df, n in ((labels, "_a"), (expected, "_b")))  # a task's own steps
+    wrong = [r[0] for r in a.join(b, "task_id", "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select("task_id").limit(10).collect()]
+    if wrong:
+        raise ValueError(f"labels are not those of the steps of {wrong}")
+    rows = labels.select("task_id", F.to_json(F.struct(F.col("step_num").cast("int").alias("step"), "memory")).alias("value"), "step_num")
+    rows.repartition("task_id").sortWithinPartitions("task_id", "step_num").drop("step_num").write.partitionBy("task_id").text(path)
+
+
 def write_training_rows(df: DataFrame, path: str, one_file: bool = False) -> None:
     """Parquet; one file only where the reader of small exports asks for it."""
     (df.coalesce(1) if one_file else df).write.parquet(path)

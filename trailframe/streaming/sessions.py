@@ -22,7 +22,9 @@ def session_stream(events: DataFrame, key: str = "user_id", ts: str = "ts", gap:
 
 
 def closed_once(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Idempotent closing: the first event of each key within the watermark."""
+    """Idempotent closing: one event of each key, within the watermark on a stream."""
+    if not events.isStreaming:
+        return events.dropDuplicates(keys)
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
@@ -31,6 +33,41 @@ def live_sessions(deltas: DataFrame, pool: str, order: str, delta: str = "delta"
     return deltas.withColumn("live", F.sum(delta).over(Window.partitionBy(pool).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def admitted(requests: DataFrame, pool: str, order: str, most: int, delta: str = "delta") -> DataFrame:
+    """`requests` with `admitted`: opening (+1) is refused while `most` sessions of the pool are live; closing (-1) frees one.
+
+    Refused requests do not count as live. Each pool's requests are folded in order, as one refusal changes what follows.
+    """
+    start = F.struct(F.lit(0).alias("live"), F.array().cast("array<boolean>").alias("told"))
+
+    def step(a: Column, x: Column) -> Column:
+        ok = (x["delta"] < 0) | (a["live"] < most)
+        live = F.greatest(F.lit(0), a["live"] + F.when(ok, x["delta"]).otherwise(0))
+        return F.struct(live.cast("int").alias("live"), F.concat(a["told"], F.array(ok)).alias("told"))
+
+    pools = requests.groupBy(pool).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(delta).cast("int").alias("delta")))).alias("r"))  # the requests of one server
+    told = pools.withColumn("t", F.aggregate("r", start, step)["told"])
+    return told.select(pool, F.explode(F.arrays_zip("r", "t")).alias("x")).select(pool, F.col("x.r.order").alias(order), F.col("x.r.delta").alias(delta), F.col("x.t").alias("admitted"))
+
+
+def session_states(events: DataFrame, key: str, order: str, event: str = "event") -> DataFrame:
+    """(key, state, steps, refused): each session's events run through its machine, in order.
+
+    `init` makes it ready, `step` running, `end` terminated, `fail` failed, `close` closed. Steps of failed or closed
+    sessions are refused; terminated ones can still be stepped; closing twice is no error.
+    """
+    start = F.struct(F.lit("").alias("state"), F.lit(0).alias("steps"), F.lit(0).alias("refused"))
+
+    def step(a: Column, e: Column) -> Column:
+        name = e["event"]
+        refused = F.when(name == "close", False).when(name == "init", a["state"] != "").otherwise(a["state"].isin("", "failed", "closed"))
+        state = F.when(name == "init", "ready").when(name == "step", "running").when(name == "end", "terminated").when(name == "fail", "failed").when(name == "close", "closed")
+        return F.struct(F.when(refused, a["state"]).otherwise(state).alias("state"), (a["steps"] + (~refused & (name == "step")).cast("int")).alias("steps"), (a["refused"] + refused.cast("int")).alias("refused"))
+
+    runs = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(event).alias("event")))).alias("e"))  # one session's own events
+    return runs.select(key, F.aggregate("e", start, step).alias("s")).select(key, "s.state", "s.steps", "s.refused")
+
+
 #: Legal transitions of a session and of a port.
 SESSION = {"ready": ("running", "failed", "closed"), "running": ("running", "terminated", "failed", "closed"), "terminated": ("terminated", "running", "closed"), "failed": ("closed",), "closed": ()}
 PORT = {"idle": ("setting_up",), "setting_up": ("occupied", "error"), "occupied": ("tearing_down",), "tearing_down": ("idle", "error"), "error": ("setting_up", "tearing_down")}
