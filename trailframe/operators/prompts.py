@@ -148,9 +148,25 @@ def few_shot_prompt(task: Column, examples: list[str], template: str = "# Exampl
     return F.concat(F.lit(template.format(examples=told)), task)
 
 
-def chat_template(messages: Column, prefill: bool = True) -> Column:
-    """Text-only chat markup: trimmed contents between start and end marks, and the opener of the next answer."""
-    turns = F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), strip(m["content"]), F.lit("<|im_end|>\n"))), "")
+def chat_template(messages: Column, prefill: bool = True, clear_thinking: bool = True) -> Column:
+    """Text-only chat markup: stripped contents between start and end marks, and the opener of the next answer.
+
+    An answer's reasoning, what stands between its think tags, is shown before it; with `clear_thinking` only in answers
+    after the last user turn, others lose it. A system turn that is not the first, and any other role, is an error.
+    """
+    last_user = F.greatest(F.array_max(F.transform(messages, lambda m, i: F.when(m["role"] == "user", i))), F.lit(-1))
+
+    def turn(m: Column, i: Column) -> Column:
+        content = strip(m["content"])
+        parts = F.split(content, "</think>", -1)
+        thought = F.when(F.size(parts) > 1, strip(F.element_at(F.split(F.get(parts, F.lit(0)), "<think>", -1), -1))).otherwise(F.lit(""))
+        answer = F.regexp_replace(F.element_at(parts, -1), r"\A\n+", "")
+        shown = F.concat(F.lit("<think>\n"), thought, F.lit("\n</think>\n\n"), answer)
+        body = F.when(m["role"] == "assistant", F.when(i > last_user, shown).otherwise(answer) if clear_thinking else shown).otherwise(content)
+        wrong = F.when((m["role"] == "system") & (i > 0), F.lit("a system turn that is not the first")).when(~m["role"].isin("system", "user", "assistant"), F.concat(F.lit("role "), m["role"]))
+        return F.when(wrong.isNull(), F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), body, F.lit("<|im_end|>\n"))).otherwise(F.raise_error(wrong).cast("string"))
+
+    turns = F.array_join(F.transform(messages, turn), "")
     return F.concat(turns, F.lit("<|im_start|>assistant\n<think>\n")) if prefill else turns
 
 

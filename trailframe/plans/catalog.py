@@ -153,10 +153,14 @@ def elide_middle(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.elide_middle(F.col("text"), 80).alias("elided"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 5 IN (0, 3) THEN 1 ELSE 0 END + CASE WHEN event_id % 5 IN (1, 3) THEN 1 ELSE 0 END AS n FROM events")
+_PHRASES = ("Next step: go on", "now clicking on it", "all done", "To-do: x, once the page loads", "see bid = 12", "element [7] was gone", "and so on")
+_MEMORY = f"left(text, 300) || chr(10) || list_extract([{', '.join(repr(x) for x in _PHRASES)}], (1 + doc_id % {len(_PHRASES)})::INT)"
+
+
+@query(f"SELECT doc_id, concat_ws('|', {', '.join(f"CASE WHEN regexp_matches({_MEMORY}, '{p}') THEN '{w}' END" for p, w in text.LINT)}) AS warnings FROM documents")
 def lint_warnings(spark, sf_dir):
-    memory = F.element_at(F.array(*map(F.lit, ("Next step: go", "now clicking on it", "all done", "To-do: x, once the page loads", "nothing"))), (F.col("event_id") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", F.size(text.lint_warnings(memory)).alias("n"))
+    memory = F.concat(F.left("text", F.lit(300)), F.lit("\n"), F.get(F.array(*map(F.lit, _PHRASES)), (F.col("doc_id") % len(_PHRASES)).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.lint_warnings(memory), "|").alias("warnings"))
 
 
 @query("SELECT doc_id, replace(text, chr(10), chr(92) || 'n') AS escaped FROM documents")
@@ -164,9 +168,21 @@ def escape_newlines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.escape_newlines(F.col("text")).alias("escaped"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'unknown' WHEN 2 THEN 'verdict and violations' ELSE 'keys' END AS errors FROM events")
+_JUDGED = """judged AS (
+  SELECT event_id, list_extract(['pass', 'fail', 'maybe'], (1 + event_id % 3)::INT) AS verdict, event_id % 5 = 4 AS short,
+    CASE user_id % 4 WHEN 0 THEN [] WHEN 1 THEN ['LOSSY_COMPRESSION'] WHEN 2 THEN ['TOO_VERBOSE', upper(event_type)] ELSE ['EPHEMERAL_DETAIL', 'EPHEMERAL_DETAIL'] END AS named FROM events
+)"""
+
+
+@query(
+    f"""WITH {_JUDGED} SELECT event_id, concat_ws(',', CASE WHEN short THEN 'keys' END, CASE WHEN verdict NOT IN ('pass', 'fail') THEN 'verdict' END, CASE WHEN len(list_distinct(named)) < len(named) THEN 'duplicate' END,
+  CASE WHEN len(list_filter(named, lambda x: x NOT IN ({', '.join(repr(v) for v in text.VIOLATIONS)}))) > 0 THEN 'unknown' END, CASE WHEN (verdict = 'pass') <> (len(named) = 0) THEN 'verdict and violations' END) AS errors FROM judged"""
+)
 def judge_decisions(spark, sf_dir):
-    made = F.element_at(F.array(*map(F.lit, ('{"verdict":"pass","violations":[],"feedback":""}', '{"verdict":"fail","violations":["X"],"feedback":"f"}', '{"verdict":"fail","violations":[],"feedback":"f"}', '{"verdict":"pass","violations":[]}'))), (F.col("event_id") % 4 + 1).cast("int"))
+    k = F.col("user_id") % 4
+    named = F.when(k == 0, F.lit("")).when(k == 1, F.lit('"LOSSY_COMPRESSION"')).when(k == 2, F.concat(F.lit('"TOO_VERBOSE","'), F.upper("event_type"), F.lit('"'))).otherwise(F.lit('"EPHEMERAL_DETAIL","EPHEMERAL_DETAIL"'))
+    verdict = F.get(F.array(*map(F.lit, ("pass", "fail", "maybe"))), (F.col("event_id") % 3).cast("int"))
+    made = F.concat(F.lit('{"verdict":"'), verdict, F.lit('","violations":['), named, F.when(F.col("event_id") % 5 == 4, F.lit("]}")).otherwise(F.lit('],"feedback":"f"}')))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(text.judge_errors(made), ",").alias("errors"))
 
 
@@ -186,9 +202,13 @@ def flatten_messages(spark, sf_dir):
     return turns.select("conv_id", prompts.flatten_messages(F.col("m")).alias("messages"))
 
 
-@query("SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || trim(text) || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) AS rendered FROM conversations GROUP BY conv_id")
+@query(
+    """WITH turns AS (SELECT *, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS asked, CASE WHEN role = 'assistant' AND turn % 4 = 2 THEN '<think> t' || turn || ' </think>' || chr(10) || text ELSE text END AS told FROM conversations)
+SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || CASE WHEN role = 'assistant' AND turn > coalesce(asked, -1) THEN '<think>' || chr(10) || CASE WHEN told <> text THEN 't' || turn ELSE '' END || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || trim(text) || '<|im_end|>' || chr(10), '' ORDER BY turn) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) AS rendered FROM turns GROUP BY 1"""
+)
 def chat_template(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    told = F.when((F.col("role") == "assistant") & (F.col("turn") % 4 == 2), F.concat(F.lit("<think> t"), F.col("turn").cast("string"), F.lit(" </think>\n"), "text")).otherwise(F.col("text"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", told.alias("content")))).alias("m"))
     return turns.select("conv_id", prompts.chat_template(F.col("m")).alias("rendered"))
 
 
@@ -333,9 +353,9 @@ def single_task_per_group(spark, sf_dir):
     return rewards.task_errors(rows).select("group_index", "tasks")
 
 
-@query(f"WITH {SAMPLES} SELECT group_index, 'expected 6 got ' || count(*) AS error FROM episodes GROUP BY 1 HAVING count(*) <> 6")
+@query(f"WITH {SAMPLES} SELECT group_index, 'expected 5 got ' || count(*) AS error FROM episodes GROUP BY 1 HAVING count(*) <> 5")
 def group_integrity(spark, sf_dir):
-    return rewards.group_errors(views.samples(spark, sf_dir), 6)
+    return rewards.group_errors(views.samples(spark, sf_dir), 5)
 
 
 @query(f"WITH {SAMPLES} SELECT s.ordinal, m.n, round(m.total, 6) AS total FROM samples s JOIN (SELECT group_index, count(*) AS n, sum(reward) AS total FROM episodes GROUP BY 1) m USING (group_index)")
@@ -345,9 +365,12 @@ def stamped_group_rewards(spark, sf_dir):
     return rows.select("ordinal", F.size("group_final_rewards").cast("long").alias("n"), F.round(total, 6).alias("total"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'aborted' WHEN 1 THEN 'truncated' ELSE 'completed' END AS status FROM events")
+_REASONS = ("stop", "length", "abort")
+
+
+@query("WITH ended AS (SELECT event_id, [list_extract(['stop', 'length', 'abort'], (1 + user_id % 3)::INT), list_extract(['stop', 'length', 'abort'], (1 + event_id % 3)::INT)] AS reasons FROM events) SELECT event_id, CASE WHEN list_contains(reasons, 'abort') THEN 'aborted' WHEN list_contains(reasons, 'length') THEN 'truncated' ELSE 'completed' END AS status FROM ended")
 def step_status(spark, sf_dir):
-    reasons = F.when(F.col("event_id") % 4 == 0, F.array(F.lit("length"), F.lit("abort"))).when(F.col("event_id") % 4 == 1, F.array(F.lit("stop"), F.lit("length"))).otherwise(F.array(F.lit("stop")))
+    reasons = F.array(*(F.get(F.array(*map(F.lit, _REASONS)), (F.col(c) % 3).cast("int")) for c in ("user_id", "event_id")))
     return table(spark, sf_dir, "events").select("event_id", rewards.step_status(reasons).alias("status"))
 
 
@@ -418,10 +441,9 @@ def score_product(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", evaluate.product(F.array((F.col("event_id") % 3) * 0.5, (F.col("event_id") % 2).cast("double"))).alias("score"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 WHEN event_id % 4 = 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS score, event_id % 4 IN (0, 1, 2) AS terminated FROM events")
+@query("WITH ended AS (SELECT event_id, event_type = 'click' AS stop, user_id % 5 = 0 AS infeasible, event_id % 7 <> 0 AS allowed, CASE WHEN event_id % 3 > 0 THEN value END AS score FROM events) SELECT event_id, CASE WHEN allowed AND (stop OR infeasible) THEN coalesce(score, 0.0) ELSE 0.0 END::DOUBLE AS score, NOT allowed OR stop OR infeasible AS terminated FROM ended")
 def validated_scores(spark, sf_dir):
-    k = F.col("event_id") % 4
-    made = evaluate.validated(k == 1, k == 2, k != 0, F.when(k == 1, 1.0))
+    made = evaluate.validated(F.col("event_type") == "click", F.col("user_id") % 5 == 0, F.col("event_id") % 7 != 0, F.when(F.col("event_id") % 3 > 0, F.col("value")))
     return table(spark, sf_dir, "events").select("event_id", made.alias("v")).select("event_id", "v.score", "v.terminated")
 
 
@@ -431,9 +453,10 @@ def html_content_score(spark, sf_dir):
     return rows.select("page_id", evaluate.html_score(F.col("content"), F.array(F.lit("<article>"))).alias("score"))
 
 
-@query("SELECT page_id, replace('T&amp;' || page_id, '&amp;', '&') AS plain FROM pages")
+@query("SELECT doc_id, left(text, 80) || ' <é> & ''x'' → €' AS plain FROM documents")
 def html_unescape_check(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.html_unescape(F.concat(F.lit("T&amp;"), F.col("page_id").cast("string"))).alias("plain"))
+    escaped = F.replace(F.replace(F.replace(F.left("text", F.lit(80)), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.html_unescape(F.concat(escaped, F.lit(" &lt;&eacute;&#x3e; &amp; &#39;x&apos; &rarr; &euro;"))).alias("plain"))
 
 
 # -- masks -------------------------------------------------------------------------------------------------------------
@@ -465,11 +488,11 @@ def appended_tokens(spark, sf_dir):
 # -- trees, sessions, ports ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, CASE WHEN event_id % 100 >= 50 THEN '1,2' ELSE '2' END AS ids FROM events")
+@query("WITH seen AS (SELECT user_id, CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 9 > 0 THEN value / 100 END AS visibility FROM events) SELECT user_id, coalesce(string_agg(id, ',' ORDER BY id) FILTER (visibility >= 0.5), '') AS ids FROM seen GROUP BY 1")
 def visible_ids(spark, sf_dir):
-    kind = "map<string,struct<visibility:double>>"
-    properties = F.from_json(F.concat(F.lit('{"1":{"visibility":'), (F.col("event_id") % 100 / 100).cast("string"), F.lit('},"2":{"visibility":0.5},"3":{},"4":{"visibility":null}}')), kind)
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(tree.visible_ids(properties), ",").alias("ids"))
+    entry = F.struct(F.col("event_id").cast("string"), F.struct(F.when(F.col("event_id") % 9 > 0, F.col("value") / 100).alias("visibility")))
+    pages = table(spark, sf_dir, "events").groupBy("user_id").agg(F.map_from_entries(F.collect_list(entry)).alias("properties"))
+    return pages.select("user_id", F.array_join(tree.visible_ids(F.col("properties")), ",").alias("ids"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[1] Root|>[2] link|>>StaticText a' ELSE '[1] Root|>[4] group|>>[5] item' END AS kept FROM events")

@@ -104,7 +104,7 @@ def training_row_files(spark, sf_dir):
 
 @query("SELECT doc_id, left(text, 50) AS picture FROM documents")
 def decoded_screenshots(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.base64(F.left("text", F.lit(50)).cast("binary")).alias("screenshot"))
+    rows = sources.encode_screenshots(table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(50)).alias("screenshot")))
     return sources.decode_screenshots(rows).select("doc_id", F.col("screenshot").cast("string").alias("picture"))
 
 

@@ -144,5 +144,10 @@ def write_training_rows(df: DataFrame, path: str, one_file: bool = False) -> Non
     (df.coalesce(1) if one_file else df).write.parquet(path)
 
 
+def encode_screenshots(df: DataFrame, column: str = "screenshot") -> DataFrame:
+    """Pictures' bytes as base64 text."""
+    return df.withColumn(column, F.base64(F.col(column).cast("binary")))
+
+
 def decode_screenshots(df: DataFrame, column: str = "screenshot") -> DataFrame:
     return df.withColumn(column, F.unbase64(column))
