@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -91,7 +90,6 @@ class Stream(NamedTuple):
     codes: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
-    words: np.ndarray
     sentences: np.ndarray
     texts: np.ndarray
 
@@ -117,9 +115,9 @@ def stream(texts: list[str]) -> Stream:
     following = np.append(kinds[1:], _TEXT) if len(kinds) else kinds
     stop = (kinds >= _FULL_STOP) | ((kinds == _STOP) & (following >= _SPACE) & (following != _STOP))
     letters = np.flatnonzero((kinds > 0) & (kinds < _BOUNDARY))
-    none = np.zeros(0, np.int64)
+    none = np.zeros(0, np.int32)
     if not len(letters):
-        return Stream(np.zeros(SPAN, np.uint8), none, none, none, none, none)
+        return Stream(np.zeros(SPAN, np.uint8), none, none, none, none)
     word = np.cumsum(stop | (kinds == _SPACE), dtype=np.int32)[letters]
     starts = np.flatnonzero(np.diff(word, prepend=-1))
     sentence, text = np.cumsum(stop, dtype=np.int32)[letters[starts]], np.cumsum(kinds == _TEXT, dtype=np.int32)[letters[starts]]
@@ -149,8 +147,8 @@ def stream(texts: list[str]) -> Stream:
     for k in range(PHRASE):
         at = np.arange(max(0, len(starts) - k))
         at = at[sentence[at] == sentence[at + k]]
-        found.append((begin[at], end[at + k], np.full(len(at), k + 1), sentence[at], text[at]))
-    return Stream(codes, *(np.concatenate(x) for x in zip(*found, strict=True)))
+        found.append((begin[at], end[at + k], sentence[at], text[at]))
+    return Stream(codes, *(np.concatenate(x).astype(np.int32) for x in zip(*found, strict=True)))
 
 
 @functools.cache
@@ -244,8 +242,7 @@ def _kernel(units: list[bytes], landmarks: list[dict[int, float]]) -> np.ndarray
 
 
 def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """Weights of a linear machine under squared hinge loss, by Newton's method; the last one is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    """Weights of a linear machine under squared hinge loss, by Newton's method; the last column of x is the bias's."""
     w, reg = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     reg[-1, -1] = 1e-6
 
@@ -254,9 +251,15 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
 
     now = loss(w)
     for _ in range(50):
-        active = y * (x @ w) < 1
-        xa, wa = x[active], weight[active]
-        step, size = np.linalg.solve(reg + (xa * wa[:, None]).T @ xa, (xa * wa[:, None]).T @ y[active]) - w, 1.0
+        active = np.flatnonzero(y * (x @ w) < 1)
+        square, side = reg.copy(), np.zeros(len(w))
+        for at in range(0, len(active), 1000):  # a few rows at a time: no copy of the whole matrix
+            k = active[at : at + 1000]
+            rows = x[k].astype(np.float64)
+            weighted = rows * weight[k, None]
+            square += weighted.T @ rows
+            side += weighted.T @ y[k]
+        step, size = np.linalg.solve(square, side) - w, 1.0
         while size > 1e-4 and loss(w + size * step) > now:
             size /= 2
         w = w + size * step
@@ -266,25 +269,39 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
     return w
 
 
+def _mapped(units: list[bytes], maps: list[dict[int, float]], whiten: np.ndarray) -> np.ndarray:
+    """The units' coordinates under the Nyström map, and a column of ones; a few rows at a time."""
+    out = np.ones((len(units), len(maps) + 1), np.float32)
+    for at in range(0, len(units), 1000):
+        out[at : at + 1000, :-1] = _kernel(units[at : at + 1000], maps) @ whiten
+    return out
+
+
 class Bags:
     """The stretches of some texts, with hashes; texts are numbered as given."""
 
     def __init__(self, texts: list[str]):
-        self.streams: list[tuple[Stream, np.ndarray, np.ndarray]] = []  # with texts' numbers and stretches' hashes
+        self.streams: list[tuple[Stream, np.ndarray]] = []  # with the stretches' hashes
         self.size = len(texts)
         for at in range(0, len(texts), 50):
             s = stream([t.replace("\0", " ") for t in texts[at : at + 50]])
-            self.streams.append((s, s.texts + at, hashing.range_hashes(hashing.prefix_hashes(s.codes), s.starts, s.ends + 1)))
+            s = s._replace(texts=s.texts + np.int32(at))
+            self.streams.append((s, hashing.range_hashes(hashing.prefix_hashes(s.codes), s.starts, s.ends + 1)))
 
     def seen(self) -> tuple[np.ndarray, np.ndarray]:
         """(distinct hashes, number of texts with each)."""
-        each = [h[np.unique(np.stack([t.astype(np.uint64), h]), axis=1, return_index=True)[1]] for _, t, h in self.streams]
+        each = []
+        for s, h in self.streams:
+            order = np.lexsort((h, s.texts))
+            new = np.ones(len(h), bool)
+            new[1:] = (np.diff(s.texts[order]) != 0) | (h[order][1:] != h[order][:-1])
+            each.append(h[order][new])
         return np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def units(self, hashes: np.ndarray) -> dict[int, bytes]:
         """The stretches of the given hashes."""
         out: dict[int, bytes] = {}
-        for s, _, h in self.streams:
+        for s, h in self.streams:
             for k in np.flatnonzero(np.isin(h, hashes)):
                 out.setdefault(int(h[k]), s.unit(k))
         return out
@@ -292,7 +309,7 @@ class Bags:
     def strongest(self, table: np.ndarray, limit: int) -> list[tuple[int, bytes, float]]:
         """(hash, stretch, value) of the strongest stretches of all sentences, the strongest first, each once."""
         found: dict[int, tuple[float, bytes]] = {}
-        for s, _, h in self.streams:
+        for s, h in self.streams:
             v = values(s, table)
             order = np.lexsort((-v, s.sentences))
             first = order[np.flatnonzero(np.diff(s.sentences[order], prepend=-1))]
@@ -304,11 +321,19 @@ class Bags:
     def tops(self, table: np.ndarray) -> np.ndarray:
         """The value of each text's strongest stretch; -inf if it has none."""
         out = np.full(self.size, -np.inf)
-        for s, t, _ in self.streams:
-            np.maximum.at(out, t, values(s, table))
+        for s, _ in self.streams:
+            np.maximum.at(out, s.texts, values(s, table))
         return out
 
 
+def _counts(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The counts of hashes by a sorted table of them; 0 for those that it lacks."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64)
+    place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[place] == hashes, counts[place], 0)
+
+
 def _ratio(p: np.ndarray, q: np.ndarray, np_: int, nq: int) -> np.ndarray:
     """Log-likelihood ratios of presence in p of np_ toxic and q of nq clean texts; 0 where it leans to clean ones."""
 
@@ -338,10 +363,7 @@ class Machine:
             return cls.constant()
         hashes, p = toxic.seen()
         own, n_own = clean.seen()
-        q = np.zeros(len(p), np.int64)
-        place = np.minimum(np.searchsorted(own, hashes), max(0, len(own) - 1))
-        if len(own):
-            q = np.where(own[place] == hashes, n_own[place], 0)
+        q = _counts(hashes, own, n_own)
         lean = _ratio(p, q, toxic.size, clean.size)
         lean_of = dict(zip(hashes[lean > 2].tolist(), lean[lean > 2].tolist(), strict=True))
         named = toxic.units(hashes[lean > 2])
@@ -359,23 +381,26 @@ class Machine:
             for c, v in m.items():
                 near[c] = max(near[c], v)
         # clean landmarks: the commonest stretches, and those that look most like toxic ones
-        clean_of = dict(zip(own.tolist(), n_own.tolist(), strict=True)) if len(own) < 4_000_000 else {}
+        in_clean = lambda keys: np.maximum(1, _counts(np.array(list(keys), np.uint64), own, n_own))
         ranked_clean = [x for x in clean.strongest(near, HARD_NEGATIVES) if x[0] not in lean_of]
         hard = {h: u for h, u, _ in ranked_clean}
         common = clean.units(own[np.argsort(-n_own, kind="stable")[:BACKGROUND]])
-        alike = [u for h, u, v in sorted(ranked_clean, key=lambda x: (-x[2] * math.log1p(clean_of.get(x[0], 1)), x[1]))]
+        likeness = np.array([v for _, _, v in ranked_clean]) * np.log1p(in_clean(hard))
+        alike = [u for _, u in sorted(zip(-likeness, hard.values(), strict=True))]
         rest = list(dict.fromkeys([*common.values(), *alike]))
         marks += [u for u in rest if u not in set(marks)][: LANDMARKS - toxic_marks]
         maps = _map(marks)
         eigen, vectors = np.linalg.eigh(_kernel(marks, maps))
         whiten = (vectors / np.sqrt(np.maximum(eigen, 0.05))) @ vectors.T
         table: np.ndarray | None = None
+        mapped = np.zeros((0, len(maps) + 1), np.float32)  # of the hard negatives, which only grow
         for _ in range(ROUNDS):
             witness, shown_as = toxic_witnesses(toxic, lean_of, near if table is None else table)
             shown, negative = sorted(witness), list(hard)
-            x = np.vstack([_kernel([hard[h] for h in negative], maps), _kernel([shown_as[h] for h in shown], maps)]) @ whiten
+            mapped = np.vstack([mapped, _mapped([hard[h] for h in negative[len(mapped) :]], maps, whiten)])
+            x = np.vstack([mapped, _mapped([shown_as[h] for h in shown], maps, whiten)])
             y = np.concatenate([-np.ones(len(negative)), np.ones(len(shown))])
-            count = np.array([clean_of.get(h, 1) for h in negative] + [witness[h] for h in shown], float)
+            count = np.concatenate([in_clean(negative), [witness[h] for h in shown]]).astype(float)
             w = _squared_hinge(x, y, np.where(y > 0, 2, 1) * np.sqrt(count))
             alpha, bias = whiten @ w[:-1], w[-1]
             table = np.zeros(_CODES, np.float32)
@@ -444,8 +469,8 @@ def toxic_witnesses(toxic: Bags, lean_of: dict[int, float], table: np.ndarray) -
     units: dict[int, bytes] = {}
     keys = np.array(sorted(lean_of), np.uint64)
     leans = np.array([lean_of[int(h)] for h in keys])
-    for s, t, h in toxic.streams:
-        v = values(s, table)
+    for s, h in toxic.streams:
+        v, t = values(s, table), s.texts
         at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
         lean = np.where(keys[at] == h, leans[at], 0.0)
         order = np.argsort(t, kind="stable")
