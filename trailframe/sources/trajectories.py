@@ -117,8 +117,8 @@ def read_tasks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_trajectories(df: DataFrame, path: str) -> None:
-    """JSON, a folder a task."""
-    df.write.partitionBy("task_id").json(path)
+    """JSON, a folder a task and, where rows have a rollout_id, in it a folder a rollout."""
+    df.write.partitionBy("task_id", *(["rollout_id"] if "rollout_id" in df.columns else [])).json(path)
 
 
 def write_metadata(df: DataFrame, path: str) -> None:
