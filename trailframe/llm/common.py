@@ -34,6 +34,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; drop_written removes what is put there."""
+    _made.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -106,3 +112,15 @@ def few(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def common_count(counts: DataFrame, bound: int) -> int:
+    """The least count such that no more than about `bound` rows have it or more, by eighths of powers of two."""
+    told = counts.groupBy(F.floor(F.log2(F.col("n")) * 8).alias("b")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least")).orderBy(F.desc("b")).collect()  # at most 8 * 64 rows
+    least, total = 1 << 62, 0
+    for r in told:
+        total += r["rows"]
+        if total > bound:
+            break
+        least = r["least"]
+    return least

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trailframe.llm import decontaminate, html_text, jaccard, language, line_dedup, mixing, quality_net, quality_rules, tokens, toxicity
+from trailframe.llm import alignment, collocations, decontaminate, html_text, jaccard, language, line_dedup, mixing, quality_net, quality_rules, tokens, toxicity, warc
 from trailframe.llm.common import table
 
 
@@ -60,6 +60,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers' tokens of `documents`: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    return alignment.aligned_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of `documents`, the best 2,000 of each language: lang, rank, phrase, a, l, r, n, score."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of `pages` hold, read by their index: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -71,7 +86,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_ids": op9_token_ids,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
+    "op12_collocations": op12_collocations,
+    "op13_warc": op13_warc,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL, "op13_warc": warc.ORACLE_SQL}
