@@ -35,7 +35,7 @@ from trailframe.llm.common import common_count, few, written
 #: Fixed by the query contract: occurrences of a candidate, words of a phrase, hundredths of a phrase's occurrences that a longer one needs, rows of a language.
 LEAST, DEPTH, COVERED, TOP = 30, 4, 80, 2000
 #: Bytes of text of a shard, and of all texts that a task holds; counts that are broadcast; bits of the largest bitmap.
-SHARD, HELD, BROADCAST, MOST_BITS = 16 << 20, 48 << 20, 200_000, 1 << 29
+SHARD, HELD, BROADCAST, MOST_BITS = 6 << 20, 18 << 20, 200_000, 1 << 29
 _BREAK = "."
 _SEEDS: dict[str, int] = {}
 
