@@ -14,8 +14,9 @@ string. Every row is a document, also where rows are equal, share an id, or have
 rows; further columns are left out.
 
 Texts are tokenized by units where both vocabularies allow it (probes tell when they are loaded): a unit is a space and
-what follows up to the next one, and as no token crosses its ends, its tokens are the same wherever it stands. A process
-remembers units. Texts with two spaces in a row or one at an end are tokenized whole.
+what follows up to the next one. As no token crosses its ends, its tokens, groups and links are the same wherever it stands, so
+the units of a few MB of texts are aligned once each and texts are put together of them. A text with two spaces in a row or one at an
+end is one unit, as every text is with other vocabularies.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from trailframe.llm.common import common_count, few, written
 from trailframe.llm.tokens import _ranges
 
 #: Bytes of text and rows that are tokenized at once; units a process remembers; pairs of ids that are broadcast.
-AT_ONCE, ROWS, REMEMBERED, BROADCAST = 2 << 20, 2_000, 300_000, 1_000_000
-#: Characters up to which a unit may be long to be remembered.
+AT_ONCE, ROWS, REMEMBERED, BROADCAST = 3 << 20, 5_000, 400_000, 1_000_000
+#: Bytes up to which a unit may be long to be remembered.
 UNIT = 200
 
 
@@ -138,43 +139,54 @@ class Aligner:
             found = [self.known[u] if at is None else at for u, at in zip(units, found, strict=True)]
         return np.array(found, np.int64)
 
-    def tokens(self, texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of each side (ids in turn, their ends within their text, number of ids of each text)."""
+    def units(self, texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+        """(of each side (ids, ends, number of ids) of the distinct units in turn, the texts' units in turn, number of units of each
+        text); texts without tokens have no units."""
         texts = pc.fill_null(texts, "")
-        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))).to_numpy(zero_copy_only=False)
-        odd |= np.full(len(texts), not self.by_unit) | pc.match_substring_regex(texts, f"[^ ]{{{UNIT}}}").to_numpy(zero_copy_only=False)
-        empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-        plain = pc.if_else(pa.array(odd), pa.scalar("", texts.type), texts)
-        split = pc.split_pattern(plain, " ")
+        whole = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))).to_numpy(zero_copy_only=False) | (not self.by_unit)
+        split = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts), " ")
         coded = split.flatten().dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
-        wrong = np.add.reduceat(np.append(~self.spells[places], False), bounds[:-1]) > 0 if len(texts) else np.zeros(0, bool)
-        whole = np.flatnonzero(odd & ~empty).tolist()
-        right, apart = self._encoded([texts[i].as_py() for i in whole]) if whole else (np.zeros(0, bool), [(np.zeros(0, np.int32), np.zeros(0, np.int64))] * 2)
-        out = []
-        for (pool, starts, lengths), (ids, counts), side in zip(self.pools, apart, self.sides, strict=True):
-            sizes = lengths[places]
-            flat = pool[_ranges(starts[places], sizes)]
-            ends = np.concatenate([[0], np.cumsum(sizes)])[bounds]
-            number = np.diff(ends)
-            dropped = wrong | empty | odd
-            parts, at = [flat[np.repeat(~dropped, number)]], np.concatenate([[0], np.cumsum(counts)])
-            number[dropped] = 0
-            if whole:
-                number[whole] = counts * right
-                order = np.concatenate([[0], np.cumsum(np.where(odd, 0, number))])
-                pieces, last = [], 0
-                for k, i in enumerate(whole):
-                    pieces += (parts[0][last : order[i]], ids[at[k] : at[k + 1]] if right[k] else ids[:0])
-                    last = order[i]
-                parts = [*pieces, parts[0][last:]]
-            flat = np.concatenate(parts)
-            byte_ends = np.cumsum(side.sizes[flat])
-            firsts = np.cumsum(number) - number
-            before = np.concatenate([[0], byte_ends])[firsts]
-            out.append((flat, (byte_ends - np.repeat(before, number)).astype(np.int32), number))
-        return out
+        numbers = coded.indices.to_numpy().astype(np.int64)
+        number = np.diff(np.asarray(split.offsets))
+        known = coded.dictionary
+        at = np.flatnonzero(whole)
+        if len(at):  # a whole text takes the place of the one empty unit that splitting has left there
+            numbers[(np.cumsum(number) - number)[at]] = len(known) + np.arange(len(at))
+            known = pa.concat_arrays([known, texts.take(pa.array(at))])
+        places, apart = self._found(known)
+        spells = self.spells[places] if apart is None else apart[0]
+        wrong = np.add.reduceat(~spells[numbers], np.cumsum(number) - number) > 0 if len(texts) else np.zeros(0, bool)
+        wrong |= pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        kept = np.repeat(~wrong, number)
+        number[wrong] = 0
+        sides = []
+        for k, side in enumerate(self.sides):
+            if apart is None:
+                pool, starts, lengths = self.pools[k]
+                sizes = lengths[places]
+                ids = pool[_ranges(starts[places], sizes)]
+            else:
+                ids, sizes = apart[1][k]
+            ends, firsts = np.cumsum(side.sizes[ids]), np.cumsum(sizes) - sizes
+            sides.append((ids, (ends - np.repeat(np.concatenate([[0], ends])[firsts], sizes)).astype(np.int32), sizes))
+        return sides, numbers[kept], number
+
+    def _found(self, units: pa.Array) -> tuple[np.ndarray | None, tuple | None]:
+        """The units' places in the pools; what is too long to remember is encoded apart, with all of these units."""
+        if not self.by_unit or pc.max(pc.binary_length(units)).as_py() is None or pc.max(pc.binary_length(units)).as_py() > UNIT:
+            long = pc.greater(pc.binary_length(units), UNIT).to_numpy(zero_copy_only=False) | (not self.by_unit)
+            short = self._places(units.filter(pa.array(~long)).to_pylist())
+            right, pools = self._encoded(units.filter(pa.array(long)).to_pylist())
+            spells = np.zeros(len(units), bool)
+            spells[~long], spells[long] = self.spells[short], right
+            joined = []
+            for (pool, starts, lengths), (ids, counts) in zip(self.pools, pools, strict=True):
+                first, size = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+                first[~long], size[~long] = starts[short], lengths[short]
+                first[long], size[long] = len(pool) + np.cumsum(counts) - counts, counts
+                joined.append((np.concatenate([pool, ids])[_ranges(first, size)], size))
+            return None, (spells, joined)
+        return self._places(units.to_pylist()), None
 
 
 _made: dict[tuple[str, str], Aligner] = {}
@@ -190,23 +202,28 @@ def aligner(paths: tuple[str, str]) -> Aligner:
     return _made[paths]
 
 
-TOKENS = "doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+_SIDES = "a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+PIECES = f"units array<struct<{_SIDES.replace(' array', ':array')}>>, docs array<struct<doc_id:long, n_a:long, n_b:long, units:array<int>>>"
 
 
 def tokenized(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """(doc_id, a, a_ends, b, b_ends): both sides' ids and the byte offsets at which their tokens end."""
+    """Pieces of up to AT_ONCE bytes of text, a row each: (units, docs); a unit is (a, a_ends, b, b_ends), both sides' ids and the byte
+    offsets at which their tokens end, a document (doc_id, n_a, n_b, units) the numbers of its tokens and its units in turn."""
     paths = paths or default_paths()
 
+    def lists(flat: np.ndarray, number: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32)), pa.array(flat, pa.int32()))
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in few(batch, 1, ROWS, AT_ONCE):
-                columns: list[pa.Array] = [rows.column(0)]
-                for ids, ends, number in aligner(paths).tokens(rows.column(1)):
-                    bounds = pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32))
-                    columns += [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int32())) for x in (ids, ends)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a", "a_ends", "b", "b_ends"])
+                sides, numbers, number = aligner(paths).units(rows.column(1))
+                units = pa.StructArray.from_arrays([lists(x, sizes) for ids, ends, sizes in sides for x in (ids, ends)], ["a", "a_ends", "b", "b_ends"])
+                before = [np.concatenate([[0], np.cumsum(sizes[numbers])])[np.concatenate([[0], np.cumsum(number)])] for _, _, sizes in sides]
+                docs = pa.StructArray.from_arrays([rows.column(0), *(pa.array(np.diff(x), pa.int64()) for x in before), lists(numbers, number)], ["doc_id", "n_a", "n_b", "units"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (units, docs)], ["units", "docs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKENS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 # -- groups and links, by higher-order functions ---------------------------------------------------------------------
@@ -228,7 +245,7 @@ def _index(key: Column) -> Column:
 
 
 def links(a: Column, b: Column, merged: Column, width: int) -> Column:
-    """An array of linked pairs of ids, each as a * width + b, sorted.
+    """An array of linked pairs of ids, each as a * width + b.
 
     At place k of the merge stands a token; of the other side k minus its own index have ended, so the next one of the
     other side overlaps it just before its end. Where both end at once, the pair is that of A's entry.
@@ -236,18 +253,25 @@ def links(a: Column, b: Column, merged: Column, width: int) -> Column:
 
     def pair(key: Column, k: Column) -> Column:
         i = _index(key)
-        second = key.bitwiseAND(F.lit(1 << 31)) != 0
-        twin = second & (F.shiftright(F.get(merged, F.greatest(k - 1, F.lit(0))), 31) == F.shiftright(key, 31) - 1)
-        linked = F.when(second, F.get(a, k - i).cast("long") * width + F.get(b, i)).otherwise(F.get(a, i).cast("long") * width + F.get(b, k - i))
-        return F.when(twin, F.lit(-1).cast("long")).otherwise(F.coalesce(linked, F.lit(-1).cast("long")))
+        first = F.coalesce(F.get(a, i).cast("long") * width + F.get(b, k - i), F.lit(-1).cast("long"))
+        second = F.coalesce(F.get(a, k - i).cast("long") * width + F.get(b, i), F.lit(-1).cast("long"))
+        return F.when(~_of_b(key), first).when(_ends_alike(merged, key, k), F.lit(-1).cast("long")).otherwise(second)
+
+    return F.array_remove(F.transform(merged, pair), F.lit(-1).cast("long"))
+
+
+def _of_b(key: Column) -> Column:
+    return key.bitwiseAND(F.lit(1 << 31)) != 0
 
-    return F.sort_array(F.array_remove(F.transform(merged, pair), F.lit(-1).cast("long")))
+
+def _ends_alike(merged: Column, key: Column, k: Column) -> Column:
+    """Whether the entry of B at place k follows one of A with the same end."""
+    return F.shiftright(F.get(merged, F.greatest(k - 1, F.lit(0))), 31) == F.shiftright(key, 31) - 1
 
 
 def group_text(a: Column, b: Column, merged: Column) -> Column:
     """`a1,a2|b1;a3|b2,b3`: the groups' ids. Groups end where an entry of either side has the same end."""
-    same = lambda key, k: (key.bitwiseAND(F.lit(1 << 31)) != 0) & (F.shiftright(F.get(merged, F.greatest(k - 1, F.lit(0))), 31) == F.shiftright(key, 31) - 1)
-    places = F.filter(F.sequence(F.lit(0), F.size(merged) - 1), lambda k: same(F.get(merged, k), k))
+    places = F.filter(F.sequence(F.lit(0), F.size(merged) - 1), lambda k: _of_b(F.get(merged, k)) & _ends_alike(merged, F.get(merged, k), k))
 
     def spelled(at: Column) -> Column:
         """With the places of the cuts: the indices of both sides' last tokens of each group."""
@@ -264,18 +288,27 @@ def group_text(a: Column, b: Column, merged: Column) -> Column:
     return F.when(F.size(merged) > 0, _let(places, spelled)).otherwise(F.lit(""))
 
 
-def aligned(tokens: DataFrame, width: int) -> DataFrame:
-    """(row, doc_id, n_a, n_b, n_groups, n_links, links, groups_sha256) of tokenized texts; row numbers them."""
-    cuts = F.array_intersect("a_ends", "b_ends")
+def aligned_unit(unit: Column, width: int) -> Column:
+    """struct(links, groups, n_groups) of a unit. Where all ends of both sides meet, tokens pair off one by one."""
+    a, b, a_ends, b_ends = (unit[c] for c in ("a", "b", "a_ends", "b_ends"))
+    made = lambda linked, groups, n: F.struct(linked.alias("links"), groups.alias("groups"), n.alias("n_groups"))
+    one = F.transform(a, lambda x, i: F.coalesce(x.cast("long") * width + F.get(b, i), F.lit(-1).cast("long")))
+    pairs = F.array_join(F.transform(a, lambda x, i: F.concat(x.cast("string"), F.lit("|"), F.get(b, i).cast("string"))), ";")
+    cut = lambda cuts, merged: made(links(a, b, merged, width), group_text(a, b, merged), F.size(cuts))
+    merge = _let(merged_ends(a_ends, b_ends), lambda m: cut(F.array_intersect(a_ends, b_ends), m))
+    return F.when(a_ends == b_ends, made(one, pairs, F.size(a))).otherwise(merge)
+
+
+def aligned(pieces: DataFrame, width: int) -> DataFrame:
+    """(row, doc_id, n_a, n_b, n_groups, n_links, links, groups_sha256) of the documents of tokenized pieces; row numbers them."""
 
-    def made(merged: Column) -> Column:
-        return F.struct(links(F.col("a"), F.col("b"), merged, width).alias("links"), group_text(F.col("a"), F.col("b"), merged).alias("groups"))
+    def document(d: Column, units: Column) -> Column:
+        mine = F.transform(d["units"], lambda u: F.get(units, u))
+        whole = lambda m: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.aggregate(m, F.lit(0).cast("long"), lambda n, u: n + u["n_groups"]).alias("n_groups"), F.sort_array(F.flatten(F.transform(m, lambda u: u["links"]))).alias("links"), F.when(F.size(m) > 0, F.sha2(F.array_join(F.transform(m, lambda u: u["groups"]), ";"), 256)).otherwise(F.lit("")).alias("groups_sha256"))
+        return _let(mine, whole)
 
-    told = tokens.withColumn("n_groups", F.size(cuts).cast("long")).withColumn("_made", _let(merged_ends(F.col("a_ends"), F.col("b_ends")), made))
-    return told.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.size("a").cast("long").alias("n_a"), F.size("b").cast("long").alias("n_b"), "n_groups", F.size("_made.links").cast("long").alias("n_links"), F.col("_made.links").alias("links"),
-        F.when(F.size("a") > 0, F.sha2("_made.groups", 256)).otherwise(F.lit("")).alias("groups_sha256"),
-    )
+    told = pieces.select(F.explode(_let(F.transform("units", lambda u: aligned_unit(u, width)), lambda units: F.transform("docs", lambda d: document(d, units)))).alias("d"))
+    return told.select(F.monotonically_increasing_id().alias("row"), "d.doc_id", "d.n_a", "d.n_b", "d.n_groups", F.size("d.links").cast("long").alias("n_links"), "d.links", "d.groups_sha256")
 
 
 # -- counts --------------------------------------------------------------------------------------------------------
