@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from trailframe.functions.text import strip
 from trailframe.functions.url import alternatives
+from trailframe.functions.words import word_tokens
 
 #: What a number and a labelled pair of coordinates look like.
 _NUMBER = r"[-+]?(?:\d+(?:\.\d*)?|\.\d+)"
@@ -28,9 +29,9 @@ def exact_match(reference: Column, predicted: Column) -> Column:
 
 
 def must_include(reference: Column, predicted: Column, tokenize: bool = False) -> Column:
-    """An alternative is part of the answer; with `tokenize`, a one-character one must be a word of it."""
+    """An alternative is part of the answer; with `tokenize`, a one-character one must be one of its words."""
     pred = clean_answer(predicted)
-    words = F.split(pred, r"[^\w]+")
+    words = word_tokens(pred)
 
     def one(r: Column) -> Column:
         ref = clean_answer(r)

@@ -157,3 +157,27 @@ def stopped_at(steps: DataFrame, most_errors: int = 2, memory: str | None = None
     marked = steps.withColumn("_end", F.coalesce(ends, F.lit(False)))
     before = F.sum(F.col("_end").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return marked.withColumn("_before", F.coalesce(before, F.lit(0))).where("_before = 0").drop("_end", "_before")
+
+
+def rollout_errors(samples: DataFrame, expected: int) -> DataFrame:
+    """(rollout, error) of rollout groups that cannot be stamped: an empty episode; an episode whose terminal sample is of another group
+    than the first one's, or has an index that an earlier one has (the first such episode tells); a wrong number of episodes.
+
+    `samples` has rollout, episode, sample, group_index and index; an episode without samples is a row with a null sample.
+    """
+    last = F.max_by(F.struct("group_index", "index"), "sample")
+    episodes = samples.groupBy("rollout", "episode").agg(F.count("sample").alias("n"), last.alias("last"))
+    groups = episodes.groupBy("rollout").agg(F.array_sort(F.collect_list(F.struct("episode", "n", "last"))).alias("e"))  # a group has a few episodes
+    first = F.get("e", F.lit(0))["last"]["group_index"]
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+
+    def wrong(x: Column, i: Column) -> Column:
+        mine, before = x["last"], F.slice("e", F.lit(1), i)
+        twice = F.exists(before, lambda y: y["last"]["index"].eqNullSafe(mine["index"]))
+        mixed = F.concat(F.lit("mixes group "), name(first), F.lit(" and "), name(mine["group_index"]))
+        return F.when(~mine["group_index"].eqNullSafe(first), mixed).when(twice, F.concat(F.lit("duplicate index "), name(mine["index"]), F.lit(" in group "), name(mine["group_index"])))
+
+    found = F.get(F.filter(F.transform("e", wrong), lambda x: x.isNotNull()), F.lit(0))
+    number = F.when(F.size("e") != expected, F.concat(F.lit(f"expected {expected} episodes in group "), name(first), F.lit(" got "), F.size("e").cast("string")))
+    error = F.when(F.exists("e", lambda x: x["n"] == 0), F.lit("empty episode")).otherwise(F.coalesce(found, number))
+    return groups.select("rollout", error.alias("error")).where("error IS NOT NULL")

@@ -527,4 +527,4 @@ def port_assignment(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.array_join(found.cast("array<string>"), ",").alias("ports"))
 
 
-from trailframe.plans import scoring, tables, training  # noqa: E402, F401  they register their queries here
+from trailframe.plans import scoring, tables, tasks, training  # noqa: E402, F401  they register their queries here

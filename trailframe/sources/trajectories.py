@@ -22,7 +22,7 @@ def _struct(fields: str) -> str:
 STEP = f"struct<type:string,step_num:int,observation:{_struct(OBSERVATION)},response:{_struct(RESPONSE)},memory:string>"
 TRAJECTORY = f"type string, goal string, calculator_url string, site_urls map<string,string>, reward double, terminated boolean, truncated boolean, steps array<{STEP}>"
 CRAWL = "`__key__` string, json struct<traj_data:struct<traj_num:bigint,goal:string,success:boolean,reward:double>,step_data:struct<obs:struct<axtree_txt:string,last_action_error:string>,thought:string,parsed_action:string>,graph_data:struct<domain:string>>"
-TASK = "task_id long, intent string, sites array<string>, start_url string, eval struct<eval_types:array<string>,reference_answers:map<string,string>,reference_url:string,url_note:string,program_html:array<struct<url:string,locator:string>>,string_note:string,coordinate_tolerance:double>"
+TASK = "task_id long, intent string, sites array<string>, start_url string, eval string"
 
 
 def _stem(df: DataFrame, name: str) -> DataFrame:
@@ -111,9 +111,9 @@ def sampling_params(params: Column) -> Column:
     return F.map_filter(renamed, lambda k, v: ~k.isin("model", "messages") & v.isNotNull())
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of task configurations."""
-    return spark.read.schema(TASK).option("multiLine", True).json(path)
+def read_tasks(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A JSON array of task configurations, or one a file or line; eval is its JSON text, as its values are texts, lists or objects."""
+    return spark.read.schema(TASK).option("multiLine", multi_line).json(path)
 
 
 def write_trajectories(df: DataFrame, path: str) -> None:
