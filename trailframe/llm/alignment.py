@@ -34,9 +34,11 @@ from trailframe.llm.common import common_count, few, written
 from trailframe.llm.tokens import _ranges
 
 #: Bytes of text and rows that are tokenized at once; units a process remembers; pairs of ids that are broadcast.
-AT_ONCE, ROWS, REMEMBERED, BROADCAST = 3 << 20, 5_000, 400_000, 1_000_000
+AT_ONCE, ROWS, REMEMBERED, BROADCAST = 8 << 20, 20_000, 400_000, 1_000_000
 #: Bytes up to which a unit may be long to be remembered.
 UNIT = 200
+#: Tokens, of both sides, of a short unit.
+SHORT = 64
 
 
 def default_paths() -> tuple[str, str]:
@@ -269,46 +271,53 @@ def _ends_alike(merged: Column, key: Column, k: Column) -> Column:
     return F.shiftright(F.get(merged, F.greatest(k - 1, F.lit(0))), 31) == F.shiftright(key, 31) - 1
 
 
-def group_text(a: Column, b: Column, merged: Column) -> Column:
-    """`a1,a2|b1;a3|b2,b3`: the groups' ids. Groups end where an entry of either side has the same end."""
-    places = F.filter(F.sequence(F.lit(0), F.size(merged) - 1), lambda k: _of_b(F.get(merged, k)) & _ends_alike(merged, F.get(merged, k), k))
+def group_text(a: Column, b: Column, merged: Column, cuts: Column, a_ends: Column, b_ends: Column) -> Column:
+    """`a1,a2|b1;a3|b2,b3`: the groups' ids. Groups end at `cuts`, where an end of either side is the same.
 
-    def spelled(at: Column) -> Column:
-        """With the places of the cuts: the indices of both sides' last tokens of each group."""
+    A short unit's cuts are sought among its ends; a long one's are found in the merge, in linear time.
+    """
+    near = F.transform(cuts, lambda e: F.struct(F.array_position(a_ends, e).cast("int").alias("a"), F.array_position(b_ends, e).cast("int").alias("b")))
+    twins = F.filter(F.sequence(F.lit(1), F.size(merged) - 1), lambda k: _of_b(F.get(merged, k)) & _ends_alike(merged, F.get(merged, k), k))
+    far = F.transform(twins, lambda k: F.struct((_index(F.get(merged, k - 1)) + 1).alias("a"), (_index(F.get(merged, k)) + 1).alias("b")))
+
+    def spelled(last: Column) -> Column:
+        """With the numbers of both sides' tokens up to the end of each group."""
 
-        def group(k: Column, c: Column) -> Column:
-            before = F.get(at, F.greatest(c - 1, F.lit(0)))
-            last_a, last_b = _index(F.get(merged, k - 1)), _index(F.get(merged, k))
-            first_a, first_b = (F.when(c == 0, F.lit(0)).otherwise(_index(F.get(merged, x)) + 1) for x in (before - 1, before))
-            ids = lambda side, x, y: F.array_join(F.slice(side, x + 1, y - x + 1).cast("array<string>"), ",")
-            return F.concat(ids(a, first_a, last_a), F.lit("|"), ids(b, first_b, last_b))
+        def group(x: Column, c: Column) -> Column:
+            before = F.get(last, F.greatest(c - 1, F.lit(0)))
+            first = lambda side: F.when(c == 0, F.lit(0)).otherwise(before[side])
+            ids = lambda held, side: F.array_join(F.slice(held, first(side) + 1, x[side] - first(side)).cast("array<string>"), ",")
+            return F.concat_ws("|", ids(a, "a"), ids(b, "b"))
 
-        return F.array_join(F.transform(at, group), ";")
+        return F.array_join(F.transform(last, group), ";")
 
-    return F.when(F.size(merged) > 0, _let(places, spelled)).otherwise(F.lit(""))
+    return F.when(F.size(merged) > 0, _let(F.when(F.size(merged) < SHORT, near).otherwise(far), spelled)).otherwise(F.lit(""))
 
 
 def aligned_unit(unit: Column, width: int) -> Column:
-    """struct(links, groups, n_groups) of a unit. Where all ends of both sides meet, tokens pair off one by one."""
+    """struct(links, groups) of a unit. Where all ends of both sides meet, tokens pair off one by one."""
     a, b, a_ends, b_ends = (unit[c] for c in ("a", "b", "a_ends", "b_ends"))
-    made = lambda linked, groups, n: F.struct(linked.alias("links"), groups.alias("groups"), n.alias("n_groups"))
+    made = lambda linked, groups: F.struct(linked.alias("links"), groups.alias("groups"))
     one = F.transform(a, lambda x, i: F.coalesce(x.cast("long") * width + F.get(b, i), F.lit(-1).cast("long")))
-    pairs = F.array_join(F.transform(a, lambda x, i: F.concat(x.cast("string"), F.lit("|"), F.get(b, i).cast("string"))), ";")
-    cut = lambda cuts, merged: made(links(a, b, merged, width), group_text(a, b, merged), F.size(cuts))
-    merge = _let(merged_ends(a_ends, b_ends), lambda m: cut(F.array_intersect(a_ends, b_ends), m))
-    return F.when(a_ends == b_ends, made(one, pairs, F.size(a))).otherwise(merge)
+    pairs = F.array_join(F.transform(a, lambda x, i: F.concat_ws("|", x.cast("string"), F.get(b, i).cast("string"))), ";")
+    merge = _let(merged_ends(a_ends, b_ends), lambda m: made(links(a, b, m, width), group_text(a, b, m, F.array_intersect(a_ends, b_ends), a_ends, b_ends)))
+    return F.when(a_ends == b_ends, made(one, pairs)).otherwise(merge)
 
 
 def aligned(pieces: DataFrame, width: int) -> DataFrame:
-    """(row, doc_id, n_a, n_b, n_groups, n_links, links, groups_sha256) of the documents of tokenized pieces; row numbers them."""
+    """(row, doc_id, n_a, n_b, n_groups, n_links, links, groups_sha256) of the documents of tokenized pieces; row numbers them.
+
+    Each end of either side closes one link, and an end of both sides a group as well, which gives the number of groups.
+    """
 
     def document(d: Column, units: Column) -> Column:
-        mine = F.transform(d["units"], lambda u: F.get(units, u))
-        whole = lambda m: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.aggregate(m, F.lit(0).cast("long"), lambda n, u: n + u["n_groups"]).alias("n_groups"), F.sort_array(F.flatten(F.transform(m, lambda u: u["links"]))).alias("links"), F.when(F.size(m) > 0, F.sha2(F.array_join(F.transform(m, lambda u: u["groups"]), ";"), 256)).otherwise(F.lit("")).alias("groups_sha256"))
-        return _let(mine, whole)
+        of = lambda c: F.transform(d["units"], lambda u: F.get(units, u)[c])
+        return F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.flatten(of("links")).alias("links"), F.array_join(of("groups"), ";").alias("groups"))
 
     told = pieces.select(F.explode(_let(F.transform("units", lambda u: aligned_unit(u, width)), lambda units: F.transform("docs", lambda d: document(d, units)))).alias("d"))
-    return told.select(F.monotonically_increasing_id().alias("row"), "d.doc_id", "d.n_a", "d.n_b", "d.n_groups", F.size("d.links").cast("long").alias("n_links"), "d.links", "d.groups_sha256")
+    n = F.size("d.links").cast("long")
+    sha = F.when(F.col("d.n_a") > 0, F.sha2("d.groups", 256)).otherwise(F.lit(""))
+    return told.select(F.monotonically_increasing_id().alias("row"), "d.doc_id", "d.n_a", "d.n_b", (F.col("d.n_a") + F.col("d.n_b") - n).alias("n_groups"), n.alias("n_links"), "d.links", sha.alias("groups_sha256"))
 
 
 # -- counts --------------------------------------------------------------------------------------------------------
