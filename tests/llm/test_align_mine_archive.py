@@ -272,3 +272,38 @@ def test_damaged_record_is_an_error():
     assert warc.parse(raw)["payload"] == b"payload"
     with pytest.raises(ValueError, match="not what its head says"):
         warc.parse(raw.replace(b"payload", b"paylord"))
+
+
+# -- bounds of fitting samples, broken markup
+
+
+def test_labelled_sample_is_bounded_in_rows(spark):
+    """Ids that are repeated, and rows without ids, take no one else's place; long texts keep their class."""
+    from trailframe.llm import common
+
+    docs = [(None, f"none {n}") for n in range(2000)] + [(7, f"seven {n % 3}") for n in range(3000)] + [(n, f"text {n}") for n in range(20, 120)] + [(n, f"long {n} " * 50) for n in range(200, 230)]
+    labels = [(7, 0)] * 500 + [(None, 1)] * 50 + [(n, 0) for n in range(20, 120)] + [(n, 1) for n in range(200, 230)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got, _ = common.labelled_sample(d, spark.createDataFrame(labels, "doc_id long, quality int"), "quality", 40, 100)
+    zeros, ones = ([t for t, y in got if y == v] for v in (0, 1))
+    assert len(zeros) == len(set(zeros)) == 40 and not any(t.startswith("none") for t in zeros)
+    assert 15 <= len(ones) <= 30 and all(len(t) == 100 for t in ones)
+
+
+def test_one_class_gives_its_share():
+    from trailframe.llm import quality_net
+
+    assert quality_net.Net.fit([("a", 0)] * 98).constant == 1 / 100 and quality_net.Net.fit([("a", 1)] * 98).constant == 99 / 100 and quality_net.Net.fit([]).constant == 0.5
+
+
+@pytest.mark.parametrize("mark", ["<!", "<![CDATA[", "<?"])
+def test_unclosed_markup_is_linear(mark):
+    import time
+
+    from trailframe.llm import html_text
+
+    began, page = time.time(), mark * (1_000_000 // len(mark))
+    at, n = 0, 0
+    while m := html_text._TOKEN.search(page, at):
+        at, n = m.end(), n + 1
+    assert time.time() - began < 2 and n <= 1

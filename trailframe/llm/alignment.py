@@ -34,13 +34,18 @@ from trailframe.llm.common import common_count, few, written
 from trailframe.llm.tokens import _ranges
 
 #: Bytes of text and rows that are tokenized at once; units a process remembers; pairs of ids that are broadcast.
-AT_ONCE, ROWS, REMEMBERED, BROADCAST = 8 << 20, 20_000, 400_000, 1_000_000
+AT_ONCE, ROWS, REMEMBERED, BROADCAST = 3 << 20, 10_000, 600_000, 1_000_000
 #: Bytes up to which a unit may be long to be remembered.
 UNIT = 200
 #: Tokens, of both sides, of a short unit.
 SHORT = 64
 
 
+#: Fixed value: how a byte-level pre-tokenizer splits texts.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PROBES = (" The quick brown fox's 12,345 don't", " \u00c9t\u00e9 na\u00efve \u00df\u0142", " a\n\n b \t\tc  d   ", " x_y-z...!?", " \x00\x7f\x85\xa0\xad", "")
+
+
 def default_paths() -> tuple[str, str]:
     """The public vocabulary files of the query contract."""
     import public_tokenizers
@@ -70,9 +75,29 @@ class ByteLevel:
         self.sizes = _sizes(self.spelled)
         pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"]
         self.by_unit = pre is not None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"]
+        self.ranked = self._ranked(alphabet) if self.by_unit else None
+
+    def _ranked(self, alphabet: dict[str, int]):
+        """The same vocabulary for `tiktoken`, which is faster, where its ids are in the order of its merges; probes are held against it."""
+        import tiktoken
+
+        added = set(self.tokenizer.get_added_tokens_decoder())
+        ranks = {s: i for i, s in self.spelled.items() if i not in added}
+        vocab, model = self.tokenizer.get_vocab(with_added_tokens=False), json.loads(self.tokenizer.to_str())["model"]
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if made != sorted(set(made)) or len(ranks) != len(made) + 256 or set(ranks.values()) != set(range(len(ranks))):
+            return None
+        ranked = tiktoken.Encoding("ranked", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+        plain = [e.ids for e in self.tokenizer.encode_batch_fast(list(_PROBES), add_special_tokens=False)]
+        return ranked if [ranked.encode_ordinary(p) for p in _PROBES] == plain else None
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        if self.ranked is None:
+            return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        # letters beyond Latin are left to the library of the file, whose classes of characters hold; so are long texts
+        latin = [len(t) <= 1000 and (t.isascii() or max(t) < "\u0250") for t in texts]
+        others = iter(self.tokenizer.encode_batch_fast([" " + t for t, x in zip(texts, latin, strict=True) if not x], add_special_tokens=False))
+        return [self.ranked.encode_ordinary(" " + t) if x else next(others).ids for t, x in zip(texts, latin, strict=True)]
 
 
 class Pieces:
@@ -121,7 +146,7 @@ class Aligner:
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """(whether both sides spell a space and the text, (ids in turn, number of ids) of each side)."""
         each = [s.ids(texts) for s in self.sides]
-        right = [all(b"".join(map(s.spelled.__getitem__, ids)) == raw for s, ids in zip(self.sides, both, strict=True)) for raw, *both in zip((b" " + t.encode() for t in texts), *each, strict=True)]
+        right = [a == raw == b for raw, a, b in zip((b" " + t.encode() for t in texts), *([b"".join([s.spelled[i] for i in ids]) for ids in e] for s, e in zip(self.sides, each, strict=True)), strict=True)]
         return np.array(right, bool), [_pool(e) for e in each]
 
     def _places(self, units: list[str]) -> np.ndarray:
@@ -204,25 +229,26 @@ def aligner(paths: tuple[str, str]) -> Aligner:
     return _made[paths]
 
 
-_SIDES = "a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+_SIDES = "a array<int>, a_ends array<int>, a_keys array<long>, b array<int>, b_ends array<int>, b_keys array<long>"
 PIECES = f"units array<struct<{_SIDES.replace(' array', ':array')}>>, docs array<struct<doc_id:long, n_a:long, n_b:long, units:array<int>>>"
 
 
 def tokenized(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """Pieces of up to AT_ONCE bytes of text, a row each: (units, docs); a unit is (a, a_ends, b, b_ends), both sides' ids and the byte
-    offsets at which their tokens end, a document (doc_id, n_a, n_b, units) the numbers of its tokens and its units in turn."""
+    """Pieces of up to AT_ONCE bytes of text, a row each: (units, docs); a unit is (a, a_ends, a_keys, b, b_ends, b_keys), both sides' ids, the byte
+    offsets at which their tokens end, and these with the side and the token's index in lower bits; a document (doc_id, n_a, n_b, units) the numbers of its tokens and its units in turn."""
     paths = paths or default_paths()
 
     def lists(flat: np.ndarray, number: np.ndarray) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32)), pa.array(flat, pa.int32()))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(number)]).astype(np.int32)), pa.array(flat))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in few(batch, 1, ROWS, AT_ONCE):
                 sides, numbers, number = aligner(paths).units(rows.column(1))
-                units = pa.StructArray.from_arrays([lists(x, sizes) for ids, ends, sizes in sides for x in (ids, ends)], ["a", "a_ends", "b", "b_ends"])
+                keys = [(ends.astype(np.int64) << 32) | (side << 31) | _ranges(np.zeros(len(sizes), np.int64), sizes) for side, (_, ends, sizes) in enumerate(sides)]
+                units = pa.StructArray.from_arrays([lists(x, sizes) for (ids, ends, sizes), k in zip(sides, keys, strict=True) for x in (ids, ends, k)], ["a", "a_ends", "a_keys", "b", "b_ends", "b_keys"])
                 before = [np.concatenate([[0], np.cumsum(sizes[numbers])])[np.concatenate([[0], np.cumsum(number)])] for _, _, sizes in sides]
-                docs = pa.StructArray.from_arrays([rows.column(0), *(pa.array(np.diff(x), pa.int64()) for x in before), lists(numbers, number)], ["doc_id", "n_a", "n_b", "units"])
+                docs = pa.StructArray.from_arrays([rows.column(0), *(pa.array(np.diff(x), pa.int64()) for x in before), lists(numbers.astype(np.int32), number)], ["doc_id", "n_a", "n_b", "units"])
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (units, docs)], ["units", "docs"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
@@ -236,12 +262,6 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def merged_ends(a_ends: Column, b_ends: Column) -> Column:
-    """Both sides' ends in order, as numbers of end, side (A first) and index: 32, 1 and 31 bits."""
-    keys = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(F.lit(side << 31)).bitwiseOR(i.cast("long")))
-    return F.sort_array(F.concat(keys(a_ends, 0), keys(b_ends, 1)))
-
-
 def _index(key: Column) -> Column:
     return key.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
@@ -300,7 +320,7 @@ def aligned_unit(unit: Column, width: int) -> Column:
     made = lambda linked, groups: F.struct(linked.alias("links"), groups.alias("groups"))
     one = F.transform(a, lambda x, i: F.coalesce(x.cast("long") * width + F.get(b, i), F.lit(-1).cast("long")))
     pairs = F.array_join(F.transform(a, lambda x, i: F.concat_ws("|", x.cast("string"), F.get(b, i).cast("string"))), ";")
-    merge = _let(merged_ends(a_ends, b_ends), lambda m: made(links(a, b, m, width), group_text(a, b, m, F.array_intersect(a_ends, b_ends), a_ends, b_ends)))
+    merge = _let(F.sort_array(F.concat(unit["a_keys"], unit["b_keys"])), lambda m: made(links(a, b, m, width), group_text(a, b, m, F.array_intersect(a_ends, b_ends), a_ends, b_ends)))
     return F.when(a_ends == b_ends, made(one, pairs)).otherwise(merge)
 
 

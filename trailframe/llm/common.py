@@ -80,13 +80,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """(up to `limit` labelled texts of each class, share of class 1 among all learnable labels), for fitting.
 
     Learnable are rows whose remainder modulo 5 is not 0. Of each class the ids of least hash are chosen from `labels`
-    in one pass (_SPARE times as many as wanted), and one pass over `docs` fetches their texts of up to `max_chars`
-    characters. An id with both labels counts as 1. Only (text, label) comes back: no id, language or source can
-    reach a model. Without labels, or without texts, the list is empty.
+    in one pass (_SPARE times as many as wanted, each once however often it is labelled), and one pass over `docs` fetches
+    a text for each, of several rows of one id that of least hash. Texts over `max_chars` characters are left out; a class that has
+    no other ones gives the first `max_chars` of each, so that it is not lost. An id with both labels counts as 1. Only (text, label)
+    comes back: no id, language or source can reach a model. Without labels, or without texts, the list is empty.
+    No more rows than chosen ids reach the driver.
     """
     seen = Observation()
     told = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & (remainder("_id", 5) != 0))
-    told = told.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_label").alias("ones")).withColumn("_hash", F.xxhash64("_id"))
+    told = told.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_label").alias("ones")).distinct().withColumn("_hash", F.xxhash64("_id"))
     place = F.row_number().over(Window.partitionBy("_label", F.pmod("_hash", F.lit(_BUCKETS))).orderBy("_hash", "_id"))
     ids: dict[int, int] = {}
     for r in told.withColumn("_place", place).where(F.col("_place") <= -(-limit * _SPARE // _BUCKETS)).collect():  # at most 2 * _SPARE * limit rows
@@ -96,9 +98,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
         return [], share
     wanted = docs.sparkSession.createDataFrame(sorted(ids.items()), "_id long, _label int")
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).where(F.col("_text").isNotNull())
-    found = texts.join(F.broadcast(wanted), "_id").where(F.length("_text") <= max_chars)
-    rows = sorted({(r["_hash"], r["_id"], r["_text"], r["_label"]) for r in found.select(F.xxhash64("_id").alias("_hash"), "*").collect()})
-    return [(r[2], value) for value in (0, 1) for r in [r for r in rows if r[3] == value][:limit]], share
+    found = texts.join(F.broadcast(wanted), "_id").groupBy("_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    rows = sorted((r["_long"], r["_hash"], r["_id"], r["_text"], r["_label"]) for r in found.select((F.length("_text") > max_chars).alias("_long"), F.xxhash64("_id").alias("_hash"), "_id", F.left("_text", F.lit(max_chars)).alias("_text"), "_label").collect())
+    short = {r[4] for r in rows if not r[0]}
+    return [(r[3], value) for value in (0, 1) for r in [r for r in rows if r[4] == value and r[0] == (value not in short)][:limit]], share
 
 
 def few(batch: pa.RecordBatch, column: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:

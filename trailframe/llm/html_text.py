@@ -60,7 +60,7 @@ BROADCAST_TEMPLATES = 200_000
 #: Pages that a Python worker reads at once, and their bytes.
 AT_ONCE, AT_ONCE_BYTES = 500, 4 << 20
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*)([^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>]*)([^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+))?""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noframes template".split())

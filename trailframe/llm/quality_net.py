@@ -141,7 +141,7 @@ class Net:
         net, n = cls(), len(rows)
         ones = sum(y for _, y in rows)
         if not ones or ones == n:
-            net.constant = 1.0 if ones else 0.5
+            net.constant = (ones + 1) / (n + 2)  # the smoothed share; a half without any label
             return net
         draw = np.random.default_rng(11)
         each = [np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8) for t, _ in rows]
