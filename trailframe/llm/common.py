@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed by the query contracts: a word is a run of characters other than ASCII white space.
@@ -80,20 +80,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
     """(up to `limit` labelled texts of each class, share of class 1 among all learnable labels), for fitting.
 
     Learnable are rows whose remainder modulo 5 is not 0. Of each class the ids of least hash are chosen from `labels`
-    in one pass (_SPARE times as many as wanted, each once however often it is labelled), and one pass over `docs` fetches
+    (_SPARE times as many as wanted, each once however often it is labelled), and one pass over `docs` fetches
     a text for each, of several rows of one id that of least hash. Texts over `max_chars` characters are left out; a class that has
     no other ones gives the first `max_chars` of each, so that it is not lost. An id with both labels counts as 1. Only (text, label)
     comes back: no id, language or source can reach a model. Without labels, or without texts, the list is empty.
     No more rows than chosen ids reach the driver.
     """
-    seen = Observation()
     told = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where(F.col("_label").isin(0, 1) & F.col("_id").isNotNull() & (remainder("_id", 5) != 0))
-    told = told.observe(seen, F.count(F.lit(1)).alias("n"), F.sum("_label").alias("ones")).distinct().withColumn("_hash", F.xxhash64("_id"))
+    share = told.agg(F.avg("_label")).first()[0]
+    told = told.distinct().withColumn("_hash", F.xxhash64("_id"))
     place = F.row_number().over(Window.partitionBy("_label", F.pmod("_hash", F.lit(_BUCKETS))).orderBy("_hash", "_id"))
     ids: dict[int, int] = {}
     for r in told.withColumn("_place", place).where(F.col("_place") <= -(-limit * _SPARE // _BUCKETS)).collect():  # at most 2 * _SPARE * limit rows
         ids[r["_id"]] = max(r["_label"], ids.get(r["_id"], 0))
-    share = seen.get["ones"] / seen.get["n"] if seen.get["n"] else None
     if not ids:
         return [], share
     wanted = docs.sparkSession.createDataFrame(sorted(ids.items()), "_id long, _label int")
