@@ -11,12 +11,15 @@ from trailframe.plans import views
 from trailframe.plans.catalog import query
 from trailframe.plans.views import SAMPLES, STEPS, TRAJECTORIES, lines, table
 from trailframe.sources import trajectories as sources
-from trailframe.streaming import sessions
+from trailframe.streaming import lifecycle, sessions
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder where driver and executors can write: beside the checkpoints, else beside the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder where driver and executors can write: beside the checkpoints or, on one machine's threads, the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    shared = shared or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -315,6 +318,64 @@ def admitted_sessions(spark, sf_dir):
     return sessions.admitted(rows, "pool", "event_id", 8).select("pool", "event_id", "admitted")
 
 
+_HALF_DAY = 43_200
+
+
+def _lifecycle_sql(late: int) -> str:
+    """Records that have ended `late` milliseconds before the newest event, one event after the other."""
+    return f"""WITH RECURSIVE named AS (
+  SELECT user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS k,
+    list_extract(['init', 'step', 'step', 'step', 'end', 'fail', 'close', 'init', 'odd'], 1 + (event_id % 9)::INT) AS name
+  FROM events
+), run AS (
+  SELECT DISTINCT user_id, 0::BIGINT AS k, 0 AS nr, NULL::BIGINT AS started, NULL::BIGINT AS last, '' AS state, 0 AS steps, 0 AS refused FROM events
+  UNION ALL
+  SELECT user_id, k, nr, started, CASE WHEN no THEN coalesce(last, t) ELSE t END,
+    CASE WHEN no THEN state WHEN name = 'init' THEN 'ready' WHEN name = 'step' THEN 'running' WHEN name = 'end' THEN 'terminated' WHEN name = 'fail' THEN 'failed' ELSE 'closed' END,
+    steps + CASE WHEN name = 'step' AND NOT no THEN 1 ELSE 0 END, refused + no::INT
+  FROM (
+    SELECT *, CASE name WHEN 'odd' THEN true WHEN 'close' THEN false WHEN 'init' THEN state <> '' ELSE state IN ('', 'failed', 'closed') END AS no
+    FROM (
+      SELECT n.user_id, n.k, n.t, n.name, r.nr + fresh::INT AS nr, CASE WHEN fresh THEN n.t ELSE r.started END AS started, CASE WHEN NOT fresh THEN r.last END AS last,
+        CASE WHEN fresh THEN '' ELSE r.state END AS state, CASE WHEN fresh THEN 0 ELSE r.steps END AS steps, CASE WHEN fresh THEN 0 ELSE r.refused END AS refused
+      FROM (SELECT r.*, m.t AS seen, coalesce(m.t - r.last > {_HALF_DAY * 1000}, true) AS fresh FROM run r JOIN named m ON m.user_id = r.user_id AND m.k = r.k + 1) r
+      JOIN named n ON n.user_id = r.user_id AND n.k = r.k + 1
+    )
+  )
+), ended AS (SELECT user_id, nr, max(started) AS started_ms, arg_max(last, k) AS last_ms, arg_max(state, k) AS state, max(steps) AS steps, max(refused) AS refused FROM run WHERE nr > 0 GROUP BY ALL)
+SELECT user_id, started_ms, last_ms, state, steps, refused, CASE WHEN state = 'closed' THEN 'closed' ELSE 'expired' END AS ending
+FROM ended WHERE last_ms + {_HALF_DAY * 1000} < (SELECT max(epoch_us(ts) // 1000) FROM events) - {late}"""
+
+
+def _named_events(events):
+    names = F.array(*map(F.lit, ("init", "step", "step", "step", "end", "fail", "close", "init", "odd")))
+    return events.select("user_id", "event_id", "ts", F.get(names, (F.col("event_id") % 9).cast("int")).alias("event"))
+
+
+def _in_millis(records):
+    return records.select("user_id", F.unix_millis("started").alias("started_ms"), F.unix_millis("last").alias("last_ms"), "state", "steps", "refused", "ending")
+
+
+@query(_lifecycle_sql(0))
+def idle_sessions(spark, sf_dir):
+    """Records of session machines that end after half a day without an accepted event."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0]
+    return _in_millis(lifecycle.lifecycles(_named_events(events), now or 0, "user_id", idle=_HALF_DAY))
+
+
+@query(_lifecycle_sql(3_600_000))
+def idle_session_stream(spark, sf_dir):
+    """The same records from a stream over the files of `events`, whose watermark is an hour behind the newest event."""
+    where = f"{sf_dir}/{{events}}.parquet"  # as a pattern, since the table may be one file
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(where)
+    made = lifecycle.lifecycle_stream(_named_events(stream), "user_id", idle=_HALF_DAY, late="1 hour")
+    folder = _folder(spark, "idle_sessions")
+    with lifecycle.rocksdb_state(spark):
+        made.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return _in_millis(spark.read.schema(made.schema).parquet(f"{folder}/out"))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def closed_once(spark, sf_dir):
     """Closing twice counts once; on a table the watermark holds nothing back."""
