@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailframe.functions import text
-from trailframe.operators import history, masks, prompts, rewards
+from trailframe.operators import history, masks, prompts, rewards, token_spans
 from trailframe.plans import views
 from trailframe.plans.catalog import query
 from trailframe.plans.views import LINES, STEPS, TAGGED, lines, table
@@ -228,3 +228,47 @@ def accumulated_tokens(spark, sf_dir):
 def stopped_state_runs(spark, sf_dir):
     rows = lines(spark, sf_dir).select(F.col("l_orderkey").alias("traj_id"), F.col("n").alias("step_num"), (F.col("l_quantity") > 25).alias("parse_error"), F.lit(False).alias("terminated"), F.lit(False).alias("truncated"), (F.col("l_tax") > 0.07).alias("malformed"))
     return rewards.stopped_at(rows, memory="malformed").select("traj_id", "step_num")
+
+
+# -- masks by a tokenizer's file; beyond SQL, tests/test_token_spans.py tokenizes every prefix ---------------------------
+
+
+def _tokenizer():
+    """The public byte-level vocabulary, whose `<|endoftext|>` ends an answer."""
+    import public_tokenizers
+
+    return token_spans.FileTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query(None)
+def tokenizer_spans(spark, sf_dir):
+    """Spans of an action and a memory turn; in every third step the prompt ends in two line feeds, which some answers change."""
+    odd = F.col("step_num") % 3 == 1
+    part = lambda on, *c: F.struct(F.concat(*c).alias("text"), F.lit(on).alias("trained"))
+    end = F.lit("<|im_end|>\n")
+    segments = F.array(
+        part(False, F.lit("<|im_start|>user\n"), "observation", end, F.lit("<|im_start|>assistant\n"), F.when(odd, "\n").otherwise("")),
+        part(True, F.when(odd, "").otherwise("<think>\n"), "response", end),
+        part(False, F.lit("<|im_start|>user\nCompress.<|im_end|>\n<|im_start|>assistant\n")),
+        part(True, F.lit("<memory>"), F.col("step_num").cast("string"), F.lit("</memory>"), end),
+    )
+    rows = views.steps(spark, sf_dir).where("response IS NOT NULL").select("traj_id", "step_num", segments.alias("segments"))
+    made = token_spans.prefix_spans(rows, _tokenizer(), opener="<think>\n")
+    n = F.when(F.col("spans.tokens").isNotNull(), F.size("spans.tokens"))
+    runs = F.when(F.col("spans.mask").isNotNull(), masks.run_lengths(F.col("spans.mask")))
+    return made.select("traj_id", "step_num", n.alias("n_tokens"), "spans.prompt_length", "spans.response_length", runs.alias("runs"), token_spans.ids_crc32(F.col("spans.tokens")).alias("ids_crc32"), "spans.error")
+
+
+@query(None)
+def tokenizer_turns(spark, sf_dir):
+    """Conversations as an accumulator appends them, each turn tokenized once."""
+    tokenizer = _tokenizer()
+    end = tokenizer.id_of("<|endoftext|>")
+    rows = table(spark, sf_dir, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", "text")
+    ids = token_spans.turn_ids(rows, tokenizer, end)
+    turns = ids.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "ids"))).alias("t"))  # one conversation's own turns
+    opener = F.array(*map(F.lit, tokenizer("<|im_start|>assistant\n<think>\n")))
+    asked = F.transform("t", lambda t, i: F.when((i == 0) & (t["role"] != "assistant"), t.withField("ids", F.concat(t["ids"], opener))).otherwise(t))  # the first request ends in the opener, too
+    made = turns.select("conv_id", masks.accumulated(asked, end, token_spans.newline_id(tokenizer), opener).alias("m"))
+    trained = F.aggregate("m.mask", F.lit(0).cast("long"), lambda a, b: a + b)
+    return made.select("conv_id", F.size("m.tokens").cast("long").alias("n"), trained.alias("trained"), token_spans.ids_crc32(F.col("m.tokens")).alias("ids_crc32"), F.col("m.error").isNotNull().alias("failed"))
