@@ -35,3 +35,20 @@ def test_references_that_the_sql_keeps(spark, tmp_path):
     assert found == told
     assert found[1][1] == "a &quot;b&quot; <c> &lt; d &#39; & e &am"
     assert locate.select(html, "document.querySelector('h1').textContent") == "a \"b\" <c> &lt; d ' & e &am"
+
+
+def _events(n, users):
+    """Events of which a group of samples has users / 25 episodes."""
+    return {"event_id": list(range(n)), "user_id": [k * 7919 % users for k in range(n)], "value": [k * 31 % 10_007 / 100 for k in range(n)], "props": ["{}"] * n}
+
+
+def _plan(spark, name, folder):
+    return catalog.QUERIES[name](spark, str(folder))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_steps_without_maps_of_large_groups(spark, tmp_path):
+    """A map a step made rows that grow with the group: 6,000,000 of 3,600 entries each at 60 times sf0.1."""
+    found, told = _compared(spark, "stamped_group_rewards", tmp_path, events=_events(6000, 2500))
+    assert len(found) == 6000 and found[0][1] == 100
+    assert found == told
+    assert "map_from_entries" not in _plan(spark, "stamped_group_rewards", tmp_path)

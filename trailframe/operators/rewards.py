@@ -44,11 +44,18 @@ def group_errors(samples: DataFrame, expected: int) -> DataFrame:
 
 
 def stamped(samples: DataFrame) -> DataFrame:
-    """Every step with its group's map from episode to terminal reward."""
+    """Every step with its group's map from episode to terminal reward; of large groups, `stamped_totals` keeps steps small."""
     maps = episode_rewards(samples).groupBy("group_index").agg(F.map_from_entries(F.collect_list(F.struct("index", "reward"))).alias("group_final_rewards"))  # a group has a few episodes
     return samples.drop("group_final_rewards").join(maps, "group_index")
 
 
+def stamped_totals(samples: DataFrame) -> DataFrame:
+    """Every step with `n` and `total`, the number and the sum of its group's terminal rewards; they are summed once a group, so groups
+    may have any number of episodes."""
+    totals = episode_rewards(samples).groupBy("group_index").agg(F.count(F.lit(1)).alias("n"), F.sum("reward").alias("total"))
+    return samples.drop("n", "total").join(totals, "group_index")
+
+
 def stored_maps(samples: DataFrame, expected: int | None = None) -> DataFrame:
     """(group_index, rewards) of groups with stored maps, as text keys; maps that differ within a group, or of another size
     than `expected`, are an error."""
