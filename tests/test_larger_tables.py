@@ -3,8 +3,10 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from trailframe.functions import locate
+from trailframe.operators import rewards
 from trailframe.plans import catalog, scoring, tables, tasks  # noqa: F401
 
 
@@ -52,3 +54,25 @@ def test_steps_without_maps_of_large_groups(spark, tmp_path):
     assert len(found) == 6000 and found[0][1] == 100
     assert found == told
     assert "map_from_entries" not in _plan(spark, "stamped_group_rewards", tmp_path)
+
+
+def test_stored_rewards_an_entry_a_row(spark, tmp_path):
+    """Stored maps on every step wrote steps times episodes entries to disk."""
+    found, told = _compared(spark, "stored_group_rewards", tmp_path, events=_events(6000, 2500))
+    assert len(found) == 2500 and found == told
+    plan = _plan(spark, "stored_group_rewards", tmp_path)
+    assert "map_from_entries" not in plan and "map_concat" not in plan
+
+
+def test_stored_entries(spark):
+    """As maps do, entries take the place of a group's episodes, and refuse rewards that differ and wrong numbers."""
+    samples = spark.createDataFrame([(0, 0, 0, 0.0), (1, 0, 1, 1.0), (2, 1, 2, 3.0)], "ordinal long, group_index long, index long, episode_reward double").selectExpr("*", "CAST(NULL AS DOUBLE) AS final_reward", "CAST(NULL AS DOUBLE) AS sample_reward", "'completed' AS status")
+    entries = lambda *rows: spark.createDataFrame(rows, "group_index long, index long, reward double")
+    told = rewards.from_stored(samples, std=False, stored=entries((0, 0, 0.0), (0, 1, 1.0), (0, 9, 5.0), (0, 9, 5.0)), expected=3).collect()
+    assert {r["index"]: r["normalized"] for r in told} == {0: -2.0, 1: -1.0, 2: 3.0}
+    with pytest.raises(Exception, match="stored rewards differ in group 0"):
+        rewards.from_stored(samples, stored=entries((0, 0, 0.0), (0, 0, 1.0))).collect()
+    with pytest.raises(Exception, match="stored rewards differ in group 0"):
+        rewards.from_stored(samples, stored=entries((0, 0, 0.0), (0, 0, None))).collect()
+    with pytest.raises(Exception, match="expected 3 stored rewards in group 0 got 2"):
+        rewards.from_stored(samples, stored=entries((0, 0, 0.0), (0, 1, 1.0)), expected=3).collect()

@@ -68,14 +68,33 @@ def stored_maps(samples: DataFrame, expected: int | None = None) -> DataFrame:
     return told.select("group_index", checked.otherwise(found).alias("rewards"))
 
 
-def from_stored(samples: DataFrame, std: bool = True, expected: int | None = None) -> DataFrame:
+def stored_entries(stored: DataFrame, expected: int | None = None) -> DataFrame:
+    """(group_index, index, reward) of stored maps that are given an entry a row, repeated or not; an episode with rewards that differ, or a
+    group with another number of entries than `expected`, is an error."""
+    told = stored.groupBy(*EPISODE).agg(F.min("reward").alias("reward"), F.max("reward").alias("_most"), F.count("reward").alias("_there"), F.count(F.lit(1)).alias("_all"))
+    name = F.col("group_index").cast("string")
+    differ = ~F.col("reward").eqNullSafe(F.col("_most")) | ((F.col("_there") > 0) & (F.col("_there") < F.col("_all")))
+    reward = F.when(differ, F.raise_error(F.concat(F.lit("stored rewards differ in group "), name)).cast("double")).otherwise(F.col("reward"))
+    found = told.select("group_index", F.col("index").cast("long").alias("index"), reward.alias("reward"))
+    if expected is None:
+        return found
+    sizes = found.groupBy("group_index").agg(F.count(F.lit(1)).alias("_n"))
+    wrong = F.raise_error(F.concat(F.lit(f"expected {expected} stored rewards in group "), name, F.lit(" got "), F.col("_n").cast("string"))).cast("double")
+    return found.join(sizes, "group_index").select(*EPISODE, F.when(F.col("_n") != expected, wrong).otherwise(F.col("reward")).alias("reward"))
+
+
+def from_stored(samples: DataFrame, std: bool = True, expected: int | None = None, stored: DataFrame | None = None) -> DataFrame:
     """(group_index, index, reward, normalized) of the episodes that are there.
 
     A stored group map, which may know episodes that were trimmed since, takes the place of the group's episodes; groups
-    without one are normalized over their episodes.
+    without one are normalized over their episodes. Maps are read from the samples or, as a map a step is large where groups are, from
+    `stored`, (group_index, index, reward) an entry a row.
     """
-    maps = stored_maps(samples, expected)
-    known = maps.select("group_index", F.explode("rewards").alias("index", "reward")).select("group_index", F.col("index").cast("long").alias("index"), "reward")
+    if stored is None:
+        maps = stored_maps(samples, expected)
+        known = maps.select("group_index", F.explode("rewards").alias("index", "reward")).select("group_index", F.col("index").cast("long").alias("index"), "reward")
+    else:
+        maps, known = stored.select("group_index").distinct(), stored_entries(stored, expected)
     rest = episode_rewards(samples).join(maps, "group_index", "left_anti").select("group_index", F.col("index").cast("long").alias("index"), "reward")
     there = samples.select(*EPISODE).distinct()
     return normalized(known.unionByName(rest), std).join(there, list(EPISODE))
