@@ -1,5 +1,7 @@
 """Rows and group sizes that only larger tables have: queries against their SQL, operators against plain Python."""
 
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,6 +10,7 @@ import pytest
 from trailframe.functions import locate
 from trailframe.operators import rewards
 from trailframe.plans import catalog, scoring, tables, tasks  # noqa: F401
+from trailframe.streaming import sessions
 
 
 def _compared(spark, name, folder, **rows):
@@ -76,3 +79,44 @@ def test_stored_entries(spark):
         rewards.from_stored(samples, stored=entries((0, 0, 0.0), (0, 0, None))).collect()
     with pytest.raises(Exception, match="expected 3 stored rewards in group 0 got 2"):
         rewards.from_stored(samples, stored=entries((0, 0, 0.0), (0, 1, 1.0)), expected=3).collect()
+
+
+def _admitted(requests, most):
+    """A plain fold of each pool's requests."""
+    live, out = {}, []
+    for pool, order, delta in sorted(requests, key=lambda r: (r[0] is not None, *r)):
+        n, d = live.get(pool, 0), delta or 0
+        ok = d < 0 or n < most
+        live[pool] = max(0, n + d) if ok else n
+        out.append((pool, order, d, ok))
+    return out
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_admission_of_long_pools(spark, batch):
+    """Pools are folded by runs of requests, however these are cut, with ties and several limits."""
+    rng = random.Random(batch)
+    requests = [(rng.choice([1, 1, 1, 2, 3]), rng.randrange(1500), rng.choice([1, 1, -1])) for _ in range(1500)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for most in (0, 1, 8):
+            found = sessions.admitted(spark.createDataFrame(requests, "pool int, at long, delta int"), "pool", "at", most)
+            assert sorted(map(tuple, found.collect())) == sorted(_admitted(requests, most))
+        wide = [(k % 2 * "a", k, rng.choice([3, 1, -1, -2])) for k in range(400)]
+        found = sessions.admitted(spark.createDataFrame(wide, "pool string, at long, delta int"), "pool", "at", 4)
+        assert sorted(map(tuple, found.collect())) == sorted(_admitted(wide, 4))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_admission_without_requests_or_pools(spark):
+    assert sessions.admitted(spark.createDataFrame([], "pool int, at long, delta int"), "pool", "at", 8).collect() == []
+    some = [(None, 1, 1), (None, 2, 1), (None, 3, None), (0, 1, 1)]
+    found = sessions.admitted(spark.createDataFrame(some, "pool int, at long, delta int"), "pool", "at", 1)
+    assert set(map(tuple, found.collect())) == set(_admitted(some, 1))
+
+
+def test_admission_equals_its_sql(spark, tmp_path):
+    found, told = _compared(spark, "admitted_sessions", tmp_path, events=_events(3000, 2500))
+    assert len(found) == 3000 and found == told

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailframe.llm.common import written
+
 
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "30 minutes") -> DataFrame:
     """(key, start, n) of sessions; a pause longer than `gap` starts a new one, one of exactly `gap` does not.
@@ -33,21 +38,67 @@ def live_sessions(deltas: DataFrame, pool: str, order: str, delta: str = "delta"
     return deltas.withColumn("live", F.sum(delta).over(Window.partitionBy(pool).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _admits(live: int, change: int, most: int) -> bool:
+    return change < 0 or live < most
+
+
+def _after(changes: list[int], most: int, top: int) -> list[int]:
+    """The number of live sessions after all requests, for each number from 0 to `top` before them; numbers that meet stay together."""
+    place, held = list(range(top + 1)), list(range(top + 1))
+    for n, change in enumerate(changes):
+        held = [max(0, x + change) if _admits(x, change, most) else x for x in held]
+        if n % 16 == 0 and len(held) > 1:
+            kept = {x: i for i, x in enumerate(dict.fromkeys(held))}
+            place, held = [kept[held[i]] for i in place], list(kept)
+    return [held[i] for i in place]
+
+
 def admitted(requests: DataFrame, pool: str, order: str, most: int, delta: str = "delta") -> DataFrame:
     """`requests` with `admitted`: opening (+1) is refused while `most` sessions of the pool are live; closing (-1) frees one.
 
-    Refused requests do not count as live. Each pool's requests are folded in order, as one refusal changes what follows.
+    Refused requests do not count as live; a missing delta changes nothing. One refusal changes what follows, but a run of requests, a row of up
+    to an Arrow batch, is a function from the number of live sessions before it to that after it. Runs are made wherever their range of the order
+    was dealt to; only these functions, of `most` + 1 numbers, are folded a pool, and each run is then told from its own start.
     """
-    start = F.struct(F.lit(0).alias("live"), F.array().cast("array<boolean>").alias("told"))
-
-    def step(a: Column, x: Column) -> Column:
-        ok = (x["delta"] < 0) | (a["live"] < most)
-        live = F.greatest(F.lit(0), a["live"] + F.when(ok, x["delta"]).otherwise(0))
-        return F.struct(live.cast("int").alias("live"), F.concat(a["told"], F.array(ok)).alias("told"))
-
-    pools = requests.groupBy(pool).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col(delta).cast("int").alias("delta")))).alias("r"))  # the requests of one server
-    told = pools.withColumn("t", F.aggregate("r", start, step)["told"])
-    return told.select(pool, F.explode(F.arrays_zip("r", "t")).alias("x")).select(pool, F.col("x.r.order").alias(order), F.col("x.r.delta").alias(delta), F.col("x.t").alias("admitted"))
+    kind = {c: requests.schema[c].dataType.simpleString() for c in (pool, order)}
+    rows = requests.select(F.col(pool).alias("pool"), F.col(order).alias("order"), F.coalesce(F.col(delta).cast("int"), F.lit(0)).alias("delta"))
+    top = max(0, most, most - 1 + (rows.agg(F.max("delta")).first()[0] or 0))
+
+    def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pools, changes = b.column(0).to_pylist(), b.column(2).to_pylist()
+            cuts = [i for i in range(len(pools)) if i == 0 or pools[i] != pools[i - 1]]
+            ends = pa.array([*cuts, len(pools)], pa.int32())
+            after = pa.array([_after(changes[i:j], most, top) for i, j in zip(cuts, [*cuts[1:], len(pools)])], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cuts, pa.int32())), *(pa.ListArray.from_arrays(ends, b.column(i)) for i in (1, 2)), after], ["pool", "orders", "deltas", "after"])
+
+    def starts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, live = (), 0  # no pool is equal to ()
+        for b in batches:
+            told = []
+            for name, after in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                live = live if name == before else 0
+                told.append(live)
+                before, live = name, after[live]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(told, pa.int32())], ["run", "live"])
+
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live = 0
+        for b in batches:
+            told = []
+            for at, start, change in zip(*(b.column(i).to_pylist() for i in (0, 1, 4))):
+                live = start if at == 0 else live
+                told.append(_admits(live, change, most))
+                live = max(0, live + change) if told[-1] else live
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(told, pa.bool_())], ["pool", "order", "delta", "admitted"])
+
+    keys = ("pool", "order", "delta")
+    made = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(runs, f"pool {kind[pool]}, orders array<{kind[order]}>, deltas array<int>, after array<int>")
+    made = written(made.withColumn("run", F.monotonically_increasing_id()), "admitted")  # ids rise with the order
+    first = made.select("pool", "run", "after").repartition("pool").sortWithinPartitions("pool", "run").mapInArrow(starts, "run long, live int")
+    each = made.join(first, "run").select("pool", "live", F.posexplode(F.arrays_zip("orders", "deltas")).alias("at", "x"))  # a run's rows stay together
+    told = each.select("at", "live", "pool", F.col("x.orders").alias("order"), F.col("x.deltas").alias("delta")).mapInArrow(tell, f"pool {kind[pool]}, order {kind[order]}, delta int, admitted boolean")
+    return told.select(F.col("pool").alias(pool), F.col("order").alias(order), F.col("delta").alias(delta), "admitted")
 
 
 def session_states(events: DataFrame, key: str, order: str, event: str = "event") -> DataFrame:
