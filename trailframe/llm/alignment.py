@@ -21,6 +21,7 @@ end is one unit, as every text is with other vocabularies.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterable, Iterator
 
@@ -37,6 +38,8 @@ from trailframe.llm.tokens import _ranges
 AT_ONCE, ROWS, REMEMBERED, BROADCAST = 3 << 20, 10_000, 600_000, 1_000_000
 #: Bytes up to which a unit may be long to be remembered.
 UNIT = 200
+#: Units that are Python objects at once.
+OBJECTS = 4096
 #: Tokens, of both sides, of a short unit.
 SHORT = 64
 
@@ -126,8 +129,8 @@ def _sizes(spelled: dict[int, bytes]) -> np.ndarray:
 
 
 def _pool(each: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array(list(map(len, each)), np.int64)
-    return np.array([i for ids in each for i in ids], np.int32), lengths
+    lengths = np.array(list(map(len, each)), np.int32)
+    return np.fromiter(itertools.chain.from_iterable(each), np.int32, int(lengths.sum())), lengths
 
 
 class Aligner:
@@ -139,32 +142,51 @@ class Aligner:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.string())
         self.spells = np.zeros(0, bool)
-        self.pools = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in self.sides]
-
-    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """(whether both sides spell a space and the text, (ids in turn, number of ids) of each side)."""
-        each = [s.ids(texts) for s in self.sides]
-        right = [a == raw == b for raw, a, b in zip((b" " + t.encode() for t in texts), *([b"".join([s.spelled[i] for i in ids]) for ids in e] for s, e in zip(self.sides, each, strict=True)), strict=True)]
-        return np.array(right, bool), [_pool(e) for e in each]
-
-    def _places(self, units: list[str]) -> np.ndarray:
-        """Each distinct unit's place in the pools; new ones are encoded."""
-        found = list(map(self.known.get, units))
-        new = [u for u, at in zip(units, found, strict=True) if at is None]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
+        self.pools = [(np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in self.sides]
+
+    def _encoded(self, texts: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(whether both sides spell a space and the text, (ids in turn, number of ids) of each side); few texts are held as Python objects at once."""
+        right, pools = [np.zeros(0, bool)], [[(np.zeros(0, np.int32), np.zeros(0, np.int32))] for _ in self.sides]
+        for start in range(0, len(texts), OBJECTS):
+            some = texts.slice(start, OBJECTS).to_pylist()
+            raw, fine = [b" " + t.encode() for t in some], np.ones(len(some), bool)
+            for side, pool in zip(self.sides, pools, strict=True):
+                each = side.ids(some)
+                pool.append(_pool(each))
+                fine &= self._spelled(side.spelled, each, raw, *pool[-1], side.sizes)
+            right.append(fine)
+        return np.concatenate(right), [(np.concatenate([x for x, _ in p]), np.concatenate([n for _, n in p])) for p in pools]
+
+    @staticmethod
+    def _spelled(spelled: dict[int, bytes], each: list[list[int]], raw: list[bytes], ids: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each text's ids spell it; where all lengths and the bytes of all texts in turn are equal, so is each text."""
+        ends = np.concatenate([[0], np.cumsum(sizes[ids])])[np.cumsum(lengths, dtype=np.int64)]
+        if np.array_equal(ends, np.cumsum(list(map(len, raw)))) and b"".join(map(spelled.__getitem__, ids.tolist())) == b"".join(raw):
+            return np.ones(len(raw), bool)
+        return np.array([b"".join([spelled[i] for i in e]) == r for e, r in zip(each, raw, strict=True)], bool)
+
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """Each unit's place in the pools; new ones are encoded. A repeated one may have several places, which hold the same."""
+        units = units.cast(pa.string())
+        at = pc.index_in(units, value_set=self.known)
+        if at.null_count:
+            if len(self.known) + at.null_count > REMEMBERED:
                 self._forget()
-                found, new = [None] * len(units), units
+                at = pa.nulls(len(units), pa.int32())
+            fresh, first = at.is_null(), len(self.known)
+            new = units.filter(fresh)
             right, pools = self._encoded(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.known = pa.concat_arrays([self.known, new])
             self.spells = np.concatenate([self.spells, right])
             for k, (ids, lengths) in enumerate(pools):
                 lengths = np.concatenate([self.pools[k][2], lengths])
-                self.pools[k] = (np.concatenate([self.pools[k][0], ids]), np.cumsum(lengths) - lengths, lengths)
-            found = [self.known[u] if at is None else at for u, at in zip(units, found, strict=True)]
-        return np.array(found, np.int64)
+                self.pools[k] = (np.concatenate([self.pools[k][0], ids]), np.cumsum(lengths, dtype=np.int64) - lengths, lengths)
+            places = at.fill_null(0).to_numpy().astype(np.int64)
+            places[fresh.to_numpy(zero_copy_only=False)] = first + np.arange(len(new))
+            return places
+        return at.to_numpy().astype(np.int64)
 
     def units(self, texts: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
         """(of each side (ids, ends, number of ids) of the distinct units in turn, the texts' units in turn, number of units of each
@@ -202,8 +224,8 @@ class Aligner:
         """The units' places in the pools; what is too long to remember is encoded apart, with all of these units."""
         if not self.by_unit or pc.max(pc.binary_length(units)).as_py() is None or pc.max(pc.binary_length(units)).as_py() > UNIT:
             long = pc.greater(pc.binary_length(units), UNIT).to_numpy(zero_copy_only=False) | (not self.by_unit)
-            short = self._places(units.filter(pa.array(~long)).to_pylist())
-            right, pools = self._encoded(units.filter(pa.array(long)).to_pylist())
+            short = self._places(units.filter(pa.array(~long)))
+            right, pools = self._encoded(units.filter(pa.array(long)))
             spells = np.zeros(len(units), bool)
             spells[~long], spells[long] = self.spells[short], right
             joined = []
@@ -213,7 +235,7 @@ class Aligner:
                 first[long], size[long] = len(pool) + np.cumsum(counts) - counts, counts
                 joined.append((np.concatenate([pool, ids])[_ranges(first, size)], size))
             return None, (spells, joined)
-        return self._places(units.to_pylist()), None
+        return self._places(units), None
 
 
 _made: dict[tuple[str, str], Aligner] = {}
@@ -250,6 +272,8 @@ def tokenized(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
                 before = [np.concatenate([[0], np.cumsum(sizes[numbers])])[np.concatenate([[0], np.cumsum(number)])] for _, _, sizes in sides]
                 docs = pa.StructArray.from_arrays([rows.column(0), *(pa.array(np.diff(x), pa.int64()) for x in before), lists(numbers.astype(np.int32), number)], ["doc_id", "n_a", "n_b", "units"])
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (units, docs)], ["units", "docs"])
+                del sides, numbers, number, keys, units, before, docs
+                pa.default_memory_pool().release_unused()  # workers share their executor's memory
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
